@@ -58,7 +58,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
 
 def _meet(rows: Column, seed: int, level: int) -> Column:
     """Fold a block: ``held`` is the one open fraction, ``done`` the rows that became integral."""
-    unit_type = "struct<doc_id:bigint,size:bigint,whole:bigint,p:double>"
+    unit_type = "struct<size:bigint,doc_id:bigint,whole:bigint,p:double>"
     none = F.lit(None).cast(unit_type)
 
     def step(state: Column, row: Column) -> Column:
@@ -69,7 +69,7 @@ def _meet(rows: Column, seed: int, level: int) -> Column:
         moved = F.when(unit(F.lit(seed), F.lit(level), held["doc_id"], row["doc_id"], held["size"], row["size"], F.size(state["done"])) * (a + b) < b, a).otherwise(-b)
         # Which of the two is integral follows from the amounts compared, not from rounded arithmetic.
         held_ends = F.when(moved >= 0, held["p"] * held["size"] <= (1 - row["p"]) * row["size"]).otherwise((1 - held["p"]) * held["size"] <= row["p"] * row["size"])
-        put = lambda u, p: F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), u["whole"].alias("whole"), p.cast("double").alias("p"))
+        put = lambda u, p: F.struct(u["size"].alias("size"), u["doc_id"].alias("doc_id"), u["whole"].alias("whole"), p.cast("double").alias("p"))
         bound = lambda p: F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
         held_after, row_after = bound(held["p"] - moved / held["size"]), bound(row["p"] + moved / row["size"])
         ended = F.when(held_ends, put(held, F.when(moved >= 0, F.lit(0.0)).otherwise(F.lit(1.0)))).otherwise(put(row, F.when(moved >= 0, F.lit(1.0)).otherwise(F.lit(0.0))))
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("whole", F.floor("rate").cast("long"))
         .withColumn("p", F.col("rate") - F.col("whole"))
         .withColumn("blocks", F.ceil(F.col("n_docs") / fan).cast("long"))
-        .select("source", F.struct("doc_id", "size", "whole", "p").alias("u"), "blocks")
+        .select("source", F.struct("size", "doc_id", "whole", "p").alias("u"), "blocks")
     )
     largest = per.agg(F.max("n_docs")).first()[0] or 0
     shut = units.where("u.p = 0 or u.p = 1").select("source", "u")
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         folded = (
             open_.withColumn("block", block)
             .groupBy("source", "block", "blocks")
-            .agg(F.sort_array(F.collect_list("u")).alias("rows"))
+            .agg(F.sort_array(F.collect_list("u"), asc=False).alias("rows"))  # the longest first: what stays open at the end is short
             .select("source", F.greatest(F.lit(1), F.ceil(F.col("blocks") / fan)).cast("long").alias("blocks"), _meet(F.col("rows"), seed, level).alias("s"))
         )
         folded = materialise(folded, f"round{level}")
@@ -112,8 +112,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         open_ = folded.where("s.held is not null").select("source", F.col("s.held").alias("u"), "blocks")
         done.append(open_.where("u.p <= 0 or u.p >= 1").select("source", "u"))
         open_ = open_.where("u.p > 0 and u.p < 1")
-    final = F.when(unit(F.lit(seed), F.lit(-1), F.col("u.doc_id"), F.col("u.size")) < F.col("u.p"), 1.0).otherwise(0.0)
-    done.append(open_.select("source", F.struct(F.col("u.doc_id").alias("doc_id"), F.col("u.size").alias("size"), F.col("u.whole").alias("whole"), final.alias("p")).alias("u")))
+    final = F.when(F.col("u.p") >= 0.5, 1.0).otherwise(0.0)  # one fraction a source at most: the nearer end
+    done.append(open_.select("source", F.struct(F.col("u.size").alias("size"), F.col("u.doc_id").alias("doc_id"), F.col("u.whole").alias("whole"), final.alias("p")).alias("u")))
     rounded = done[0]
     for more in done[1:]:
         rounded = rounded.unionByName(more)
