@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import bpe, exact_dedup, fingerprint, mixing, wavelet
-from loamwork.llm.common import documents
+from loamwork.llm import bpe, exact_dedup, fingerprint, langid, mixing, quality, toxicity, wavelet
+from loamwork.llm.common import documents, labels
 from loamwork.plans.scratch import scratch_root
 
 
@@ -21,6 +21,21 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, labels(spark, sf_dir)))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels(spark, sf_dir))).drop("text")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -36,7 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_bpe, op8_mixing, op9_fingerprint, op10_token_files)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_bpe, op5_toxicity, op7_langid, op8_mixing, op9_fingerprint, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
