@@ -14,7 +14,6 @@ ordered by text; an empty table gives an empty file and an empty result.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,9 +26,9 @@ from pyspark.sql import functions as F
 
 from loamwork.llm.common import col, id_ranges
 
-SHARD, BLOCK = 1 << 17, 512
+SHARD, BLOCK = 1 << 16, 512
 END_ID = 2
-#: Encoded words kept by a task: about 150 MB at most.
+#: Words, and pieces of words, whose ids a task remembers: about 100 MB each at most.
 REMEMBERED = 400_000
 
 
@@ -131,51 +130,65 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order."""
-        places, values = np.arange(self.n, dtype=np.uint32), np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
+        # Each entry holds its place in the sequence, and below it the bits read so far.
+        kind = np.uint32 if self.n <= 1 << (32 - self.levels) else np.uint64
+        entries = np.arange(self.n, dtype=kind) << kind(self.levels)
         for k in range(self.levels):
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
-            zero = ~bit
-            places = np.concatenate([places[zero], places[bit]])
-            values = np.concatenate([values[zero] << 1, values[bit] << 1 | 1])
+            entries = np.concatenate([entries[~bit], entries[bit] | kind(1 << (self.levels - 1 - k))])
+        places, values = entries >> kind(self.levels), entries & kind((1 << self.levels) - 1)
         out = np.empty(self.n, np.uint32)
         out[places] = self.alphabet[values]
         return out
 
 
-_UNSAFE, _SAFE = re.compile(r"\s(?= )|\s\Z"), re.compile(r"(?<=\S)(?= )")
+#: White space and then a space: there a cut could change how the pattern splits.
+_UNSAFE, _SAFE = re.compile(r" (?<=\s )"), re.compile(r"(?<=\S) ")
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizers file, remembering the ids of words.
+    """Encodes texts with a byte-level tokenizers file, remembering the ids of words and of their pieces.
 
     A space after anything but white space starts a new match of the byte-level splitting pattern, so
-    a text falls into words there, and each word's ids don't depend on the others.
+    a text falls into words there, and each word's ids don't depend on the others. A new word is split by
+    the tokenizer's own pre-tokenizer, a new piece goes through its merges.
     """
 
     def __init__(self, tokenizer_file: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        if _UNSAFE.search(text):
-            return _SAFE.split(text)
-        first, *rest = text.split(" ")
-        return [x for x in (first, *[" " + x for x in rest]) if x]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 16-bit integers."""
-        split = [self.words(x) for x in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u2").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        if tokenizer.normalizer is not None:
+            raise ValueError(f"{tokenizer_file} changes texts before it splits them; words can't be encoded apart")
+        self.split, self.merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        self.words: dict[str, bytes] = {}  # a word stands for itself with a space before it
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, word: str) -> bytes:
+        out = []
+        for piece, _ in self.split(word):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.pieces[piece] = np.array([t.id for t in self.merge(piece)], "<u2").tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian 16-bit integers."""
+        if not text:
+            return b""
+        for known in (self.words, self.pieces):
+            if len(known) > REMEMBERED:
+                known.clear()
+        first, *rest = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
+        ids = list(map(self.words.get, rest))
+        if None in ids:
+            for at, (word, found) in enumerate(zip(rest, ids, strict=True)):
+                if found is None:
+                    if (found := self.words.get(word)) is None:
+                        found = self.words[word] = self._whole(" " + word)
+                    ids[at] = found
+        return self._whole(first) + b"".join(ids) if first else b"".join(ids)
 
 
 @lru_cache(maxsize=2)
@@ -203,18 +216,16 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "do
 
         held = 0
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                some = batch.iloc[low : low + 256]
-                for own_part, doc_id, found in zip(some["part"], some["doc_id"], enc.encode(list(some["text"])), strict=True):
-                    if ids and (own_part != part or held >= SHARD):
-                        yield close()
-                        held = 0
-                    if own_part != part:
-                        part, shard, start = own_part, 0, 0
-                    ids.append(None if pd.isna(doc_id) else int(doc_id))
-                    lengths.append(len(found) // 2 + 1)
-                    raw += [found, end]
-                    held += lengths[-1]
+            for own_part, doc_id, found in zip(batch["part"], batch["doc_id"], map(enc.encode, batch["text"]), strict=True):
+                if ids and (own_part != part or held >= SHARD):
+                    yield close()
+                    held = 0
+                if own_part != part:
+                    part, shard, start = own_part, 0, 0
+                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                lengths.append(len(found) // 2 + 1)
+                raw += [found, end]
+                held += lengths[-1]
         if ids:
             yield close()
 
