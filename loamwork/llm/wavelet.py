@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from loamwork.llm.common import col, id_ranges
 SHARD, BLOCK = 1 << 16, 512
 END_ID = 2
 #: Words, and pieces of words, whose ids a task remembers: about 100 MB each at most.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 class WaveletMatrix:
@@ -142,6 +143,11 @@ class WaveletMatrix:
         return out
 
 
+#: The byte-level splitting pattern, with white space spelled as Unicode has it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Byte-level files write a byte as the character of its number if that is visible in Latin-1, the others from 256 on, in order.
+_VISIBLE = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+_SPACE = chr(_VISIBLE[32])
 #: White space and then a space: there a cut could change how the pattern splits.
 _UNSAFE, _SAFE = re.compile(r" (?<=\s )"), re.compile(r"(?<=\S) ")
 
@@ -151,25 +157,29 @@ class WordEncoder:
 
     A space after anything but white space starts a new match of the byte-level splitting pattern, so
     a text falls into words there, and each word's ids don't depend on the others. A new word is split by
-    the tokenizer's own pre-tokenizer, a new piece goes through its merges.
+    the pattern, a new piece goes through the tokenizer's merges.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
-        if tokenizer.normalizer is not None:
-            raise ValueError(f"{tokenizer_file} changes texts before it splits them; words can't be encoded apart")
-        self.split, self.merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, ByteLevel):
+            raise ValueError(f"{tokenizer_file} is not plainly byte-level; its words can't be encoded apart")
+        self.split, self.merge = regex.compile(PATTERN).findall, tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}  # a word stands for itself with a space before it
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, word: str) -> bytes:
         out = []
-        for piece, _ in self.split(word):
+        for piece in self.split(word):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.pieces[piece] = np.array([t.id for t in self.merge(piece)], "<u2").tobytes()
+                visible = piece.replace(" ", _SPACE) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_VISIBLE)
+                ids = b"".join([t.id.to_bytes(2, "little") for t in self.merge(visible)])
+                if len(self.pieces) < REMEMBERED:
+                    self.pieces[piece] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -177,17 +187,19 @@ class WordEncoder:
         """The text's ids as little-endian 16-bit integers."""
         if not text:
             return b""
-        for known in (self.words, self.pieces):
-            if len(known) > REMEMBERED:
-                known.clear()
         first, *rest = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
         ids = list(map(self.words.get, rest))
-        if None in ids:
-            for at, (word, found) in enumerate(zip(rest, ids, strict=True)):
-                if found is None:
-                    if (found := self.words.get(word)) is None:
-                        found = self.words[word] = self._whole(" " + word)
-                    ids[at] = found
+        at = ids.index(None) if None in ids else -1
+        while at >= 0:
+            if (found := self.words.get(rest[at])) is None:
+                found = self._whole(" " + rest[at])
+                if len(self.words) < REMEMBERED:  # the common words come first
+                    self.words[rest[at]] = found
+            ids[at] = found
+            try:
+                at = ids.index(None, at + 1)
+            except ValueError:
+                break
         return self._whole(first) + b"".join(ids) if first else b"".join(ids)
 
 
