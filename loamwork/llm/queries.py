@@ -8,11 +8,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import bpe, exact_dedup, fingerprint, langid, mixing, quality, toxicity, wavelet
+from loamwork.llm import bpe, exact_dedup, fingerprint, langid, mixing, quality, substring_dedup, toxicity, wavelet
 from loamwork.llm.common import documents, labels
 from loamwork.plans.scratch import scratch_root
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_bpe, op5_toxicity, op7_langid, op8_mixing, op9_fingerprint, op10_token_files)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality, op4_bpe, op5_toxicity, op7_langid, op8_mixing, op9_fingerprint, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
