@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import bpe, exact_dedup, fingerprint, langid, mixing, quality, substring_dedup, toxicity, wavelet
+from loamwork.llm import bpe, exact_dedup, fingerprint, jaccard_join, langid, mixing, quality, substring_dedup, toxicity, wavelet
 from loamwork.llm.common import documents, labels
 from loamwork.plans.scratch import scratch_root
 
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels(spark, sf_dir))).drop("text")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.train(docs))
@@ -55,8 +59,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality, op4_bpe, op5_toxicity, op7_langid, op8_mixing, op9_fingerprint, op10_token_files)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality, op4_bpe, op5_toxicity, op6_jaccard_join, op7_langid, op8_mixing, op9_fingerprint, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op6_jaccard_join": jaccard_join.ORACLE_SQL}

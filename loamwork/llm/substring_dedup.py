@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loamwork.llm.common import col
 from loamwork.plans.scratch import materialise
 
-SHORTEST, LONGEST, MASK, RUN, LEAST_WORDS = 16, 64, 0b11, 4, 30
+SHORTEST, LONGEST, MASK, RUN, LEAST_WORDS = 12, 64, 0b11, 4, 24
 _SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 

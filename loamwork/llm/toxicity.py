@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import col
@@ -168,14 +168,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(model, [(at, share, y) for _, y, at, share in got])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with severity (expected grade, 0 to 3), p_toxic, grade (the likeliest) and is_toxic."""
+def graded(text: Column, model: Model, threshold: float = THRESHOLD) -> Column:
+    """A struct of severity (expected grade, 0 to 3), p_toxic, grade (the likeliest) and is_toxic."""
 
     @F.pandas_udf("severity double, p_toxic double, grade int, is_toxic boolean")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        above = np.array([model.above(t) for t in texts]).reshape(len(texts), -1)
+        above = np.array([model.above(t) for t in texts]).reshape(len(texts), len(model.thresholds))
         edges = np.concatenate([np.ones((len(texts), 1)), above, np.zeros((len(texts), 1))], axis=1)
         return pd.DataFrame({"severity": above.sum(axis=1), "p_toxic": above[:, 0], "grade": (edges[:, :-1] - edges[:, 1:]).argmax(axis=1), "is_toxic": above[:, 0] >= threshold})
 
+    return scored(text)
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with severity, p_toxic, grade and is_toxic."""
     kept = [c for c in docs.columns if c not in RESULTS]
-    return docs.select(*map(col, kept), scored(col(text_col)).alias("__scored")).select(*map(col, kept), "__scored.*")
+    return docs.select(*map(col, kept), graded(col(text_col), model, threshold).alias("__scored")).select(*map(col, kept), "__scored.*")
