@@ -1,22 +1,388 @@
-"""The registered queries of the core library and their DuckDB counterparts."""
+"""The registered queries of the core library, each over its whole tables, and their DuckDB counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamwork.functions import tokens
+from loamwork.operators import infer, nested, profile, quality, routing
+
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
 
+def _query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, times without a zone read as UTC."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in df.dtypes])
+
+
+def _rows(spark: SparkSession, texts: list[str]) -> DataFrame:
+    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS v(i, t)")
+
+
+def _values(texts: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts)) + ") v(i, t)"
+
+
+# --- routing -----------------------------------------------------------------------------------------
+
+_CLICK = routing.Route("clicks", {"user_id": "user_id", "event_id": "event_id", "event_type": "event_type", "value": "value"}, "event_type = 'click'", ("user_id",))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row count, revenue and ship-date range by return flag and line status."""
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_qty"))
+    """Events as a staging table, routed to each user's newest click."""
+    staged = table(spark, sf_dir, "events").withColumn("load_ts", F.col("ts"))
+    return routing.route(staged, _CLICK, ("load_ts", "event_id"))
+
+
+@_query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events WHERE event_type = 'click') WHERE rn = 1")
+def route_dedup_row(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@_query("SELECT event_id, upper(event_type) AS kind, value * 2 AS doubled FROM events WHERE value > 10")
+def route_append_filter(spark, sf_dir):
+    r = routing.Route("t", {"event_id": "event_id", "kind": "upper(event_type)", "doubled": "value * 2"}, "value > 10")
+    return routing.route(table(spark, sf_dir, "events").withColumn("load_ts", F.col("ts")), r)
+
+
+@_query("""SELECT user_id, max_by(k, (ts, event_id)) FILTER (k IS NOT NULL) AS kind, max_by(value, (ts, event_id)) FILTER (value IS NOT NULL) AS value
+FROM (SELECT *, nullif(event_type, 'view') AS k FROM events) GROUP BY user_id""")
+def route_dedup_column(spark, sf_dir):
+    r = routing.Route("t", {"user_id": "user_id", "kind": "nullif(event_type, 'view')", "value": "value"}, "1", ("user_id",), "column")
+    return routing.route(table(spark, sf_dir, "events"), r, ("ts", "event_id"))
+
+
+_ORDER = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority"
+
+
+@_query(f"""WITH n AS (SELECT o_orderkey, o_custkey + 1 AS o_custkey, 'N' AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)
+SELECT {_ORDER} FROM orders o WHERE o_orderkey % 2 = 0 AND NOT EXISTS (FROM n WHERE n.o_orderkey = o.o_orderkey) UNION ALL SELECT {_ORDER} FROM n""")
+def route_upsert(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(*_ORDER.split(", "))
+    source = o.where("o_orderkey % 3 = 0").withColumn("o_custkey", F.col("o_custkey") + 1).withColumn("o_orderstatus", F.lit("N"))
+    return routing.upsert(o.where("o_orderkey % 2 = 0"), source, ["o_orderkey"])
+
+
+@_query("""WITH t AS (SELECT user_id, max(event_id) AS at, max(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
+s AS (SELECT user_id, max(event_id) AS at, min(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+SELECT coalesce(t.user_id, s.user_id) AS user_id, CASE WHEN s.user_id IS NOT NULL AND (t.user_id IS NULL OR s.at > t.at) THEN s.at ELSE t.at END AS at,
+CASE WHEN s.user_id IS NOT NULL AND (t.user_id IS NULL OR s.at > t.at) THEN s.value ELSE t.value END AS value FROM t FULL JOIN s ON t.user_id = s.user_id""")
+def upsert_time_guarded(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("event_id").alias("at"), F.max("value").alias("value"))
+    new = e.where("event_id % 3 = 0").groupBy("user_id").agg(F.max("event_id").alias("at"), F.min("value").alias("value"))
+    return routing.upsert_newer(old, new, ["user_id"], "at")
+
+
+@_query("SELECT event_type AS name, count(*) AS n_rows FROM events GROUP BY 1")
+def route_fanout_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kinds = [r[0] for r in e.select("event_type").distinct().limit(100).collect()]
+    routes = tuple(routing.Route(k, {"event_id": "event_id"}, f"event_type = '{k}'") for k in kinds)
+    good, _ = routing.run(routing.Mapping("staging", {"event_id": "int64"}, routes), e.withColumn("load_ts", F.col("ts")))
+    return routing.row_counts(good)
+
+
+@_query("SELECT event_id, props FROM events ORDER BY event_id DESC LIMIT 1")
+def raw_latest_record(spark, sf_dir):
+    from loamwork.sources.documents import latest
+
+    return latest(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
+
+
+@_query("""SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT DISTINCT l_partkey + 100000000, l_suppkey FROM lineitem
+WHERE l_partkey + 100000000 NOT IN (SELECT o_orderkey FROM orders) AND l_linenumber = 1 AND l_suppkey = (SELECT min(l_suppkey) FROM lineitem i WHERE i.l_partkey = lineitem.l_partkey AND i.l_linenumber = 1)""")
+def route_insert_missing(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    more = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy((F.col("l_partkey") + 100000000).alias("o_orderkey")).agg(F.min("l_suppkey").alias("o_custkey"))
+    return routing.insert_missing(o, more, ["o_orderkey"])
+
+
+# --- casts -------------------------------------------------------------------------------------------
+
+
+@_query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment = 'BUILDING' AS building FROM customer")
+def staging_typed_load(spark, sf_dir):
+    raw = table(spark, sf_dir, "customer").select(*[F.col(c).cast("string") for c in ("c_custkey", "c_name", "c_nationkey")], F.when(F.col("c_mktsegment") == "BUILDING", " Да ").otherwise("нет").alias("building"))
+    return routing.staging(raw, {"c_custkey": "int64", "c_name": "string", "c_nationkey": "int32", "building": "bool"}).drop("src_file", "load_ts")
+
+
+@_query("SELECT doc_id, CASE WHEN lang = 'en' OR doc_id % 7 = 0 THEN NULL ELSE lang END AS lang FROM documents")
+def null_token_filter(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", tokens.cleaned(F.when(F.col("lang") == "en", " N/A ").when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("lang"))).alias("lang"))
+
+
+@_query("SELECT doc_id, quality = 1 AS good, CASE WHEN toxic = 1 THEN 'true' END AS bad FROM labels")
+def bool_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", tokens.to_bool(F.col("quality").cast("string")).alias("good"), tokens.to_bool(F.when(F.col("toxic") == 1, "YES").otherwise("perhaps")).cast("string").alias("bad"))
+
+
+_NUMBERS = ["1 234,56", "1,234", "1,234.5", "1,234,567", "1e5", "-3.5", "12", " 7 ", "abc", "", "+4", "1.2.3", "-1 234"]
+
+
+@_query(f"SELECT i, t, CASE i WHEN 0 THEN 1234.56 WHEN 1 THEN 1.234 WHEN 2 THEN 1234.5 WHEN 5 THEN -3.5 WHEN 6 THEN 12 WHEN 7 THEN 7 WHEN 10 THEN 4 WHEN 12 THEN -1234 END::DOUBLE AS number, CASE i WHEN 0 THEN 1234 WHEN 1 THEN 1 WHEN 2 THEN 1234 WHEN 5 THEN -3 WHEN 6 THEN 12 WHEN 7 THEN 7 WHEN 10 THEN 4 WHEN 12 THEN -1234 END::BIGINT::VARCHAR AS whole FROM {_values(_NUMBERS)}")
+def number_normalise(spark, sf_dir):
+    return _rows(spark, _NUMBERS).select("i", "t", tokens.to_double(F.col("t")).alias("number"), tokens.to_int(F.col("t")).cast("string").alias("whole"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, (CASE WHEN n % 10 >= 5 THEN n // 10 + 1 ELSE n // 10 END)::BIGINT AS cents FROM (SELECT *, l_orderkey * 7 + l_linenumber AS n FROM lineitem)")
+def decimal_half_up(spark, sf_dir):
+    text = F.concat((F.col("n") / 1000).cast("bigint"), F.lit(","), F.lpad((F.col("n") % 1000).cast("string"), 3, "0"))
+    li = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_orderkey") * 7 + F.col("l_linenumber"))
+    return li.select("l_orderkey", "l_linenumber", (tokens.to_decimal(text, 20, 2) * 100).cast("bigint").alias("cents"))
+
+
+_DATES = ["03/02/2024", "12/31/2024", "03.02.2024", "2024-02-03", "03-02-2024", "2024/02/03", "bad", "", "2024-02-30", "2024-02-03T10:00:00Z"]
+
+
+@_query(f"SELECT i, CASE WHEN i IN (0, 2, 3, 4, 5, 9) THEN DATE '2024-02-03' WHEN i = 1 THEN DATE '2024-12-31' END::VARCHAR AS day FROM {_values(_DATES)}")
+def date_multi_format(spark, sf_dir):
+    return _rows(spark, _DATES).select("i", tokens.to_date(F.col("t")).cast("string").alias("day"))
+
+
+_TIMES = ["2025-09-22T09:30:00.500Z", "2025-09-22T09:30:00+03:00", "2025-09-22 09:30:00", "22.09.2025 09:30:00", "1758533400", "soon", ""]
+
+
+@_query(f"SELECT i, CASE i WHEN 0 THEN 1758533400500 WHEN 1 THEN 1758522600000 WHEN 2 THEN 1758533400000 WHEN 3 THEN 1758533400000 WHEN 4 THEN 1758533400000 END::BIGINT::VARCHAR AS ms FROM {_values(_TIMES)}")
+def timestamp_utc(spark, sf_dir):
+    return _rows(spark, _TIMES).select("i", F.unix_millis(tokens.epoch_or_timestamp(F.col("t"))).cast("string").alias("ms"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS source FROM documents")
+def trim_blank_to_null(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.trimmed(F.when(F.col("doc_id") % 3 == 0, "   ").otherwise(F.concat(F.lit("  "), "source", F.lit(" ")))).alias("source"))
+
+
+@_query("SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status, NULL::VARCHAR AS note FROM orders")
+def csv_to_parquet_fixed_schema(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderstatus").alias("status"))
+    return routing.staging(o, {"id": "int64", "customer": "int64", "status": "string", "note": "string"}, tokens.PARQUET).drop("src_file", "load_ts")
+
+
+# --- profiles ----------------------------------------------------------------------------------------
+
+
+def _each(columns: list[str], sql: str) -> str:
+    """One SELECT for each column, ``{c}`` being its name."""
+    return " UNION ALL ".join(sql.replace("{c}", c) for c in columns)
+
+
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@_query(_each(_ORDERS, "SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, round(avg(({c} IS NULL)::INT), 6) AS null_fraction, round(count(DISTINCT {c}) / count(*), 6) AS uniqueness FROM orders"))
+def profile_counts(spark, sf_dir):
+    return profile.counts(table(spark, sf_dir, "orders"), _ORDERS)
+
+
+@_query(_each(["c_custkey", "c_name"], "SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {c}) <= 100000 THEN count(DISTINCT {c}) END AS n_distinct, count(DISTINCT {c}) > 100000 AS capped FROM customer"))
+def profile_capped_distinct(spark, sf_dir):
+    return profile.capped_distinct(table(spark, sf_dir, "customer"), ["c_custkey", "c_name"])
+
+
+@_query(_each(["c_name", "c_mktsegment"], "SELECT '{c}' AS \"column\", min(length({c}))::INT AS min_length, max(length({c}))::INT AS max_length, quantile_disc(length({c}), 0.5)::INT AS p50, quantile_disc(length({c}), 0.95)::INT AS p95 FROM customer"))
+def profile_lengths(spark, sf_dir):
+    return profile.lengths(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
+
+
+@_query(_each(["l_quantity", "l_discount", "l_linenumber"], "SELECT '{c}' AS \"column\", min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 4)::DOUBLE AS mean, round(stddev_samp({c}), 4)::DOUBLE AS stddev FROM lineitem"))
+def profile_numbers(spark, sf_dir):
+    return profile.numbers(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_linenumber"])
+
+
+@_query("SELECT 'o_orderdate' AS \"column\", epoch(min(o_orderdate))::BIGINT AS min_epoch, epoch(max(o_orderdate))::BIGINT AS max_epoch FROM orders")
+def profile_times(spark, sf_dir):
+    return profile.times(table(spark, sf_dir, "orders"), ["o_orderdate"])
+
+
+@_query(_each(["o_orderstatus", "o_orderpriority"], "SELECT * FROM (SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c})::INT AS rank FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 3"))
+def profile_topk(spark, sf_dir):
+    return profile.top_values(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], 3)
+
+
+@_query("SELECT 'a' AS \"column\", 'mixed' AS tz UNION ALL SELECT 'b', 'none' UNION ALL SELECT 'c', 'offset_in_values'")
+def profile_timezones(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return profile.timezones(e.select(F.when(F.col("event_id") % 2 == 0, F.concat(text, F.lit("Z"))).otherwise(text).alias("a"), text.alias("b"), F.concat(text, F.lit("+03:00")).alias("c")), ["a", "b", "c"])
+
+
+@_query(_each(["o_orderkey", "o_custkey", "o_totalprice"], "SELECT * FROM (SELECT '{c}' AS \"column\", round(count(DISTINCT {c}) / count(*), 6) AS uniqueness, count(*) - count(DISTINCT {c}) AS conflicts FROM orders) WHERE uniqueness > 0.98"))
+def candidate_keys_single(spark, sf_dir):
+    return profile.candidate_keys(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@_query("SELECT 'event_id' AS column_a, 'user_id' AS column_b, round(count(DISTINCT (event_id, user_id)) / count(*), 6) AS uniqueness, count(*) - count(DISTINCT (event_id, user_id)) AS conflicts FROM events WHERE (SELECT count(DISTINCT user_id) / count(*) FROM events) > 0.001")
+def candidate_keys_pair(spark, sf_dir):
+    return profile.candidate_pairs(table(spark, sf_dir, "events"), ["event_id", "user_id"], 0.001)
+
+
+@_query(_each(["l_returnflag", "l_linestatus", "l_linenumber"], "SELECT '{c}' AS \"column\", (SELECT count(DISTINCT {c}) FROM lineitem) AS n_unique, {c}::VARCHAR AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR)::INT AS rank FROM lineitem GROUP BY {c}"))
+def routing_signals(spark, sf_dir):
+    return profile.routing_signals(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey"])
+
+
+@_query(_each(["r_name", "r_regionkey", "blank"], "SELECT '{c}' AS \"column\", count(DISTINCT {c}) = 1 AND avg(({c} IS NULL)::INT) < 0.99 AS constant, avg(({c} IS NULL)::INT) > 0.9 AS mostly_null, coalesce(bool_or(trim({c}::VARCHAR) <> {c}::VARCHAR), false) AS has_edge_spaces, count(DISTINCT {c}) BETWEEN 1 AND 256 AND avg(({c} IS NULL)::INT) < 0.95 AS low_cardinality FROM (SELECT *, ' x' AS blank FROM region)"))
+def anomalies(spark, sf_dir):
+    return profile.anomalies(table(spark, sf_dir, "region").withColumn("blank", F.lit(" x")))
+
+
+@_query("SELECT 'phone' AS \"column\", 1.0::DOUBLE AS phone_share, 0.0::DOUBLE AS name_share, 0.5::DOUBLE AS risk UNION ALL SELECT 'c_mktsegment', 0.0, 1.0, 0.3 UNION ALL SELECT 'c_custkey', 0.0, 0.0, 0.0")
+def personal_data(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("phone", F.concat(F.lit("+7 (900) "), F.lpad(F.col("c_custkey").cast("string"), 7, "0")))
+    return profile.personal_data(c, ["phone", "c_mktsegment", "c_custkey"])
+
+
+@_query("SELECT 'event_id' AS \"column\", true AS is_sorted UNION ALL SELECT 'user_id', (SELECT count(*) = 0 FROM (SELECT user_id < lag(user_id) OVER (ORDER BY event_id) AS f FROM events) WHERE f)")
+def monotonic_check(spark, sf_dir):
+    return profile.sorted_columns(table(spark, sf_dir, "events"), "event_id", ["event_id", "user_id"])
+
+
+@_query("""SELECT r_regionkey, sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}') AS hash FROM region""")
+def payload_hash(spark, sf_dir):
+    r = table(spark, sf_dir, "region")
+    return r.select("r_regionkey", profile.payload_hash(r, ["r_regionkey", "r_name"]).alias("hash"))
+
+
+@_query(_each(_ORDERS, "SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM orders"))
+def cardinality_report(spark, sf_dir):
+    return profile.cardinalities(table(spark, sf_dir, "orders"), _ORDERS)
+
+
+@_query(_each(_ORDERS, "SELECT * FROM (SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM orders) WHERE n_distinct >= (SELECT ceil(0.2 * count(*)) FROM orders)"))
+def high_cardinality_columns(spark, sf_dir):
+    n = profile.counts(table(spark, sf_dir, "orders"), _ORDERS)
+    return n.where(F.col("n_distinct") >= F.ceil(F.col("n_rows") * 0.2)).select("column", "n_distinct")
+
+
+# --- types -------------------------------------------------------------------------------------------
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        (F.col("event_id") + 10).cast("string").alias("whole"), (F.col("event_id") * 3000000000).cast("string").alias("wide"), F.concat(F.col("user_id") % 90, F.lit(",25")).alias("digits"), F.when(F.col("event_id") % 2 == 0, "да").otherwise("нет").alias("flag"),
+        F.date_format("ts", "dd.MM.yyyy").alias("day"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("moment"), "props", "event_type", F.lit(" N/A ").alias("nothing"),
+    )
+
+
+_TYPED = {"whole": "int32", "wide": "int64", "digits": "decimal(4,2)", "flag": "bool", "day": "date", "moment": "timestamp64(ms)", "props": "json", "event_type": "string", "nothing": "string"}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS type" for c, k in _TYPED.items()))
+def type_choice(spark, sf_dir):
+    return infer.strict_types(_texts(spark, sf_dir))
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS type" for c, k in {**_TYPED, "event_type": "lowcard_string", "nothing": "lowcard_string"}.items()))
+def lowcard_string_choice(spark, sf_dir):
+    return infer.threshold_types(_texts(spark, sf_dir))
+
+
+@_query("SELECT 'whole' AS \"column\", 'int64' AS type, 0.4::DOUBLE AS score, true AS ambiguous UNION ALL SELECT 'event_type', 'string', 1.0, false UNION ALL SELECT 'props', 'json', 0.642857, true")
+def type_scores(spark, sf_dir):
+    return infer.scored_types(_texts(spark, sf_dir), ["whole", "event_type", "props"])
+
+
+@_query("SELECT 'k' AS path, 'int32' AS type UNION ALL SELECT 'n', 'int64' UNION ALL SELECT 'x', 'float64' UNION ALL SELECT 's', 'string' UNION ALL SELECT 't', 'timestamp64(ms)'")
+def json_type_lattice(spark, sf_dir):
+    even = F.col("event_id") % 2 == 0
+    e = table(spark, sf_dir, "events").select(
+        F.get_json_object("props", "$.k").alias("k"), F.when(even, "7").otherwise("3000000000").alias("n"), F.when(even, "7").otherwise("7.5").alias("x"), F.when(even, '"a"').otherwise("1").alias("s"), F.when(even, '"2025-01-02T03:04:05Z"').otherwise('"2025-01-02T03:04:05.678Z"').alias("t")
     )
+    seen = profile.values(e).select(F.col("column").alias("path"), infer.json_value_type(F.col("value")).alias("kind")).groupBy("path").agg(F.collect_set("kind").alias("kinds"))
+    return seen.select("path", infer.lattice(F.col("kinds")).alias("type"))
+
+
+# --- nested data -------------------------------------------------------------------------------------
+
+
+@_query("SELECT event_id AS rec_id, user_id AS \"who__id\", (props->>'k')::INT AS \"who__props__k\" FROM events")
+def json_flatten_columns(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.struct(F.struct(F.col("user_id").alias("id"), F.from_json("props", "k int").alias("props")).alias("who")).alias("record"))
+    return nested.entities(e, "event_id")[0].rows
+
+
+def _talks(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return turns.select("conv_id", F.struct("conv_id", "turns").alias("record"))
+
+
+@_query("SELECT conv_id AS rec_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INT AS idx1, turn, role, text FROM conversations")
+def json_array_child_table(spark, sf_dir):
+    return nested.entities(_talks(spark, sf_dir), "conv_id")[1].rows
+
+
+@_query("SELECT vec_id AS rec_id, unnest(range(1, len(embedding) + 1))::INT AS idx1, unnest(embedding)::DOUBLE AS value FROM embeddings")
+def json_array_of_scalars(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.struct("embedding").alias("record"))
+    return nested.entities(e, "vec_id")[1].rows.withColumn("value", F.col("value").cast("double"))
+
+
+@_query("SELECT conv_id, turn, role, text FROM conversations")
+def json_reassemble(spark, sf_dir):
+    root, turns = nested.entities(_talks(spark, sf_dir), "conv_id")
+    whole = nested.reassemble(root.rows, turns.rows, ["rec_id"], "idx1", "turns")
+    return whole.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.*")
+
+
+@_query("SELECT conv_id, array_to_string(list(role ORDER BY turn, role, text), ' | ') AS roles FROM conversations GROUP BY conv_id")
+def list_join(spark, sf_dir):
+    return _talks(spark, sf_dir).select("conv_id", nested.joined_list(F.col("record.turns.role")).alias("roles"))
+
+
+@_query("SELECT vec_id, a::DOUBLE AS a, b::DOUBLE AS b FROM (SELECT vec_id, unnest(embedding[1:3]) AS a, embedding FROM embeddings), unnest(embedding[4:5]) AS u(b)")
+def list_explode(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("a"), F.slice("embedding", 4, 2).alias("b"))
+    return nested.exploded(e, ["a", "b"]).select("vec_id", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+
+
+@_query("SELECT '/root/item' AS parent, 'name' AS child, 1 AS min_children, 1 AS max_children, (SELECT count(*) FROM region) AS n_parents, false AS is_list UNION ALL SELECT '/root/item', 'nation', (SELECT min(n) FROM (SELECT count(*) n FROM nation GROUP BY n_regionkey)), (SELECT max(n) FROM (SELECT count(*) n FROM nation GROUP BY n_regionkey)), (SELECT count(DISTINCT n_regionkey) FROM nation), true UNION ALL SELECT '/root/item/nation', 'key', 1, 1, count(*), false FROM nation")
+def xml_edges(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("key"))).alias("nation"))
+    r = table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.struct(F.col("r_name").alias("name"), "nation").alias("record"))
+    return nested.edges(r).select("parent", "child", F.col("min_children").cast("long").alias("min_children"), F.col("max_children").cast("long").alias("max_children"), "n_parents", "is_list")
+
+
+# --- expectations ------------------------------------------------------------------------------------
+
+
+@_query("SELECT (o_totalprice < 0 OR o_totalprice > 200000) AS rejected, count(*) AS n_rows FROM orders GROUP BY 1")
+def range_check_split(spark, sf_dir):
+    good, bad = quality.split(table(spark, sf_dir, "orders"), {"o_totalprice": (0, 200000)})
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(x).alias("rejected"), "n_rows") for df, x in ((good, False), (bad, True))]).where("n_rows > 0")
+
+
+@_query("SELECT d.doc_id, 'quality is null' AS failed FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL")
+def not_null_check(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return quality.split(d, required=["quality"])[1].select("doc_id", F.array_join("failed", ", ").alias("failed"))
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderkey % 3 <> 0)")
+def fk_orphans(spark, sf_dir):
+    return quality.orphans(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0"), {"l_orderkey": "o_orderkey"}).select("l_orderkey", "l_linenumber")
+
+
+@_query("SELECT text, count(*) AS n_rows FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return quality.repeated_keys(table(spark, sf_dir, "documents"), ["text"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
