@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from loamwork.llm.common import col, held_out
 from loamwork.llm.sample import bounded
 
-BUCKETS, WIDTH, SAMPLE, EPOCHS, RATE, BATCH = 1 << 13, 16, 4000, 30, 0.5, 32
+BUCKETS, WIDTH, SAMPLE, EPOCHS, RATE, BATCH = 1 << 13, 16, 3000, 30, 0.5, 32
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -112,12 +112,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for batch in batches:
             found = [counts(t) for t in batch["text"]]
             at = [np.flatnonzero(c) for c in found]
-            yield pd.DataFrame({"lang": batch["lang"], "at": [a.astype(np.int32) for a in at], "n": [c[a].astype(np.int32) for c, a in zip(found, at, strict=True)]})
+            yield pd.DataFrame({"lang": batch["lang"], "at": [a.astype("<i4").tobytes() for a in at], "n": [c[a].astype("<i4").tobytes() for c, a in zip(found, at, strict=True)]})
 
     # ``sample`` ids at most: the broadcast has a bound that is a parameter.
     texts = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").select("lang", "text")
-    got = texts.limit(sample).mapInPandas(counted, "lang string, at array<int>, n array<int>").collect()
-    return fit([(np.array(r["at"], np.int64), np.array(r["n"], np.int64)) for r in got], [r["lang"] for r in got])
+    got = texts.limit(sample).mapInPandas(counted, "lang string, at binary, n binary").collect()
+    return fit([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in got], [r["lang"] for r in got])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

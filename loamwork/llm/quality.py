@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # ``sample`` rows at most: the broadcast has a bound that is a parameter.
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").mapInPandas(measured, "doc_id long, y int, x array<double>")
     got = sorted((r["doc_id"], r["y"], r["x"]) for r in rows.limit(2 * sample).collect())
-    return fit(np.array([r[2] for r in got], float).reshape(len(got), -1), np.array([r[1] for r in got], float))
+    return fit(np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got], float))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
