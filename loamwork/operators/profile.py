@@ -165,3 +165,12 @@ def cardinalities(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def payload_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     """SHA-256 of the row as JSON with sorted keys: changes when any value does."""
     return F.sha2(F.to_json(F.struct(*[quoted(c) for c in sorted(columns or df.columns)]), {"ignoreNullFields": "false"}), 256)
+
+
+def quality_flags(df: DataFrame, columns: list[str] | None = None, least_year: int = 1970) -> DataFrame:
+    """column, flags: date32_recommended (dates before ``least_year``), anomalies_detected, sorted by name."""
+    names = columns or df.columns
+    early = _batched(df, names, lambda c: [F.coalesce(F.min(F.year(tokens.to_date(quoted(c).cast("string")))) < least_year, F.lit(False)).alias("early")])
+    odd = anomalies(df, names).select(F.col("column").alias("of"), (F.col("constant") | F.col("mostly_null") | F.col("has_edge_spaces")).alias("odd"))
+    flags = F.array_compact(F.array(F.when(F.col("odd"), "anomalies_detected"), F.when(F.col("early"), "date32_recommended")))
+    return early.join(F.broadcast(odd), F.col("of") == F.col("column")).select("column", flags.alias("flags"))  # one row a column

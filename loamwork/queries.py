@@ -385,6 +385,44 @@ def duplicate_keys(spark, sf_dir):
     return quality.repeated_keys(table(spark, sf_dir, "documents"), ["text"])
 
 
+@_query("SELECT 'o_orderdate' AS \"column\", '' AS flags UNION ALL SELECT 'constant', 'anomalies_detected' UNION ALL SELECT 'old', 'date32_recommended'")
+def quality_flags(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), F.lit("x").alias("constant"), F.date_format(F.col("o_orderdate") - F.expr("INTERVAL '100' YEAR"), "yyyy-MM-dd").alias("old"))
+    return profile.quality_flags(o).select("column", F.array_join("flags", ", ").alias("flags"))
+
+
+@_query("""WITH n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INT AS idx1, upper(role) AS role FROM conversations WHERE conv_id % 2 = 0)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INT AS idx1, role FROM conversations WHERE conv_id % 2 = 1 UNION ALL SELECT conv_id, idx1, role FROM n""")
+def child_upsert_composite(spark, sf_dir):
+    rows = nested.entities(_talks(spark, sf_dir), "conv_id")[1].rows.select(F.col("rec_id").alias("conv_id"), "idx1", "role")
+    return routing.upsert(rows, rows.where("conv_id % 2 = 0").withColumn("role", F.upper("role")), ["conv_id", "idx1"])
+
+
+@_query("SELECT 'l_quantity' AS \"column\", min(l_quantity)::BIGINT AS low, max(l_quantity)::BIGINT AS high, 2::INT AS whole_digits, 1::INT AS scale FROM lineitem")
+def profile_scales(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.format_string("%.1f", "l_quantity").alias("l_quantity"))
+    return profile.scales(li, ["l_quantity"]).select("column", F.col("min").cast("bigint").alias("low"), F.col("max").cast("bigint").alias("high"), "whole_digits", "scale")
+
+
+@_query(_each(["user_id", "value"], "SELECT '{c}' AS \"column\", count(DISTINCT {c}) + coalesce(max(({c} IS NULL)::INT), 0) AS n_unique FROM (SELECT user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 97 END AS value FROM events)"))
+def profile_distinct_with_null(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 97).alias("value"))
+    return profile.distinct_with_null(e)
+
+
+@_query("SELECT event_id AS id, (props->>'k')::INT AS k FROM events")
+def json_path_extract(spark, sf_dir):
+    from pyspark.sql.functions import try_parse_json, try_variant_get
+
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), try_variant_get(try_parse_json("props"), "$.k", "int").alias("k"))
+
+
+@_query("SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS n_rows FROM events GROUP BY ALL")
+def counts_by_hour(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n_rows")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "n_rows")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _QUERIES.items()}
 

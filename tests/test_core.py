@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loamwork.functions import tokens, types
 from loamwork.operators import infer, model, nested, profile, quality, routing
 from loamwork.plans import ddl, scratch
-from loamwork.sources import delimited, documents
+from loamwork.sources import delimited, documents, tables
 
 ORDERS = "order_id,user_id,user_email,user_name,order_ts,amount\n1,1,a@x.io,Ann,2025-01-01T10:00:00Z,10.50\n2,2,b@x.io,Bob,2025-01-02T10:00:00Z,20\n3,1,a@x.io,Ann,2025-01-03T10:00:00Z,5.25\n"
 STOCK = "sku,warehouse_id,qty\nP100,101,150\nP100,101,155\nP200,101,7\nP200,102,NULL\n"
@@ -244,3 +244,26 @@ def test_scratch_tables(spark):
     assert df.count() == 10 and df.dtypes == [("id", "bigint"), ("x", "string")]
     small = scratch.broadcast_if_small(df, 10)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in small and "ResolvedHint" not in scratch.broadcast_if_small(df, 9)._jdf.queryExecution().analyzed().toString()
+
+
+def test_table_lifecycle(spark, tmp_path):
+    users = ddl.Table("users", (ddl.Column("id", "int64", False), ddl.Column("name", "string")), ("id",))
+    orders = ddl.Table("orders", (ddl.Column("id", "int64", False), ddl.Column("user_id", "int64"), ddl.Column("seq", "int32")), ("id",), ((("user_id",), "users", ("id",)),))
+    assert [t.name for t in tables.order([orders, users])] == ["users", "orders"]
+    tables.ensure_database(spark, "loam_life")
+    tables.recreate(spark, [orders, users], "loam_life")
+    assert tables.load(spark.range(5).withColumn("extra", F.lit(1)), "users", "loam_life") == 5
+    assert routing.row_counts({t: spark.table(f"loam_life.{t}") for t in ("users", "orders")}).orderBy("name").collect() == [("orders", 0), ("users", 5)]
+    assert tables.preview(spark.table("loam_life.users").orderBy("id"), 1) == "id,name\n0,\n"
+    tables.truncate(spark, [orders, users], "loam_life")
+    assert spark.table("loam_life.users").isEmpty()
+    tables.drop_database(spark, "loam_life")
+    (tmp_path / "a.json").write_text('{"a":\n1}')
+    assert [r.payload for r in tables.registry(spark, f"file://{tmp_path}").collect()] == ['{"a":\n1}']
+    assert tables.unique_keys(orders, ["id", "nope"], "seq") == (("id",), ("user_id", "seq"))
+
+
+def test_json_patch():
+    cols = {"": ["id"], "items": ["sku", "qty"]}
+    assert model.apply_json_patch(cols, {"[items]": "order_items", "[items]::[sku]": "article"}) == {"": ("root", {"id": "id"}), "items": ("order_items", {"sku": "article", "qty": "qty"})}
+    assert model.json_patch_errors({"[x]": "a", "[items]::[z]": "b", "[items]": "Bad", "oops": "c"}, cols) == ["unknown key [x]", "unknown column [items]::[z]", "bad name 'Bad' for [items]", "unknown key oops"]
