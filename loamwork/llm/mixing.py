@@ -84,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
     sized = materialise(sizes(docs, id_col, text_col, source_col), "sizes")
     per = materialise(targets(sized, weights, cap), "targets")
-    rate = per.select(F.col("source").alias("its"), "n_docs", (F.col("target") / F.col("source_size")).alias("rate"))
+    rate = per.select(F.col("source").alias("its"), "n_docs", F.try_divide("target", "source_size").alias("rate"))
     units = (
         sized.join(broadcast_if_small(rate, SMALL), F.col("source").eqNullSafe(F.col("its")))
         .withColumn("rate", F.when(F.col("size") > 0, F.col("rate")).otherwise(F.lit(0.0)))

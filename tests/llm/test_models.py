@@ -1,12 +1,18 @@
 """Classifiers by held-out accuracy, the mix by its promises, the pipeline stage by stage."""
 
+import base64
+import hashlib
+import re
 import zlib
 
 import numpy as np
+import public_tokenizers as P
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loamwork.llm import common, langid, mixing, quality, queries, toxicity
+from tests.llm.test_dedup import _components
 
 
 def _truth(spark, sf):
@@ -123,6 +129,31 @@ def test_mix_on_awkward_and_empty_tables(awkward, nothing):
     got = mixing.mix(awkward).collect()
     assert len(got) == awkward.count() and all(r.taken == 0 for r in got if r.doc_id in (4, 5, 6, 7))
     assert mixing.mix(nothing).collect() == []
+    empty = awkward.where("doc_id in (4, 5)").withColumn("source", F.lit("e")).unionByName(awkward.where("doc_id = 0"))
+    assert {r.doc_id: (r.source_size, r.target) for r in mixing.mix(empty).collect()} == {4: (0, 0.0), 5: (0, 0.0), 0: (60, 60.0)}
+    assert {r.taken for r in mixing.mix(awkward.where("doc_id in (4, 5)")).collect()} == {0}
+
+
+def test_pipeline_run_against_brute_force(spark, sf):
+    """What SQL can't say: each stage's decisions worked out in Python, the model's and the mix's taken from them."""
+    docs = common.documents(spark, sf)
+    toxic = {r.doc_id for r in toxicity.score(docs, toxicity.train(docs, common.labels(spark, sf))).collect() if r.is_toxic}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), i)
+    rows = [(i, t) for i, t in rows if i in set(first.values())]
+    groups = _components(rows)
+    rows = [(i, t) for i, t in rows if groups[i][1] == i]
+    kept = docs.where(F.col("doc_id").isin([i for i, _ in rows]))
+    copies = {r.doc_id: r.copies for r in mixing.mix(kept).collect()}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t in rows:
+        ids = enc.encode_ordinary(t)
+        want += [(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())] * copies[i]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(want)
 
 
 def test_pipeline_stages(spark, awkward, sf):
