@@ -26,12 +26,30 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's own setting: the shuffle files of a finished query are removed at once, not when the driver collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new folder in the shared scratch space and read it back."""
+    """Write ``df`` to a new folder in the shared scratch space and read it back; its shuffle files go."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/loamwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loamwork_path = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` returned; nothing may read it any more."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._loamwork_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:

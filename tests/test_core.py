@@ -242,6 +242,10 @@ def test_streaming_routes(spark, tmp_path):
 def test_scratch_tables(spark):
     df = scratch.materialise(spark.range(10).withColumn("x", F.lit(None).cast("string")), "t")
     assert df.count() == 10 and df.dtypes == [("id", "bigint"), ("x", "string")]
+    gone = scratch.materialise(df, "gone")
+    scratch.release(gone)
+    with pytest.raises(Exception, match="gone-"):
+        gone.collect()
     small = scratch.broadcast_if_small(df, 10)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in small and "ResolvedHint" not in scratch.broadcast_if_small(df, 9)._jdf.queryExecution().analyzed().toString()
 
