@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import col
-from loamwork.plans.scratch import broadcast_if_small, materialise
+from loamwork.plans.scratch import broadcast_if_small, materialise, release
 
 WIDTH, ROUNDS, SKETCH_BITS = 5, 3, 2048
+#: Id tables up to this many rows are broadcast; larger ones are joined by a shuffle.
+SMALL = 200_000
 #: Word hashes that a task remembers: about 100 MB at most.
 REMEMBERED = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -120,7 +122,7 @@ def sketch(sets: np.ndarray) -> bytes:
     return np.packbits(np.bincount((sets & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
 
 
-_SETS = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, pivots array<long>, doubled array<boolean>"
+_SETS = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, keys array<long>, pivots array<long>, doubled array<boolean>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +130,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     document of the batch that has it (``pivots``), and whether others of the batch have it too (``doubled``)."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        sizes, digests, keys, owner = [], [], [], []
+        sizes, digests, sketches, keys = [], [], [], []
         first: dict[bytes, int] = {}
         for i, text in zip(ids, texts, strict=True):
             s = shingles(text.as_py())
             digest = xxhash.xxh3_128_digest(s.tobytes())
             sizes.append(len(s))
             digests.append(digest)
+            sketches.append(sketch(s))
             fresh = i is not None and first.setdefault(digest, i) == i
             keys.append(part_keys(s) if fresh else np.zeros(0, np.uint64))
         lengths = [len(k) for k in keys]
@@ -151,13 +154,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
         d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, pivots, doubled)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *lists], names=[x.split()[0] for x in _SETS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sketches, pa.binary()), *lists], names=[x.split()[0] for x in _SETS.split(", ")])
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [shingles(t) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in found], "sketch": [sketch(s) for s in found], "set": [s.tobytes() for s in found]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "set": [shingles(t).tobytes() for t in batch["text"]]})
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,12 +182,20 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked: a filter on the sketches, then the whole sets."""
-    side = lambda c, x: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col(x).alias(f"s{c}"))
-    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(_near, "a long, b long")
-    near = materialise(near, "near-pairs")
-    return materialise(near.join(side("a", "set"), "a").join(side("b", "set"), "b").select("a", "b", "sa", "sb").mapInPandas(_linked, "a long, b long"), "links")
+def verified(pairs: DataFrame, lite: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked: a filter on the sketches, then the whole sets of what is left.
+
+    lite: doc_id, n_shingles, sketch; texts: doc_id, text. Only texts of pairs that pass the filter are read into sets.
+    """
+    side = lambda c: lite.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(_near, "a long, b long")
+    near = materialise(near.distinct(), "near-pairs")
+    ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+    whole = materialise(texts.join(broadcast_if_small(ids, SMALL), "doc_id", "left_semi").mapInPandas(_whole, "doc_id long, set binary"), "whole-sets")
+    of = lambda c: whole.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
+    links = materialise(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInPandas(_linked, "a long, b long").distinct(), "links")
+    release(whole)
+    return links
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -226,12 +236,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = materialise(counted, "shared-parts")
     # A copy's parts are those of the document that stands for its class; parts that only copies share go.
     stands = copies.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("a"))
-    members = rows.select("key", "doc_id").join(counted, "key").join(broadcast_if_small(stands, 200_000), "doc_id", "left").select("key", F.coalesce("a", "doc_id").alias("doc_id")).distinct()
+    members = rows.select("key", "doc_id").join(counted, "key").join(broadcast_if_small(stands, SMALL), "doc_id", "left").select("key", F.coalesce("a", "doc_id").alias("doc_id")).distinct()
     members = materialise(members, "part-members")
     pivots = materialise(members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot"), "pivots")
     shared = materialise(members.join(pivots, "key"), "shared-members")
-    held = materialise(shared.select("doc_id").distinct(), "held")
-    whole = materialise(own.where("doc_id is not null").join(broadcast_if_small(held, 200_000), "doc_id", "left_semi").mapInPandas(_whole, "doc_id long, n long, sketch binary, set binary").dropDuplicates(["doc_id"]), "whole-sets")
+    lite = materialise(sets.select("doc_id", "n_shingles", "sketch"), "sketches")
+    release(sets)
+    release(members)
     links, tested, comp = copies, None, components(copies) if not copies.isEmpty() else copies.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def labelled(df: DataFrame, c: str) -> DataFrame:
@@ -247,7 +258,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         best = materialise(left.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
         if best.isEmpty():
             break
-        new = verified(best, whole)
+        new = verified(best, lite, own)
         tested = best if tested is None else tested.unionByName(best)
         if not new.isEmpty():
             links = links.unionByName(new)
@@ -260,10 +271,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     across = members.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     if tested is not None:
         across = across.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    new = verified(materialise(across, "across"), whole)
+    new = verified(materialise(across, "across"), lite, own)
     if not new.isEmpty():
         comp = components(links.unionByName(new))
-    return sets.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id")).alias("component_id"))
+    return lite.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id")).alias("component_id"))
 
 
 ORACLE_SQL = r"""
