@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,3 +117,39 @@ def edges(df: DataFrame, value: str = "record", root: str = "/root/item") -> Dat
     for s in stats[1:]:
         out = out.unionByName(s)
     return out
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Rows numbered from 1 along ``order``, without bringing them into one task.
+
+    Rows are dealt to ranges of ``order`` and numbered within; a range starts after all rows of the ranges before
+    it, of which there are as many as shuffle partitions.
+    """
+    from loamwork.plans.scratch import materialise
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = [quoted(c) for c in order]
+    dealt = materialise(df.repartitionByRange(n, *cells).withColumn("__range", F.spark_partition_id()), "numbered")
+    before = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = before.select(F.col("__range").alias("__of"), (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*cells))
+    return dealt.withColumn("__i", inside).join(F.broadcast(before), F.col("__of") == F.col("__range")).withColumn(name, F.col("__before") + F.col("__i")).drop("__range", "__i", "__of", "__before")
+
+
+def surrogates(found: list[Entity]) -> list[Entity]:
+    """The same tables keyed by ``id`` (document order), the parent's id as ``<parent>_id``, and ``seq`` within the parent.
+
+    The names of generated columns give way to nothing: a field of the same name gets an underscore.
+    """
+    out: dict[str, Entity] = {}
+    for e in found:
+        made = ["id"] if e.parent is None else ["id", f"{e.parent}_id", "seq"]
+        fields = [c for c in e.rows.columns if c not in e.keys]
+        rows = e.rows.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(e.keys)], *[quoted(c).alias(f"{c}_" if c in made else c) for c in fields])
+        keys = [f"__k{i}" for i in range(len(e.keys))]
+        rows = numbered(rows, keys)
+        if e.parent is not None:
+            up = out[e.parent].rows.select(*keys[:-1], F.col("id").alias(f"{e.parent}_id"))
+            rows = rows.join(up, keys[:-1]).withColumn("seq", F.col(keys[-1]))
+        out[e.name] = Entity(e.name, e.path, e.parent, ("id",), rows)
+    return [Entity(e.name, e.path, e.parent, e.keys, e.rows.drop(*[c for c in e.rows.columns if c.startswith("__k")])) for e in out.values()]

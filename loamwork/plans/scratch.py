@@ -21,7 +21,9 @@ def scratch_root(spark: SparkSession) -> str:
         ours = spark.sparkContext._jsc.sc().getCheckpointDir()
         if ours.isDefined():
             return ours.get()
-        root = f"file://{tempfile.mkdtemp(prefix='loamwork-')}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes of the cluster share")
+        root = f"file://{tempfile.mkdtemp(prefix='loamwork-')}"  # one machine: nothing else has to see it
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 

@@ -410,6 +410,12 @@ def profile_distinct_with_null(spark, sf_dir):
     return profile.distinct_with_null(e)
 
 
+@_query("""SELECT row_number() OVER (ORDER BY c.conv_id, turn, role, text) AS id, p.id AS talk_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn, role, text)::INT AS seq, turn, role
+FROM conversations c JOIN (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS id FROM (SELECT DISTINCT conv_id FROM conversations)) p USING (conv_id)""")
+def surrogate_keys(spark, sf_dir):
+    return nested.surrogates(nested.entities(_talks(spark, sf_dir), "conv_id", name="talk"))[1].rows.select("id", "talk_id", "seq", "turn", "role")
+
+
 @_query("SELECT event_id AS id, (props->>'k')::INT AS k FROM events")
 def json_path_extract(spark, sf_dir):
     from pyspark.sql.functions import try_parse_json, try_variant_get

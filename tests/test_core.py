@@ -135,6 +135,9 @@ def test_xml(spark, tmp_path):
     wrapped = records.select(F.col("code").cast("long").alias("rec_id"), F.struct("*").alias("record"))
     found = {e.name: e.rows.collect() for e in nested.entities(wrapped, "rec_id", name="item")}
     assert sorted((r.code, r.p__q) for r in found["item"]) == [(1, "a"), (2, None)] and [tuple(r) for r in found["item__c"]] == [(1, 1, 1), (1, 2, 2)]
+    keyed = {e.name: e.rows for e in nested.surrogates(nested.entities(wrapped, "rec_id", name="item"))}
+    assert sorted((r.id, r.code, r.p__q) for r in keyed["item"].collect()) == [(1, 1, "a"), (2, 2, None)]
+    assert sorted((r.id, r.item_id, r.seq, r.n) for r in keyed["item__c"].collect()) == [(1, 1, 1, 1), (2, 1, 2, 2)]
     edges = [r.asDict() for r in nested.edges(wrapped).collect()]
     assert {(e["child"], e["min_children"], e["max_children"], e["is_list"]) for e in edges} == {("code", 1, 1, False), ("p", 0, 1, False), ("q", 1, 1, False), ("c", 0, 2, True), ("n", 1, 1, False)}
     assert model.entity_fields(edges, "/root/item") == {"/root/item": {"parent": None, "fields": {"code": {"optional": False}, "p/q": {"optional": True}}}, "/root/item/c": {"parent": "/root/item", "fields": {"n": {"optional": False}}}}
