@@ -8,8 +8,9 @@ in at most k = (a + b) / 7 of them, the sketches' Hamming distance is at most th
 parts are equal (pigeonhole). With all parts in one fixed order (fullest first), two such sets
 therefore share a part among the first k + 1 of each: only these are joined.
 
-Candidates are filtered by a dense 2048-bit parity sketch, whose Hamming distance also bounds the symmetric
-difference from below, and verified on the whole shingle sets. Groups of copies never turn into all pairs:
+Candidates are filtered by dense parity sketches (1024 bits within the join, about four bits a shingle after
+it), whose Hamming distance also bounds the symmetric difference from below, and verified on the whole shingle
+sets. Groups of copies never turn into all pairs:
 1. equal sets are one class (the smallest doc_id stands for it);
 2. in ``ROUNDS`` rounds each document is verified against one document of another component that holds the
    smallest id under a part they share, the one it shares most parts with; links merge components;
@@ -36,11 +37,11 @@ from pyspark.sql import functions as F
 from loamwork.llm.common import col
 from loamwork.plans.scratch import broadcast_if_small, materialise, release
 
-WIDTH, ROUNDS, SKETCH_BITS = 5, 3, 2048
+WIDTH, ROUNDS, SHORT_BITS = 5, 3, 1024
 #: Id tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 SMALL = 200_000
-#: Word hashes that a task remembers: about 100 MB at most.
-REMEMBERED = 1_000_000
+#: Word hashes that a task remembers: about 50 MB at most.
+REMEMBERED = 300_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -117,12 +118,29 @@ def part_keys(sets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def sketch(sets: np.ndarray) -> bytes:
-    """A dense parity sketch: each shingle flips one of ``SKETCH_BITS`` bits."""
-    return np.packbits(np.bincount((sets & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+def sketch(sets: np.ndarray) -> np.ndarray:
+    """A dense parity sketch as bits: each shingle flips one of about four times as many bits as there are shingles."""
+    bits = max(SHORT_BITS, 1 << int(4 * len(sets)).bit_length())
+    return (np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
 
 
-_SETS = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, keys array<long>, pivots array<long>, doubled array<boolean>"
+def folded(bits: np.ndarray, to: int) -> np.ndarray:
+    """The sketch that the same shingles would have with fewer bits: the XOR of its parts."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, to), axis=0)
+
+
+def short(bits: np.ndarray) -> np.ndarray:
+    """The sketch folded to ``SHORT_BITS`` bits, as 64-bit numbers."""
+    return np.packbits(folded(bits, SHORT_BITS)).view("<i8")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two packed sketches, the longer folded to the shorter."""
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, n) ^ folded(y, n)).sum(dtype=np.int64))
+
+
+_SETS = "doc_id long, n_shingles long, d1 long, d2 long, short array<long>, sketch binary, keys array<long>, pivots array<long>, doubled array<boolean>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +148,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     document of the batch that has it (``pivots``), and whether others of the batch have it too (``doubled``)."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        sizes, digests, sketches, keys = [], [], [], []
+        sizes, digests, sketches, shorts, keys = [], [], [], [], []
         first: dict[bytes, int] = {}
         for i, text in zip(ids, texts, strict=True):
             s = shingles(text.as_py())
             digest = xxhash.xxh3_128_digest(s.tobytes())
             sizes.append(len(s))
             digests.append(digest)
-            sketches.append(sketch(s))
+            bits = sketch(s)
+            sketches.append(np.packbits(bits).tobytes())
+            shorts.append(short(bits))
             fresh = i is not None and first.setdefault(digest, i) == i
             keys.append(part_keys(s) if fresh else np.zeros(0, np.uint64))
         lengths = [len(k) for k in keys]
@@ -154,7 +174,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
         d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, pivots, doubled)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sketches, pa.binary()), *lists], names=[x.split()[0] for x in _SETS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(shorts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *lists], names=[x.split()[0] for x in _SETS.split(", ")])
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,14 +182,18 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "set": [shingles(t).tobytes() for t in batch["text"]]})
 
 
+def _close(x: str, y: str):
+    """Condition that two sides' sizes and short sketches (``n`` and ``short`` under an alias) could be of linked sets."""
+    far = F.expr(" + ".join(f"bit_count({x}.short[{i}] ^ {y}.short[{i}])" for i in range(SHORT_BITS // 64)))
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return (4 * F.least(f"{x}.n", f"{y}.n") >= 3 * F.greatest(f"{x}.n", f"{y}.n")) & (far * 7 <= n)
+
+
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose sketches are no farther apart than linked sets can be."""
+    """Pairs whose whole sketches are no farther apart than linked sets can be."""
     for batch in batches:
-        if len(batch):
-            a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("sa", "sb"))
-            far = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            batch = batch[far * 7 <= (batch["na"] + batch["nb"]).to_numpy()]
-        yield batch[["a", "b"]]
+        keep = [apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * 7 <= n for x, y, n in zip(batch["sa"], batch["sb"], batch["n"], strict=True)]
+        yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,13 +207,14 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def verified(pairs: DataFrame, lite: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked: a filter on the sketches, then the whole sets of what is left.
+    """The pairs (a, b) that are linked: filters on the short and the whole sketches, then the whole sets of what is left.
 
-    lite: doc_id, n_shingles, sketch; texts: doc_id, text. Only texts of pairs that pass the filter are read into sets.
+    lite: doc_id, n, short, sketch; texts: doc_id, text. Only texts of pairs that pass the filters are read into sets.
     """
-    side = lambda c: lite.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").mapInPandas(_near, "a long, b long")
-    near = materialise(near.distinct(), "near-pairs")
+    x, y = (lite.select(F.col("doc_id").alias(c), "n", "short").alias(c) for c in "ab")
+    close = materialise(pairs.alias("p").join(x, F.col("p.a") == F.col("a.a")).join(y, (F.col("p.b") == F.col("b.b")) & _close("a", "b")).select("p.a", "p.b", (F.col("a.n") + F.col("b.n")).alias("n")).distinct(), "close-pairs")
+    x, y = (lite.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    near = materialise(close.join(x, "a").join(y, "b").mapInPandas(_near, "a long, b long").distinct(), "near-pairs")
     ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
     whole = materialise(texts.join(broadcast_if_small(ids, SMALL), "doc_id", "left_semi").mapInPandas(_whole, "doc_id long, set binary"), "whole-sets")
     of = lambda c: whole.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
@@ -240,7 +265,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = materialise(members, "part-members")
     pivots = materialise(members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot"), "pivots")
     shared = materialise(members.join(pivots, "key"), "shared-members")
-    lite = materialise(sets.select("doc_id", "n_shingles", "sketch"), "sketches")
+    lite = materialise(sets.select("doc_id", F.col("n_shingles").alias("n"), "short", "sketch"), "sketches")
     release(sets)
     release(members)
     links, tested, comp = copies, None, components(copies) if not copies.isEmpty() else copies.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -267,14 +292,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = labelled(shared.select("key", "doc_id"), "doc_id").withColumnRenamed("of_doc_id", "comp")
     members = materialise(members, "labelled-members")
     mixed = materialise(members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
-    members = materialise(members.join(mixed, "key"), "mixed-members")
-    across = members.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    members = materialise(members.join(mixed, "key").join(lite.select("doc_id", "n", "short"), "doc_id"), "mixed-members")
+    across = members.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _close("x", "y")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     if tested is not None:
         across = across.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     new = verified(materialise(across, "across"), lite, own)
     if not new.isEmpty():
         comp = components(links.unionByName(new))
-    return lite.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id")).alias("component_id"))
+    return lite.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id")).alias("component_id"))
 
 
 ORACLE_SQL = r"""
