@@ -38,6 +38,8 @@ from loamwork.llm.common import col
 from loamwork.plans.scratch import broadcast_if_small, materialise, release
 
 WIDTH, ROUNDS, SHORT_BITS = 5, 3, 1024
+#: Documents whose equal sets and parts a task merges before rows are shuffled.
+TOGETHER = 2000
 #: Id tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 SMALL = 200_000
 #: Word hashes that a task remembers: about 50 MB at most.
@@ -144,37 +146,42 @@ _SETS = "doc_id long, n_shingles long, d1 long, d2 long, short array<long>, sket
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document. In a batch only the first of equal sets has keys; each key has the first
-    document of the batch that has it (``pivots``), and whether others of the batch have it too (``doubled``)."""
+    """A row for each document. Of ``TOGETHER`` documents only the first of equal sets has keys; each key has the first
+    of them that has it (``pivots``), and whether others have it too (``doubled``)."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        sizes, digests, sketches, shorts, keys = [], [], [], [], []
-        first: dict[bytes, int] = {}
-        for i, text in zip(ids, texts, strict=True):
-            s = shingles(text.as_py())
-            digest = xxhash.xxh3_128_digest(s.tobytes())
-            sizes.append(len(s))
-            digests.append(digest)
-            bits = sketch(s)
-            sketches.append(np.packbits(bits).tobytes())
-            shorts.append(short(bits))
-            fresh = i is not None and first.setdefault(digest, i) == i
-            keys.append(part_keys(s) if fresh else np.zeros(0, np.uint64))
-        lengths = [len(k) for k in keys]
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-        owner = np.repeat(np.array([-1 if i is None else i for i in ids], np.int64), lengths)
-        # In each run of equal keys the smallest owner is the pivot.
-        order = np.lexsort((owner, flat))
-        head = np.concatenate([[True], flat[order][1:] != flat[order][:-1]]) if len(flat) else np.zeros(0, bool)
+        for low in range(0, len(batch), TOGETHER):
+            yield _merged(batch.slice(low, TOGETHER))
+
+
+def _merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids = batch.column(0).to_pylist()
+    sizes, digests, sketches, shorts, keys = [], [], [], [], []
+    first: dict[bytes, int] = {}
+    for i, text in zip(ids, batch.column(1), strict=True):
+        s = shingles(text.as_py())
+        digest = xxhash.xxh3_128_digest(s.tobytes())
+        bits = sketch(s)
+        sizes.append(len(s))
+        digests.append(digest)
+        sketches.append(np.packbits(bits).tobytes())
+        shorts.append(short(bits))
+        keys.append(part_keys(s) if i is not None and first.setdefault(digest, i) == i else np.zeros(0, np.uint64))
+    lengths = [len(k) for k in keys]
+    flat = np.concatenate(keys).view(np.int64)
+    owner = np.repeat(np.array([-1 if i is None else i for i in ids], np.int64), lengths)
+    # In each run of equal keys the smallest owner is the pivot.
+    order = np.lexsort((owner, flat))
+    pivots, doubled = np.empty(len(flat), np.int64), np.empty(len(flat), bool)
+    if len(flat):
+        head = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
         run = np.cumsum(head) - 1
-        pivots, doubled = np.empty(len(flat), np.int64), np.empty(len(flat), bool)
-        if len(flat):
-            pivots[order] = owner[order][head][run]
-            doubled[order] = np.bincount(run)[run] > 1
-        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, pivots, doubled)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(shorts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *lists], names=[x.split()[0] for x in _SETS.split(", ")])
+        pivots[order] = owner[order][head][run]
+        doubled[order] = np.bincount(run)[run] > 1
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, pivots, doubled)]
+    columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(shorts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *lists]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SETS.split(", ")])
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
