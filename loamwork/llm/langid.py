@@ -95,7 +95,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], languages: list[str], bucket
     check = np.flatnonzero(kept) if kept.any() else train
     z = x[check] @ table + b
     loss = lambda t: -np.log(softmax(z / t)[np.arange(len(check)), y[check]] + 1e-9).mean()
-    temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
+    temperature = float(min(np.geomspace(0.5, 10, 41), key=loss))
     p = softmax(z / temperature)
     right = p.argmax(axis=1) == y[check]
     # Rejected: scores below all but one in a hundred of the right predictions of that language.
@@ -110,13 +110,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [counts(t) for t in batch["text"]]
-            at = [np.flatnonzero(c) for c in found]
-            yield pd.DataFrame({"lang": batch["lang"], "at": [a.astype("<i4").tobytes() for a in at], "n": [c[a].astype("<i4").tobytes() for c, a in zip(found, at, strict=True)]})
+            found = []
+            for text in batch["text"]:
+                c = counts(text)
+                at = np.flatnonzero(c)
+                found.append((at.astype("<i4").tobytes(), c[at].astype("<i4").tobytes()))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "at": [a for a, _ in found], "n": [n for _, n in found]})
 
     # ``sample`` ids at most: the broadcast has a bound that is a parameter.
-    texts = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").select("lang", "text")
-    got = texts.limit(sample).mapInPandas(counted, "lang string, at binary, n binary").collect()
+    texts = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    got = texts.mapInPandas(counted, "doc_id long, lang string, at binary, n binary").limit(2 * sample).collect()
+    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["at"])))
     return fit([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in got], [r["lang"] for r in got])
 
 
