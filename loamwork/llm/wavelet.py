@@ -1,6 +1,7 @@
 """Token ids in files of wavelet matrices, and the way back.
 
-Texts are encoded with the tokenizers library, an end id closes each document, and the ids of consecutive
+Texts are encoded as the tokenizers library does at its defaults (an added token in a text is that one
+id; no special tokens are put around), an end id closes each document, and the ids of consecutive
 documents (ascending id) fill shards of about ``SHARD`` tokens. A shard is one wavelet matrix: its own
 alphabet, one bit-plane for each bit of the ids' places in that alphabet, each plane stably sorted by the
 planes above it, with counts of ones before every block of 512 bits. ``access``, ``count`` and ``locate``
@@ -157,16 +158,19 @@ class WordEncoder:
 
     A space after anything but white space starts a new match of the byte-level splitting pattern, so
     a text falls into words there, and each word's ids don't depend on the others. A new word is split by
-    the pattern, a new piece goes through the tokenizer's merges.
+    the pattern, a new piece goes through the tokenizer's merges. With ``added_tokens`` a text that holds
+    one of the file's added tokens goes through the library whole, as those cut across words; without, they
+    are plain text.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, ByteLevel):
             raise ValueError(f"{tokenizer_file} is not plainly byte-level; its words can't be encoded apart")
+        self.library, self.added = tokenizer.encode, [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.split, self.merge = regex.compile(PATTERN).findall, tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}  # a word stands for itself with a space before it
         self.pieces: dict[str, bytes] = {}
@@ -187,6 +191,8 @@ class WordEncoder:
         """The text's ids as little-endian 16-bit integers."""
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return np.array(self.library(text, add_special_tokens=False).ids, "<u2").tobytes()
         first, *rest = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
         ids = list(map(self.words.get, rest))
         at = ids.index(None) if None in ids else -1
@@ -204,8 +210,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(tokenizer_file: str) -> WordEncoder:
-    return WordEncoder(tokenizer_file)
+def word_encoder(tokenizer_file: str, added_tokens: bool = False) -> WordEncoder:
+    return WordEncoder(tokenizer_file, added_tokens)
 
 
 _FILE = "part int, shard int, start_in_part long, n_ids long, doc_ids array<long>, n_tokens array<int>, matrix binary"
@@ -216,7 +222,7 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "do
     end = np.array([end_id], "<u2").tobytes()
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = word_encoder(tokenizer_file)
+        enc = word_encoder(tokenizer_file, added_tokens=True)
         part, shard, start, ids, lengths, raw = None, 0, 0, [], [], []
 
         def close() -> pd.DataFrame:

@@ -84,6 +84,18 @@ def test_token_files(spark, awkward, nothing, tmp_path):
     assert wavelet.read_documents(spark, f"file://{tmp_path}/none").collect() == []
 
 
+def test_added_tokens_are_encoded_as_the_library_does_by_default(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(FILE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext", "none here", *_texts(500, 3)]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    wavelet.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), FILE, f"file://{tmp_path}/ids")
+    start = 0
+    for r, (i, t) in zip(wavelet.read_documents(spark, f"file://{tmp_path}/ids").orderBy("start").collect(), enumerate(texts), strict=True):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        assert tuple(r) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), repr(t)
+        start += len(ids)
+
+
 def test_fingerprints_of_neighbours(awkward, nothing):
     rows = sorted(((r.doc_id, r.text or "") for r in awkward.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     want = []
