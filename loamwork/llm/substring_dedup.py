@@ -1,10 +1,13 @@
 """Substring deduplication: content-defined chunks by a gear rolling hash, repeated passages by digest.
 
 Each text is cut at word ends where a gear hash of the last 32 bytes says so (chunks of ``SHORTEST`` to
-``LONGEST`` bytes, about 30), so an insertion moves the cuts near it only. Every run of ``RUN`` chunks has
+``LONGEST`` bytes, about 30), so an insertion moves the cuts near it only. Where it says so nowhere within
+``LONGEST`` bytes, the cut is where the hash is smallest: at a word end, or in text without white space at
+any character's end. Every run of ``RUN`` chunks has
 a 128-bit digest. A digest that occurs more than once marks a repeated passage; the passage stays where
 it occurs first (smallest doc_id, then place) and is removed elsewhere, provided it is at least
-``LEAST_WORDS`` words long as marked. Edges of a passage shorter than a chunk stay.
+``LEAST_WORDS`` words long as marked, a run of over ``LONGEST_WORD`` characters without white space counting
+as a word for each ``WORD_CHARS`` of them. Edges of a passage shorter than a chunk stay.
 
 Counting is a grouped minimum with partial aggregation, and marking is a join whose two sides are both
 shuffled, so a passage of a third of all documents is split over tasks. Only a document's own marks meet
@@ -30,6 +33,8 @@ from loamwork.llm.common import col
 from loamwork.plans.scratch import materialise
 
 SHORTEST, LONGEST, MASK, RUN, LEAST_WORDS = 12, 64, 0b11, 4, 24
+#: A word with its space in characters, and how many a run without white space may have to be one word.
+WORD_CHARS, LONGEST_WORD = 6, 18
 _SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
@@ -50,19 +55,27 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _ranked(data: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For a cut after each byte, smallest first: the hash at word ends, then that at other characters' ends, then all else."""
+    rank = np.where(_SPACES[data], h >> np.uint32(1), h >> np.uint32(1) | np.uint32(1 << 31))
+    rank[:-1][data[1:] & 0xC0 == 0x80] = 0xFFFFFFFF
+    return rank
+
+
 def cuts(raw: bytes, shortest: int = SHORTEST, longest: int = LONGEST, mask: int = MASK) -> list[int]:
     """Where chunks begin and end: 0, ..., len(raw). Cuts never split a character."""
     n = len(raw)
     if not n:
         return [0]
     data = np.frombuffer(raw, np.uint8)
-    ends = np.flatnonzero(_SPACES[data] & ((gear_hash(data) >> np.uint32(16)) & np.uint32(mask) == 0)) + 1
-    out, last = [0], 0
+    h = gear_hash(data)
+    ends = np.flatnonzero(_SPACES[data] & ((h >> np.uint32(16)) & np.uint32(mask) == 0)) + 1
+    out, last, rank = [0], 0, None
     for end in [*ends.tolist(), n]:
         while end - last > longest:
-            last += longest
-            while last < n and raw[last] & 0xC0 == 0x80:
-                last += 1
+            if rank is None:
+                rank = _ranked(data, h)
+            last += longest - int(rank[last + shortest - 1 : last + longest][::-1].argmin())  # of equals the last
             out.append(last)
         if end - last >= shortest or end == n and end > last:
             out.append(end)
@@ -97,6 +110,11 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "h1 long, h2 long, doc_id long, place int")
 
 
+def n_words(raw: bytes) -> int:
+    """Words of a passage, text without white space being counted by its characters."""
+    return sum(1 if len(w) <= LONGEST_WORD or (n := len(w.decode())) <= LONGEST_WORD else n // WORD_CHARS for w in raw.split())
+
+
 _OUT = "doc_id long, n_chars long, n_chunks int, n_repeated_chunks int, has_repeat boolean, n_removed_chars long, removed array<struct<start:int,end:int,first_doc_id:long>>, first_doc_ids array<long>, text string"
 
 
@@ -120,7 +138,7 @@ def _cleaned(doc_id, text: str, marks, least_words: int):
     def spans(flags: np.ndarray) -> list[tuple[int, int]]:
         edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
         found = [(int(a), int(b)) for a, b in edges.reshape(-1, 2)]
-        return [(a, b) for a, b in found if len(raw[at[a] : at[b]].split()) >= least_words]
+        return [(a, b) for a, b in found if n_words(raw[at[a] : at[b]]) >= least_words]
 
     removed, kept, last = [], [], 0
     for a, b in spans(gone):

@@ -155,6 +155,33 @@ def test_substring_dedup_finds_planted_passages(spark):
             assert not r.has_repeat and r.text == " ".join(own[i])
 
 
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x5600))), "".join(map(chr, range(0x0E01, 0x0E2F))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_substring_dedup_without_spaces(spark, letters):
+    """Passages of 400 characters in text without white space, at every shift of their place."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choices(letters, k=n))
+    rows, passages = [], []
+    for k in range(40):
+        passages.append(some(400))
+        rows += [(2 * k, some(200) + passages[-1] + some(150)), (2 * k + 1, some(201 + k) + passages[-1] + some(90))]
+    rows += [(100, rows[0][1]), (101, some(1000)), (102, some(60))]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    text = dict(rows)
+    found = [got[2 * k + 1].n_removed_chars for k in range(40)]
+    assert sum(n >= 200 for n in found) >= 38 and max(found) <= 400, found
+    for k, p in enumerate(passages):
+        r = got[2 * k + 1]
+        assert all(text[r.doc_id][x.start : x.end] in p and x.first_doc_id == 2 * k for x in r.removed)
+        assert got[2 * k].n_removed_chars == 0 and got[2 * k].text == text[2 * k]
+    assert got[100].text == "" and got[100].first_doc_ids == [0]
+    assert all(got[i].text == text[i] and not got[i].has_repeat for i in (101, 102))
+
+
+def test_words_of_spaced_text_are_counted_as_words():
+    assert substring_dedup.n_words(b"the  international\nagreement ") == 3
+    assert substring_dedup.n_words("日本語 のテキスト".encode()) == 2 and substring_dedup.n_words("日".encode() * 60) == 10
+
+
 def test_substring_dedup_on_awkward_rows(awkward, nothing):
     got = {r.doc_id: r for r in substring_dedup.substring_dedup(awkward).collect()}
     assert got[4].text == got[5].text == "" and got[8].text == "one"
