@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``docs``. A stage's output is written as Parquet and read again before the next one starts, so a lost
 executor repeats one stage's tasks at most. Rows without a doc_id can't be told apart: no stage drops or
-repeats them for another row's sake.
+repeats them for another row's sake. Of rows with one doc_id and one text (white space aside) one stays;
+rows of one doc_id with different texts are told apart by them in exact dedup.
 """
 
 from __future__ import annotations
@@ -25,6 +26,25 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(broadcast_if_small(ids, SMALL), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each doc_id and text, as exact dedup reads texts; rows without a doc_id all stay.
+
+    Only rows of ids that repeat are grouped.
+    """
+    ids = materialise(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
+    if ids.isEmpty():
+        return docs
+    ids = broadcast_if_small(ids, SMALL)
+    rest = docs.join(ids, docs["doc_id"] == F.col("__id"), "left_anti")
+    repeated = docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi").withColumn("__sha", _sha())
+    first = repeated.groupBy("doc_id", "__sha").agg(F.min_by(F.struct(*[common.col(c) for c in docs.columns]), F.struct(common.col("text"), F.xxhash64(*[common.col(c) for c in docs.columns]))).alias("__row"))
+    return rest.unionByName(first.select("__row.*"))
+
+
+def _sha():
+    return F.sha2(exact_dedup.normalised(F.col("text")), 256)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model grades as clean."""
     model = toxicity.train(docs, common.labels(spark, sf_dir))
@@ -33,7 +53,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    docs = _once(docs)
+    gone = exact_dedup.exact_dedup(docs).where("not kept and doc_id is not null")
+    gone = materialise(gone.select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct(), "dropped")
+    return docs.join(broadcast_if_small(gone, SMALL), (docs["doc_id"] == F.col("__gone")) & (_sha() == F.col("__sha")), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,6 +156,14 @@ def test_pipeline_run_against_brute_force(spark, sf):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(want)
 
 
+def test_exact_dedup_stage_drops_rows_not_ids(spark, sf):
+    """A copy's unique namesake stays, and a row repeated whole stays once."""
+    rows = [(1, "one text here"), (2, "one text  here"), (2, "a unique text"), (3, "twice the same"), (3, "twice the same"), (None, "no id"), (None, "no id"), (4, None), (4, None)]
+    got = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    want = [(1, "one text here"), (2, "a unique text"), (3, "twice the same"), (None, "no id"), (None, "no id"), (4, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_stages(spark, awkward, sf):
     docs, sizes = common.documents(spark, sf), []
     for _, stage in corpus_pipeline.STAGES[:3]:
