@@ -27,7 +27,7 @@ def measures(df: DataFrame, columns: list[str] | None = None, rules: tokens.Toke
         "n": F.count(some), "bool": share(tokens.to_bool(some, rules).isNotNull()), "number": share(number.isNotNull()), "integral": share(exact == F.floor(exact)), "plain_int": share(F.col("bare").rlike(r"^[+-]?\d+$")),
         "float": share(F.col("bare").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), "time": share(time.isNotNull()), "json": share(tokens.as_json(some).isNotNull()),
         "midnight": F.coalesce(F.avg((time == F.date_trunc("day", time)).cast("double")), F.lit(0.0)), "fractional": F.coalesce(F.avg((time != F.date_trunc("second", time)).cast("double")), F.lit(0.0)),
-        "low": F.min(exact), "high": F.max(exact), "whole": F.coalesce(F.max(whole), F.lit(0)), "scale": F.coalesce(F.max(scale), F.lit(0)), "distinct": F.approx_count_distinct(some),
+        "low": F.min(exact), "high": F.max(exact), "whole": F.coalesce(F.max(whole), F.lit(0)), "scale": F.coalesce(F.max(scale), F.lit(0)), "distinct": F.count_distinct(some),
     }
     return read.groupBy("column").agg(*[v.alias(k) for k, v in found.items()])
 

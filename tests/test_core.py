@@ -274,3 +274,11 @@ def test_json_patch():
     cols = {"": ["id"], "items": ["sku", "qty"]}
     assert model.apply_json_patch(cols, {"[items]": "order_items", "[items]::[sku]": "article"}) == {"": ("root", {"id": "id"}), "items": ("order_items", {"sku": "article", "qty": "qty"})}
     assert model.json_patch_errors({"[x]": "a", "[items]::[z]": "b", "[items]": "Bad", "oops": "c"}, cols) == ["unknown key [x]", "unknown column [items]::[z]", "bad name 'Bad' for [items]", "unknown key oops"]
+
+
+def test_low_cardinality_is_decided_by_exact_counts(spark):
+    from loamwork.operators import infer
+
+    df = spark.range(5010).selectExpr(*[f"concat('{c}', id % 500) AS {c}500" for c in "pqrstuvw"], *[f"concat('{c}', id % 501) AS {c}501" for c in "pqrstuvw"])
+    got = {r["column"]: r["type"] for r in infer.threshold_types(df, lowcard_max=500).collect()}
+    assert got == {c: "lowcard_string" if c.endswith("500") else "string" for c in df.columns}
