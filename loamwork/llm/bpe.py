@@ -1,19 +1,22 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Each task builds the encoder once from the rank file. Texts over ``LONG`` characters are cut first where
-the splitting pattern has a boundary whatever stands around it: after a letter or digit that a space, a
-line break or another class of character follows. The pieces' ids joined are the whole text's ids.
+the splitting pattern has a boundary whatever stands around it: where white space begins, a run of letters or
+digits ends, or one of other characters (an apostrophe aside) does. What can't be cut so (one long run, of
+blanks say) is split into the pattern's matches here and each match goes through the library's merges, as the
+library's own splitting overflows its stack there. The pieces' ids joined are the whole text's ids.
 Decoding joins the ids' raw bytes, so it never has to guess at broken characters.
 
-Cases: a null or empty text has no ids and decodes to nothing. Strings of special tokens are ordinary
-text. Every input row and column stays, the result columns are added. An empty table stays empty.
+Cases: a null or empty text has no ids and decodes to nothing; a very long one, of whatever characters, is
+encoded whole. Strings of special tokens are ordinary text. Every input row stays (repeated ones, null ids),
+and every column but those named like the results, which give way to them. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from loamwork.llm.common import col
 
 LONG = 100_000
-_SAFE = regex.compile(r"(?<=\p{L})(?=[ \n\p{N}])|(?<=\p{N})(?=[ \n\p{L}])")
+_SAFE = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\p{White_Space}\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 @lru_cache(maxsize=4)
@@ -48,10 +51,23 @@ def safe_pieces(text: str, long: int = LONG) -> Iterator[str]:
     yield text[start:]
 
 
+@lru_cache(maxsize=4)
+def matches(pattern: str) -> Callable[[str], list[str]]:
+    """The pattern's matches in a text; white space is spelled out as the two libraries' short forms differ."""
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+
+
 def encode(enc: tiktoken.Encoding, text: str | None, long: int = LONG) -> list[int]:
     if not text:
         return []
-    return [i for piece in safe_pieces(text, long) for i in enc.encode_ordinary(piece)]
+    out: list[int] = []
+    for piece in safe_pieces(text, long):
+        if len(piece) <= 2 * long:
+            out += enc.encode_ordinary(piece)
+        else:
+            for match in matches(enc._pat_str)(piece):
+                out += enc._encode_single_piece(match)
+    return out
 
 
 def encode_column(text: Column, rank_file: str, pattern: str) -> Column:

@@ -8,8 +8,11 @@ the score under which a prediction counts as ``rejected``. Embeddings and softma
 bucket scores for prediction.
 
 Cases: a null text or one without a letter is ``und`` with score 0 and rejected. With no labelled row at
-all, every text is ``und``. Ties go to the language that sorts first. Input columns are kept apart from
-the result: doc_id and the result columns are all that is returned. An empty table gives an empty result.
+all, every text is ``und``. Ties go to the language that sorts first. Languages may be any number up to the
+sample's size. Very long texts are counted whole. Of several texts with one doc_id and language the smallest
+is learned from; every row is predicted, repeated ones too. A null doc_id is held out and never learned from. Input
+columns are kept apart from the result: doc_id and the result columns are all that is returned. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import col, held_out
-from loamwork.llm.sample import bounded
+from loamwork.llm.sample import bounded, with_texts
 
 BUCKETS, WIDTH, SAMPLE, EPOCHS, RATE, BATCH = 1 << 13, 16, 3000, 30, 0.5, 32
 _LETTER = regex.compile(r"\p{L}")
@@ -117,10 +120,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 found.append((at.astype("<i4").tobytes(), c[at].astype("<i4").tobytes()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "at": [a for a, _ in found], "n": [n for _, n in found]})
 
-    # ``sample`` ids at most: the broadcast has a bound that is a parameter.
-    texts = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text")
-    got = texts.mapInPandas(counted, "doc_id long, lang string, at binary, n binary").limit(2 * sample).collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["at"])))
+    # ``sample`` rows at most reach the driver.
+    texts = with_texts(rows, chosen, ["doc_id", "lang"])
+    got = texts.mapInPandas(counted, "doc_id long, lang string, at binary, n binary").collect()
+    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["lang"]))
     return fit([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in got], [r["lang"] for r in got])
 
 

@@ -7,9 +7,11 @@ features then get two-dimensional tables in the same way. A score is the sum of
 looked up for whole batches at once, through a logistic link.
 
 The model is fitted on at most ``SAMPLE`` labelled rows that are not held out; a fifth of them stops the
-boosting. Cases: a null text counts as empty and is scored like any text; without labelled rows the score
-is 0.5 everywhere; labels other than 0 and 1 are ignored; of several labels for a document the smallest
-counts. An empty table gives an empty result; extra columns are ignored.
+boosting. Cases: a null text counts as empty and is scored like any text, a very long one whole; without
+labelled rows the score is 0.5 everywhere; labels other than 0 and 1 are ignored; of several labels for a
+document the smallest counts, of several texts of one doc_id the smallest is learned from. Every row is
+scored, repeated ones too; a null doc_id is held out and never learned from. An empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import col, held_out
-from loamwork.llm.sample import bounded
+from loamwork.llm.sample import bounded, with_texts
 
 SAMPLE, BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAVES, THRESHOLD = 20_000, 48, 400, 200, 8, 0.1, 4, 0.3
 FEATURES = (
@@ -175,9 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "x": [features(t) for t in batch["text"]]})
 
-    # ``sample`` rows at most: the broadcast has a bound that is a parameter.
-    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").mapInPandas(measured, "doc_id long, y int, x array<double>")
-    got = sorted((r["doc_id"], r["y"], r["x"]) for r in rows.limit(2 * sample).collect())
+    # ``sample`` rows at most reach the driver.
+    texts = with_texts(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), chosen, ["doc_id"])
+    got = sorted((r["doc_id"], r["y"], r["x"]) for r in texts.mapInPandas(measured, "doc_id long, y int, x array<double>").collect())
     return fit(np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got], float))
 
 

@@ -8,14 +8,17 @@ times as frequent in toxic texts) stand among their words. The model has one wei
 ordered thresholds, P(grade > k) = sigmoid(w x - threshold_k), fitted in numpy; what it gives out is the
 expected grade and the probability of any toxicity.
 
-Cases: a null or empty text has no features and scores the base rate of the thresholds; without labels of
-both kinds nothing is toxic. Labels other than 0 and 1 are ignored; of several for a document the largest
-counts. Every input row and column stays; columns named like the results are replaced. Empty tables stay
-empty.
+Rows whose crc32(doc_id as text) leaves 0 modulo 5 are never learned from, so that accuracy can be read off them.
+
+Cases: a null or empty text has no features and scores the base rate of the thresholds; a very long one is
+read whole; without labels of both kinds nothing is toxic. Labels other than 0 and 1 are ignored; of several
+for a document the largest counts, of several texts of one doc_id the smallest is learned from. Every input row
+(repeated ones, null ids) and column stays; columns named like the results are replaced. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,9 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import col
-from loamwork.llm.sample import bounded
-from loamwork.plans.scratch import materialise
+from loamwork.llm.common import col, held_out
+from loamwork.llm.sample import bounded, with_texts
 
 SAMPLE, KEPT, GRADES, THRESHOLD = 12_000, 1024, 4, 0.5
 #: A feature's indicators: so many times at least, one word in so many at least.
@@ -97,50 +99,58 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - (self.weights[at].sum() if at else 0.0), -60, 60)))
 
 
-def fit(model: Model, rows: list[tuple[list[int], float, int]], epochs: int = 300, rate: float = 0.3, shrink: float = 1e-3) -> Model:
-    """rows: feature places, share of markers, label. Full-batch Adagrad on the cumulative-link likelihood."""
+def fit(model: Model, rows: list[tuple[list[int], float, int]], epochs: int = 300, rate: float = 0.3, shrink: float = 1e-3, patience: int = 40) -> Model:
+    """rows: feature places, share of markers, label. Full-batch Adagrad on the cumulative-link likelihood.
+
+    Features are few in a text, so rows are kept as lists of places. Of 50 rows or more every fifth is kept back:
+    fitting stops when its likelihood has not risen for ``patience`` epochs, and the best weights stay.
+    """
     y = np.array([r[2] for r in rows])
     if not len(y) or y.min() == y.max():
         return model
     shares = np.array([r[1] for r in rows])
     cuts = np.quantile(shares[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + (shares[:, None] > cuts).sum(axis=1), 0)
-    x = np.zeros((len(rows), len(model.features)), np.float32)
-    for row, r in zip(x, rows, strict=True):
-        row[r[0]] = 1
+    n, m = len(rows), len(model.features)
+    owner = np.repeat(np.arange(n), [len(r[0]) for r in rows])
+    place = np.fromiter((k for r in rows for k in r[0]), np.int64, len(owner))
+    kept = np.arange(n) % 5 == 4 if n >= 50 and len(set(y[np.arange(n) % 5 != 4])) == 2 else np.zeros(n, bool)
     # The two kinds weigh the same. First threshold and steps between thresholds (as logarithms) are free.
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    w, first, steps = np.zeros(x.shape[1]), 0.0, np.zeros(GRADES - 2)
-    seen = np.full(x.shape[1] + 1 + len(steps), 1e-8)
+    fitted = lambda k: (y == k) & ~kept
+    weight = np.where(y == 1, 0.5 / fitted(1).sum(), 0.5 / fitted(0).sum())
+    learn = np.where(kept, 0.0, weight)
+    w, first, steps = np.zeros(m), 0.0, np.zeros(GRADES - 2)
+    seen = np.full(m + 1 + len(steps), 1e-8)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    every, best, since = np.arange(n), (np.inf, w, np.zeros(GRADES - 1)), 0
     for _ in range(epochs):
         bounds = np.concatenate([[first], first + np.cumsum(np.exp(steps))])
-        z = x @ w
-        s = sig(z[:, None] - bounds)  # P(grade > k)
-        edge = np.concatenate([np.ones((len(z), 1)), s, np.zeros((len(z), 1))], axis=1)
-        p = np.maximum(edge[np.arange(len(z)), grade] - edge[np.arange(len(z)), grade + 1], 1e-9)
-        slope = np.concatenate([np.zeros((len(z), 1)), s * (1 - s), np.zeros((len(z), 1))], axis=1)
-        up, down = slope[np.arange(len(z)), grade], slope[np.arange(len(z)), grade + 1]
-        dz = -weight * (up - down) / p
-        dbound = np.zeros(len(bounds))
-        for k in range(len(bounds)):
-            dbound[k] = (weight / p * (np.where(grade == k + 1, slope[:, k + 1], 0) - np.where(grade == k, slope[:, k + 1], 0))).sum()
+        s = sig(np.bincount(owner, w[place], n)[:, None] - bounds)  # P(grade > k)
+        edge = np.concatenate([np.ones((n, 1)), s, np.zeros((n, 1))], axis=1)
+        p = np.maximum(edge[every, grade] - edge[every, grade + 1], 1e-9)
+        loss = -(weight * np.log(p))[kept if kept.any() else every].sum()
+        if loss < best[0] - 1e-6:
+            best, since = (loss, w, bounds), 0
+        elif (since := since + 1) >= patience:
+            break
+        slope = np.concatenate([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))], axis=1)
+        dz = -learn * (slope[every, grade] - slope[every, grade + 1]) / p
+        dbound = np.array([(learn / p * (np.where(grade == k + 1, slope[:, k + 1], 0) - np.where(grade == k, slope[:, k + 1], 0))).sum() for k in range(len(bounds))])
         tail = np.cumsum(dbound[::-1])[::-1]
-        gradient = np.concatenate([x.T @ dz + shrink * w, [tail[0]], tail[1:] * np.exp(steps)])
+        gradient = np.concatenate([np.bincount(place, dz[owner], m) + shrink * w, [tail[0]], tail[1:] * np.exp(steps)])
         seen += gradient**2
         move = rate * gradient / np.sqrt(seen)
-        w, first, steps = w - move[: len(w)], first - move[len(w)], steps - move[len(w) + 1 :]
-    model.weights, model.thresholds = w, np.concatenate([[first], first + np.cumsum(np.exp(steps))])
+        w, first, steps = w - move[:m], first - move[m], steps - move[m + 1 :]
+    model.weights, model.thresholds = best[1], best[2]
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows of ``docs``, toxic and clean alike where there are enough."""
-    marked = labels.select(col(id_col).alias("doc_id"), col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
-    here = marked.join(docs.select(col(id_col).alias("doc_id")), "doc_id", "left_semi")
-    chosen = materialise(bounded(here, sample, strata=F.col("y")), "toxicity-sample")
-    # ``sample`` ids at most: the broadcast has a bound that is a parameter.
-    texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    """Fit on at most ``sample`` labelled rows of ``docs`` that are not held out, toxic and clean alike where there are enough."""
+    marked = labels.select(col(id_col).alias("doc_id"), col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    chosen = bounded(marked.join(own.select("doc_id"), "doc_id", "left_semi"), sample, strata=F.col("y"))
+    texts = with_texts(own, chosen, ["doc_id"])
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 some = batch.iloc[low : low + 200]
                 yield pd.DataFrame({"y": some["y"], "tokens": [tokens(t) for t in some["text"]]})
 
-    sizes = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         return Model({}, set())
@@ -164,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [model.found(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "at": [np.array(f[0], np.int32) for f in found], "share": [f[1] for f in found]})
 
-    got = sorted((r["doc_id"], r["y"], r["at"], r["share"]) for r in texts.mapInPandas(places, "doc_id long, y int, at array<int>, share double").limit(2 * sample).collect())
+    # ``sample`` rows at most reach the driver; their order, which decides what is kept back, follows from a hash of the id.
+    got = [(r["doc_id"], r["y"], r["at"], r["share"]) for r in texts.mapInPandas(places, "doc_id long, y int, at array<int>, share double").collect()]
+    got.sort(key=lambda r: (r[1], zlib.crc32(str(r[0]).encode()), r[0]))
     return fit(model, [(at, share, y) for _, y, at, share in got])
 
 
