@@ -33,23 +33,19 @@ def unit(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-#: At most so many ranges of ids: what bounds the tables of range starts that are broadcast.
-MOST_RANGES = 4096
+#: A range of ids holds about so many rows at most.
+ROWS_IN_RANGE = 50_000
 
 
-def id_ranges(df: DataFrame, id_col: str = "doc_id") -> Column:
-    """Number of the id range that a row falls in: about equal ranges, ascending, null ids in the first.
+def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS_IN_RANGE) -> DataFrame:
+    """doc_id, text (null as empty) and part: ascending ids, null ids first, dealt to ascending ranges and sorted within.
 
-    The bounds come from approximate quantiles of the ids alone: at most ``MOST_RANGES`` numbers reach the driver.
+    A range is one task's partition, and there are as many as the rows need. Rows of one id are ordered by a hash of
+    the text; wholly equal rows, which no order can tell apart, are spread by a counter, so however many share an
+    id, they fill ranges evenly.
     """
-    n = min(MOST_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ids = df.select(col(id_col).cast("double").alias("id"))
-    bounds = sorted(set(ids.stat.approxQuantile("id", [i / n for i in range(1, n)], 0.5 / n)))
-    # The bounds are in order, so a binary search over nested WHENs finds the range in log2(n) comparisons.
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(col(id_col) < F.lit(bounds[middle]), search(low, middle)).otherwise(search(middle + 1, high))
-
-    return F.when(col(id_col).isNull(), F.lit(0)).otherwise(search(0, len(bounds)))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // rows + 1)
+    own = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    keyed = own.withColumn("__hash", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), "__hash"]
+    return keyed.repartitionByRange(n, *order, "__row").sortWithinPartitions(*order, "text").select("doc_id", "text", F.spark_partition_id().alias("part"))

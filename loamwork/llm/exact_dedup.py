@@ -6,6 +6,9 @@ verifies the digests: a digest is an identifier only if all chunks that carry it
 SHA-256. Two texts are equal when their ordered identifier lists are. Long texts never leave the task
 that reads them; recipes (about 1/50 of the text) move once for each comparison.
 
+Should a digest stand for two contents, the chunks that carry it (and no others) are named by their SHA-256 as
+well, so a collision somewhere in a large table costs a join over the few digests concerned.
+
 Cases: a null text counts as empty, empty texts equal each other, a text of white space alone is one
 space. Repeated rows with the smallest doc_id of a group all stay. A null doc_id stays only in a group
 that has no other ids. An empty table gives an empty result. Other columns are ignored.
@@ -17,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import SPACE, col
-from loamwork.plans.scratch import materialise
+from loamwork.plans.scratch import broadcast_if_small, materialise
 
 #: A chunk ends after at least this many characters at a sentence mark or a vowel pair across words, and
 #: at the longest after ``LONGEST``.
 SHORTEST, LONGEST = 256, 4096
+#: Tables of digests up to this many rows are broadcast; larger ones are joined by a shuffle.
+SMALL = 100_000
 CUT = r"(?s).{%d,%d}?(?:[.!?;:] |[a-z][aeiou] [aeiou]|\z)|.{1,%d}"
 
 
@@ -50,12 +55,22 @@ def collided(recipe: DataFrame) -> DataFrame:
     return table.groupBy("digest").agg(F.count(F.lit(1)).alias("n_contents")).where("n_contents > 1")
 
 
+def identified(recipe: DataFrame) -> DataFrame:
+    """doc_id, text_sha256 and the ordered chunk identifiers (digest, and SHA-256 where the digest alone won't do)."""
+    named = lambda more: F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), more(c, i).alias("sha"))).alias("ids")
+    bad = materialise(collided(recipe).select("digest"), "collided")
+    if bad.isEmpty():
+        return recipe.select("doc_id", "text_sha256", named(lambda c, i: F.lit(None).cast("binary")))
+    rows = materialise(recipe.withColumn("row", F.monotonically_increasing_id()), "numbered-recipes")
+    places = rows.select("row", F.posexplode("chunks").alias("place", "chunk")).select("row", "place", F.col("chunk.digest").alias("digest"))
+    # The places of one row's chunks: as long a list as the recipe that it belongs to.
+    found = places.join(broadcast_if_small(bad, SMALL), "digest", "left_semi").groupBy("row").agg(F.collect_set("place").alias("places"))
+    return rows.join(found, "row", "left").select("doc_id", "text_sha256", named(lambda c, i: F.when(F.array_contains("places", i), c["sha"])))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    recipe = materialise(recipes(docs, id_col, text_col, digest_bits), "recipes")
-    # Should a digest ever stand for two contents, every chunk is named by its SHA-256 instead.
-    name = "digest" if collided(recipe).isEmpty() else "sha"
-    listed = recipe.select("doc_id", "text_sha256", F.col(f"chunks.{name}").alias("ids"))
+    listed = identified(materialise(recipes(docs, id_col, text_col, digest_bits), "recipes"))
     groups = materialise(listed.groupBy("ids").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     return (
         listed.join(groups, "ids", "left")

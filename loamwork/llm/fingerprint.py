@@ -7,7 +7,9 @@ quartile steps (opposite quartiles weigh double) plus a bounded part for the hea
 that difference over ``FAR``, at least 0.
 
 Cases: a null text counts as empty; texts with the same bytes have the same digest; texts of under three
-bytes have no triplets, so only their length tells them apart. An empty table gives an empty result.
+bytes have no triplets, so only their length tells them apart; very long texts are read whole. Null ids come
+before all others, rows of one id are ordered by a hash of the text, and every row has a result. A table of
+one row is its own neighbour; an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import col, id_ranges
+from loamwork.llm.common import in_ranges
+from loamwork.plans.scratch import materialise
 
 BUCKETS = 128
 #: A difference of this much or more is likeness 0; unrelated texts of one language are about so far apart.
@@ -76,44 +79,55 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_RANGES = _RESULT + ", part int, first_text string, last_text string"
+
+
+def _row(doc_id, text: str, mark: str, following: str, following_mark: str) -> tuple:
+    changed = edited(text, following)
+    changed_mark = digest(changed.encode())
+    return doc_id, len(text), hashlib.sha256(changed.encode()).digest(), bytes.fromhex(mark), bytes.fromhex(changed_mark), likeness(mark, changed_mark), likeness(mark, following_mark)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64", "n_chars": "Int64", **({"part": "Int32"} if schema == _RANGES else {})})
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come by range and id; each is compared with the one after it, and a range ends with a row that is only compared with."""
-    held = None  # range, doc_id, text, digest
+    """Rows of one range in order, each compared with the one after it. The first brings its text along as
+    ``first_text``; the last one's results stay open, and it brings its own as ``last_text``."""
+    held = None  # part, doc_id, text, digest, whether it is the first
     for batch in batches:
         rows = []
-        for part, tail, doc_id, text in zip(batch["part"], batch["tail"], batch["doc_id"], batch["text"], strict=True):
+        for part, doc_id, text in zip(batch["part"], batch["doc_id"], batch["text"], strict=True):
             mark = digest(text.encode())
-            if held and held[0] == part:
-                _, own_id, own, own_mark = held
-                changed = edited(own, text)
-                changed_mark = digest(changed.encode())
-                rows.append((own_id, len(own), hashlib.sha256(changed.encode()).hexdigest(), own_mark, changed_mark, likeness(own_mark, changed_mark), likeness(own_mark, mark)))
-            held = None if tail else (part, None if pd.isna(doc_id) else int(doc_id), text, mark)
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in _OUT.split(", ")])
-        yield out.astype({"doc_id": "Int64"})
+            if held:
+                rows.append((*_row(held[1], held[2], held[3], text, mark), held[0], held[2] if held[4] else None, None))
+            held = part, None if pd.isna(doc_id) else int(doc_id), text, mark, held is None
+        yield _frame(rows, _RANGES)
+    if held:
+        part, doc_id, text, mark, alone = held
+        yield _frame([(doc_id, len(text), None, bytes.fromhex(mark), None, None, None, part, text if alone else None, text)], _RANGES)
+
+
+def _closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ids = (None if pd.isna(x) else int(x) for x in batch["doc_id"])
+        yield _frame([_row(i, own, digest(own.encode()), following, digest(following.encode())) for i, own, following in zip(ids, batch["last_text"], batch["first_text"], strict=True)], _RESULT)
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its fingerprint, that of its edited text, and both likenesses.
 
-    Ids are dealt to ascending ranges; the first row of a range also closes the range before it, and the
-    first of all closes the last. Ties of an id are ordered by text.
+    Ids are dealt to ascending ranges. A range's last row is compared with the first of the next range that has
+    any, the very last with the very first: two texts a range meet in a join, all others where they were sorted.
     """
-    own = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("part", id_ranges(docs.select(col(id_col).alias("doc_id"))))
-    # One row a range, MOST_RANGES at most: small enough to broadcast, whatever the table's size.
-    firsts = own.groupBy("part").agg(F.min(F.struct("doc_id")).alias("first"))
+    done = materialise(in_ranges(docs, id_col, text_col).mapInPandas(_compared, _RANGES), "fingerprints")
+    firsts, lasts = done.where("first_text is not null").select("part", "first_text"), done.where("last_text is not null").select("part", "doc_id", "last_text")
+    # One row a range, numbers alone.
     order = Window.orderBy("part")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # A range is closed by the first row of the next; before the first range stands the last.
-    firsts = firsts.select(F.col("part").alias("of"), F.col("first.doc_id").alias("first_id"), F.coalesce(F.lag("part").over(order), F.last("part").over(whole)).alias("closes"))
-    tails = (
-        own.join(F.broadcast(firsts), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("closes", "doc_id")
-        .agg(F.min("text").alias("text"))
-        .select("doc_id", "text", F.col("closes").alias("part"), F.lit(True).alias("tail"))
-    )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return own.withColumn("tail", F.lit(False)).unionByName(tails).repartition(n, "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), "text").mapInPandas(_compared, _OUT)
+    following = firsts.select("part").select(F.col("part").alias("of"), F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
+    closing = lasts.join(following, F.col("of") == F.col("part")).drop("part").join(firsts, F.col("next") == F.col("part")).select("doc_id", "last_text", "first_text")
+    out = done.where("last_text is null").select(*[x.split()[0] for x in _RESULT.split(", ")]).unionByName(closing.mapInPandas(_closed, _RESULT))
+    as_hex = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_chars", as_hex("edited_sha256"), as_hex("fingerprint"), as_hex("edited_fingerprint"), "near_edited", "near_next")

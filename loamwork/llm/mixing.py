@@ -8,14 +8,17 @@ they were. What is left of a block (one fraction) goes to a block of the next le
 left in a source: a reduction tree whose every node holds about ``fan`` rows, whatever the source's size.
 So a source's words miss its target by less than one document.
 
-Cases: a null text has no words and takes none. Null sources form one source that stands last. Rows with
-the same doc_id are rounded as separate documents. An empty table gives an empty result. Reruns agree:
-chance comes from hashes of ``seed`` and the rows.
+Cases: a null text has no words and takes none; a very long one is counted whole. Null sources form one source
+that stands last. Rows that share doc_id, size and source (null ids, say) are rounded as separate documents,
+numbered from 0 however they are stored, so any number of them is dealt to blocks like other rows. Other
+columns are ignored, whatever their names. An empty table gives an empty result. Reruns agree: chance comes
+from hashes of ``seed`` and the rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,9 +59,29 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     )
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``nth``: 0 for rows that differ in doc_id, size or source, 0, 1, 2, ... among those that don't.
+
+    Equal rows are numbered within the tasks that read them, after all that earlier tasks hold.
+    """
+    same = ["source", "doc_id", "size"]
+    repeated = materialise(sized.groupBy(*same).count().where("count > 1").drop("count"), "repeated")
+    if repeated.isEmpty():
+        return sized.withColumn("nth", F.lit(0).cast("long"))
+    alike = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in same])
+    once = sized.join(repeated, alike(sized, repeated), "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    # Which task reads a row is written down, as it must not change from here on.
+    dealt = materialise(sized.join(broadcast_if_small(repeated, SMALL), alike(sized, repeated), "left_semi").withColumn("task", F.spark_partition_id()), "repeats")
+    held = dealt.groupBy(*same, "task").agg(F.count(F.lit(1)).alias("n"))
+    before = held.select(*[F.col(c).alias(f"__{c}") for c in (*same, "task")], (F.sum("n").over(Window.partitionBy(*same).orderBy("task")) - F.col("n")).alias("before"))
+    inside = dealt.withColumn("i", F.row_number().over(Window.partitionBy("task", *same).orderBy("size")) - 1)
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*same, "task")])
+    return once.unionByName(inside.join(before, on).select(*sized.columns, (F.col("before") + F.col("i")).cast("long").alias("nth")))
+
+
 def _meet(rows: Column, seed: int, level: int) -> Column:
     """Fold a block: ``held`` is the one open fraction, ``done`` the rows that became integral."""
-    unit_type = "struct<size:bigint,doc_id:bigint,whole:bigint,p:double>"
+    unit_type = "struct<size:bigint,doc_id:bigint,nth:bigint,whole:bigint,p:double>"
     none = F.lit(None).cast(unit_type)
 
     def step(state: Column, row: Column) -> Column:
@@ -66,10 +89,10 @@ def _meet(rows: Column, seed: int, level: int) -> Column:
         # a: words move from held to row; b: the other way. Each move ends when one of the two is integral.
         a = F.least(held["p"] * held["size"], (1 - row["p"]) * row["size"])
         b = F.least((1 - held["p"]) * held["size"], row["p"] * row["size"])
-        moved = F.when(unit(F.lit(seed), F.lit(level), held["doc_id"], row["doc_id"], held["size"], row["size"], F.size(state["done"])) * (a + b) < b, a).otherwise(-b)
+        moved = F.when(unit(F.lit(seed), F.lit(level), held["doc_id"], row["doc_id"], held["nth"], row["nth"], held["size"], row["size"], F.size(state["done"])) * (a + b) < b, a).otherwise(-b)
         # Which of the two is integral follows from the amounts compared, not from rounded arithmetic.
         held_ends = F.when(moved >= 0, held["p"] * held["size"] <= (1 - row["p"]) * row["size"]).otherwise((1 - held["p"]) * held["size"] <= row["p"] * row["size"])
-        put = lambda u, p: F.struct(u["size"].alias("size"), u["doc_id"].alias("doc_id"), u["whole"].alias("whole"), p.cast("double").alias("p"))
+        put = lambda u, p: F.struct(u["size"].alias("size"), u["doc_id"].alias("doc_id"), u["nth"].alias("nth"), u["whole"].alias("whole"), p.cast("double").alias("p"))
         bound = lambda p: F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
         held_after, row_after = bound(held["p"] - moved / held["size"]), bound(row["p"] + moved / row["size"])
         ended = F.when(held_ends, put(held, F.when(moved >= 0, F.lit(0.0)).otherwise(F.lit(1.0)))).otherwise(put(row, F.when(moved >= 0, F.lit(1.0)).otherwise(F.lit(0.0))))
@@ -86,12 +109,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = materialise(targets(sized, weights, cap), "targets")
     rate = per.select(F.col("source").alias("its"), "n_docs", F.try_divide("target", "source_size").alias("rate"))
     units = (
-        sized.join(broadcast_if_small(rate, SMALL), F.col("source").eqNullSafe(F.col("its")))
+        numbered(sized).join(broadcast_if_small(rate, SMALL), F.col("source").eqNullSafe(F.col("its")))
         .withColumn("rate", F.when(F.col("size") > 0, F.col("rate")).otherwise(F.lit(0.0)))
         .withColumn("whole", F.floor("rate").cast("long"))
         .withColumn("p", F.col("rate") - F.col("whole"))
         .withColumn("blocks", F.ceil(F.col("n_docs") / fan).cast("long"))
-        .select("source", F.struct("size", "doc_id", "whole", "p").alias("u"), "blocks")
+        .select("source", F.struct("size", "doc_id", "nth", "whole", "p").alias("u"), "blocks")
     )
     largest = per.agg(F.max("n_docs")).first()[0] or 0
     shut = units.where("u.p = 0 or u.p = 1").select("source", "u")
@@ -99,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     levels = max(1, math.ceil(math.log(max(largest, 2), fan)) + 1)
     for level in range(levels):
         last = level == levels - 1
-        block = F.lit(0).cast("long") if last else F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "u.doc_id", "u.size"), F.col("blocks"))
+        block = F.lit(0).cast("long") if last else F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "u.doc_id", "u.size", "u.nth"), F.col("blocks"))
         folded = (
             open_.withColumn("block", block)
             .groupBy("source", "block", "blocks")
@@ -113,7 +136,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         done.append(open_.where("u.p <= 0 or u.p >= 1").select("source", "u"))
         open_ = open_.where("u.p > 0 and u.p < 1")
     final = F.when(F.col("u.p") >= 0.5, 1.0).otherwise(0.0)  # one fraction a source at most: the nearer end
-    done.append(open_.select("source", F.struct(F.col("u.size").alias("size"), F.col("u.doc_id").alias("doc_id"), F.col("u.whole").alias("whole"), final.alias("p")).alias("u")))
+    done.append(open_.select("source", F.struct(F.col("u.size").alias("size"), F.col("u.doc_id").alias("doc_id"), F.col("u.nth").alias("nth"), F.col("u.whole").alias("whole"), final.alias("p")).alias("u")))
     rounded = done[0]
     for more in done[1:]:
         rounded = rounded.unionByName(more)

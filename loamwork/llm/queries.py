@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamwork.llm import bpe, exact_dedup, fingerprint, jaccard_join, langid, mixing, quality, substring_dedup, toxicity, wavelet
-from loamwork.llm.common import documents, labels
+from loamwork.llm.common import documents, held_out, labels
 from loamwork.plans.scratch import scratch_root
 
 
@@ -32,7 +33,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels(spark, sf_dir))).drop("text")
+    return toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels(spark, sf_dir))).withColumn("held_out", held_out(F.col("doc_id"))).drop("text")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,6 @@ times as frequent in toxic texts) stand among their words. The model has one wei
 ordered thresholds, P(grade > k) = sigmoid(w x - threshold_k), fitted in numpy; what it gives out is the
 expected grade and the probability of any toxicity.
 
-Rows whose crc32(doc_id as text) leaves 0 modulo 5 are never learned from, so that accuracy can be read off them.
-
 Cases: a null or empty text has no features and scores the base rate of the thresholds; a very long one is
 read whole; without labels of both kinds nothing is toxic. Labels other than 0 and 1 are ignored; of several
 for a document the largest counts, of several texts of one doc_id the smallest is learned from. Every input row
@@ -145,9 +143,13 @@ def fit(model: Model, rows: list[tuple[list[int], float, int]], epochs: int = 30
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows of ``docs`` that are not held out, toxic and clean alike where there are enough."""
-    marked = labels.select(col(id_col).alias("doc_id"), col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, keep_back: bool = True) -> Model:
+    """Fit on at most ``sample`` labelled rows of ``docs``, toxic and clean alike where there are enough.
+
+    With ``keep_back`` the rows of ``common.held_out`` are left out, so that accuracy can be read off them.
+    """
+    usable = F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()
+    marked = labels.select(col(id_col).alias("doc_id"), col(label_col).alias("y")).where(usable & ~held_out(F.col("doc_id")) if keep_back else usable).groupBy("doc_id").agg(F.max("y").alias("y"))
     own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     chosen = bounded(marked.join(own.select("doc_id"), "doc_id", "left_semi"), sample, strata=F.col("y"))
     texts = with_texts(own, chosen, ["doc_id"])

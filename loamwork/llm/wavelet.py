@@ -9,8 +9,9 @@ work on one shard through rank and select, without decoding it. Shards are rows
 Spark's commit protocol guards them, and any store that Spark writes can hold them), compressed with zstd.
 
 A document is never split: a shard holds at least one document and at most ``SHARD`` tokens besides its
-last document. Cases: a null text counts as empty and gives the end id alone; repeated ids stay separate,
-ordered by text; an empty table gives an empty file and an empty result.
+last document. Cases: a null text counts as empty and gives the end id alone; a very long one is encoded
+whole; null ids come first; repeated ids stay separate, ordered by a hash of the text; an empty table gives an
+empty file and an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import col, id_ranges
+from loamwork.llm.common import in_ranges
+from loamwork.plans.scratch import broadcast_if_small
 
 SHARD, BLOCK = 1 << 16, 512
 END_ID = 2
 #: Words, and pieces of words, whose ids a task remembers: about 100 MB each at most.
 REMEMBERED = 500_000
+#: Tables of ranges up to this many rows are broadcast; larger ones are joined by a shuffle.
+SMALL = 100_000
 
 
 class WaveletMatrix:
@@ -56,11 +61,11 @@ class WaveletMatrix:
         x = place[ids].astype(np.uint16 if levels <= 16 else np.uint32)
         zeros, planes = np.zeros(levels, np.int64), []
         for k in range(levels):
-            bit = (x >> (levels - 1 - k)) & 1 == 1
+            bit = (x & (1 << (levels - 1 - k))) != 0
             planes.append(np.packbits(bit))
-            low = x[~bit]
+            low = np.compress(~bit, x)  # several times as fast as x[~bit]
             zeros[k] = len(low)
-            x = np.concatenate([low, x[bit]])
+            x = np.concatenate([low, np.compress(bit, x)])
         return cls(len(ids), alphabet, zeros, np.stack(planes))
 
     def to_bytes(self) -> bytes:
@@ -137,7 +142,7 @@ class WaveletMatrix:
         entries = np.arange(self.n, dtype=kind) << kind(self.levels)
         for k in range(self.levels):
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
-            entries = np.concatenate([entries[~bit], entries[bit] | kind(1 << (self.levels - 1 - k))])
+            entries = np.concatenate([np.compress(~bit, entries), np.compress(bit, entries) | kind(1 << (self.levels - 1 - k))])
         places, values = entries >> kind(self.levels), entries & kind((1 << self.levels) - 1)
         out = np.empty(self.n, np.uint32)
         out[places] = self.alphabet[values]
@@ -146,6 +151,8 @@ class WaveletMatrix:
 
 #: The byte-level splitting pattern, with white space spelled as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The same for texts of ASCII alone, which the plainer library splits several times as fast.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: Byte-level files write a byte as the character of its number if that is visible in Latin-1, the others from 256 on, in order.
 _VISIBLE = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 _SPACE = chr(_VISIBLE[32])
@@ -172,27 +179,34 @@ class WordEncoder:
             raise ValueError(f"{tokenizer_file} is not plainly byte-level; its words can't be encoded apart")
         self.library, self.added = tokenizer.encode, [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.split, self.merge = regex.compile(PATTERN).findall, tokenizer.model.tokenize
+        self.kind, self.width = ("<u2", 2) if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", 4)
         self.words: dict[str, bytes] = {}  # a word stands for itself with a space before it
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, word: str) -> bytes:
         out = []
-        for piece in self.split(word):
+        if not word.isascii():
+            split = self.split(word)
+        elif word[:1] == " " and word[1:].isalpha():
+            split = (word,)
+        else:
+            split = _ASCII.findall(word)
+        for piece in split:
             ids = self.pieces.get(piece)
             if ids is None:
                 visible = piece.replace(" ", _SPACE) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_VISIBLE)
-                ids = b"".join([t.id.to_bytes(2, "little") for t in self.merge(visible)])
+                ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.merge(visible)])
                 if len(self.pieces) < REMEMBERED:
                     self.pieces[piece] = ids
             out.append(ids)
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian 16-bit integers."""
+        """The text's ids as little-endian integers of ``kind``."""
         if not text:
             return b""
         if any(t in text for t in self.added):
-            return np.array(self.library(text, add_special_tokens=False).ids, "<u2").tobytes()
+            return np.array(self.library(text, add_special_tokens=False).ids, self.kind).tobytes()
         first, *rest = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
         ids = list(map(self.words.get, rest))
         at = ids.index(None) if None in ids else -1
@@ -215,41 +229,37 @@ def word_encoder(tokenizer_file: str, added_tokens: bool = False) -> WordEncoder
 
 
 _FILE = "part int, shard int, start_in_part long, n_ids long, doc_ids array<long>, n_tokens array<int>, matrix binary"
+_ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("matrix", pa.binary())])
 
 
 def write_ids(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encode every text and write the shards to ``path``."""
-    end = np.array([end_id], "<u2").tobytes()
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(tokenizer_file, added_tokens=True)
-        part, shard, start, ids, lengths, raw = None, 0, 0, [], [], []
+        end, width = np.array([end_id], enc.kind).tobytes(), enc.width
+        shard, start, part, held, ids, lengths, raw = 0, 0, None, 0, [], [], []
 
-        def close() -> pd.DataFrame:
-            nonlocal shard, start, ids, lengths, raw
-            tokens = np.frombuffer(b"".join(raw), "<u2")
-            row = (part, shard, start, len(tokens), ids, lengths, WaveletMatrix.build(tokens).to_bytes())
-            shard, start, ids, lengths, raw = shard + 1, start + len(tokens), [], [], []
-            return pd.DataFrame([row], columns=[x.split()[0] for x in _FILE.split(", ")])
+        def close() -> pa.RecordBatch:
+            nonlocal shard, start, held, ids, lengths, raw
+            row = {"part": part, "shard": shard, "start_in_part": start, "n_ids": held, "doc_ids": ids, "n_tokens": lengths, "matrix": WaveletMatrix.build(np.frombuffer(b"".join(raw), enc.kind)).to_bytes()}
+            shard, start, held, ids, lengths, raw = shard + 1, start + held, 0, [], [], []
+            return pa.RecordBatch.from_pylist([row], _ARROW)
 
-        held = 0
         for batch in batches:
-            for own_part, doc_id, found in zip(batch["part"], batch["doc_id"], map(enc.encode, batch["text"]), strict=True):
-                if ids and (own_part != part or held >= SHARD):
+            part = batch.column("part")[0].as_py() if len(batch) else part  # a task has one range
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if held >= SHARD:
                     yield close()
-                    held = 0
-                if own_part != part:
-                    part, shard, start = own_part, 0, 0
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(found) // 2 + 1)
+                found = enc.encode(text.as_py())
+                ids.append(doc_id)
+                lengths.append(len(found) // width + 1)
                 raw += [found, end]
                 held += lengths[-1]
         if ids:
             yield close()
 
-    own = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("part", id_ranges(docs.select(col(id_col).alias("doc_id"))))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text").mapInPandas(shards, _FILE).write.option("compression", "zstd").parquet(path)
+    in_ranges(docs, id_col, text_col).mapInArrow(shards, _FILE).write.option("compression", "zstd").parquet(path)
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,6 +274,6 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the shards alone: doc_id, start, n_tokens and ids_crc32 of every document."""
     file = spark.read.schema(_FILE).parquet(path)
-    # One row a range of ids, MOST_RANGES at most: the running sum and the broadcast stay small at any size.
+    # One row a range of ids, numbers alone.
     before = file.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("earlier"))
-    return file.join(F.broadcast(before), "part").select((F.col("earlier") + F.col("start_in_part")).alias("before"), "doc_ids", "n_tokens", "matrix").mapInPandas(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return file.join(broadcast_if_small(before, SMALL), "part").select((F.col("earlier") + F.col("start_in_part")).alias("before"), "doc_ids", "n_tokens", "matrix").mapInPandas(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
