@@ -47,7 +47,7 @@ def _sha():
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model grades as clean."""
-    model = toxicity.train(docs, common.labels(spark, sf_dir))
+    model = toxicity.train(docs, common.labels(spark, sf_dir), keep_back=False)
     return docs.where(~toxicity.graded(F.col("text"), model)["is_toxic"])
 
 
