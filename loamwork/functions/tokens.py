@@ -37,7 +37,7 @@ PARQUET = TokenRules()
 # What a number looks like, and the date and time patterns in the order they are tried.
 NUMBER = r"^[+-]?(?:\d+(?:[.,]\d+)?|\d{1,3}(?:[ ,]\d{3})+(?:[.,]\d+)?)$"
 DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "MM/dd/yyyy", "yyyy/MM/dd")
-TIME_FORMATS = ("dd.MM.yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd.MM.yyyy HH:mm")
+TIME_FORMATS = ("dd.MM.yyyy HH:mm:ss[.SSSSSS]", "yyyy/MM/dd HH:mm:ss[.SSSSSS]", "dd/MM/yyyy HH:mm:ss", "dd.MM.yyyy HH:mm")
 ISO_DATE, ISO_TIME = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s*(Z|[+-]\d{2}:?\d{2})?$"
 
 
@@ -90,8 +90,8 @@ def to_decimal(text: Column, precision: int = 38, scale: int = 10) -> Column:
 
 def _try(text: Column, fmt: str) -> Column:
     """Read by one pattern; texts of another shape are not even tried, as a failed try is slow."""
-    bare = F.trim(text)
-    shape = "^" + re.sub(r"[A-Za-z]", r"\\d", fmt.replace(".", r"\.")) + "$"
+    bare, (whole, part, _) = F.trim(text), fmt.partition("[")
+    shape = "^" + re.sub(r"[A-Za-z]", r"\\d", whole.replace(".", r"\.")) + (r"(\.\d{1,6})?$" if part else "$")
     return F.try_to_timestamp(F.when(bare.rlike(shape), bare), F.lit(fmt))
 
 
@@ -130,6 +130,12 @@ def parse_value(text: Column, canonical: str, rules: TokenRules = CSV) -> Column
     return {"bool": lambda: to_bool(some, rules), "float64": lambda: to_double(some), "date": lambda: to_date(some), "timestamp": lambda: to_timestamp(some), "timestamp64(ms)": lambda: to_timestamp_ms(some)}.get(kind, lambda: some)()
 
 
+def json_path(value: Column, keys: list[str], kind: str = "string") -> Column:
+    """What stands under the keys in a variant or a JSON text; a missing key or a value that isn't an object gives null. No keys: the value itself."""
+    path = "$" + "".join("['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in keys)
+    return F.try_variant_get(value, path, kind)
+
+
 def as_json(text: Column) -> Column:
     """The text if it is a JSON object or array, else null."""
     looks = F.trim(text).rlike(r"(?s)^(\{.*\}|\[.*\])$")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.functions import tokens
-from loamwork.operators.profile import values
+from loamwork.operators.profile import _names, counted
 
 INT32 = 2**31
 
@@ -14,19 +14,22 @@ INT32 = 2**31
 def measures(df: DataFrame, columns: list[str] | None = None, rules: tokens.TokenRules = tokens.CSV) -> DataFrame:
     """For each column, the share of non-null values that fit each candidate, and what decides among near candidates.
 
-    Cells become (column, value) rows, read once as text, number and time, and are aggregated by column.
+    Cells become (column, value, count) rows first, so each distinct value is read once as text, number and time,
+    and weighs as often as it stands there.
     """
-    read = values(df, columns).select("column", tokens.cleaned(F.col("value"), rules).alias("some"))
-    read = read.select("column", "some", F.trim("some").alias("bare"), tokens.number_text(F.col("some")).alias("number"), tokens.to_timestamp(F.col("some")).alias("time"))
+    per = counted(df, columns).select("column", "n", tokens.cleaned(F.col("value"), rules).alias("some"))
+    read = per.select("column", "n", "some", F.trim("some").alias("bare"), tokens.number_text(F.col("some")).alias("number"), tokens.to_timestamp(F.col("some")).alias("time"))
     read = read.withColumn("exact", F.col("number").try_cast("decimal(38,10)"))
     some, number, time, exact = (F.col(c) for c in ("some", "number", "time", "exact"))
-    share = lambda ok: F.coalesce(F.avg(F.when(some.isNotNull(), F.coalesce(ok, F.lit(False)).cast("double"))), F.lit(0.0))
+    all_ = F.sum(F.when(some.isNotNull(), F.col("n")))
+    of = lambda ok, where: F.coalesce(F.try_divide(F.sum(F.when(where & F.coalesce(ok, F.lit(False)), F.col("n")).otherwise(0)), F.sum(F.when(where, F.col("n")))).cast("double"), F.lit(0.0))
+    share = lambda ok: of(ok, some.isNotNull())
     whole = F.length(F.regexp_replace(F.substring_index(number, ".", 1), r"^[+-]?0*", ""))
     scale = F.when(F.contains(number, F.lit(".")), F.length(F.substring_index(number, ".", -1))).otherwise(0)
     found = {
-        "n": F.count(some), "bool": share(tokens.to_bool(some, rules).isNotNull()), "number": share(number.isNotNull()), "integral": share(exact == F.floor(exact)), "plain_int": share(F.col("bare").rlike(r"^[+-]?\d+$")),
+        "n": F.coalesce(all_, F.lit(0)), "bool": share(tokens.to_bool(some, rules).isNotNull()), "number": share(number.isNotNull()), "integral": share(exact == F.floor(exact)), "plain_int": share(F.col("bare").rlike(r"^[+-]?\d+$")),
         "float": share(F.col("bare").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), "time": share(time.isNotNull()), "json": share(tokens.as_json(some).isNotNull()),
-        "midnight": F.coalesce(F.avg((time == F.date_trunc("day", time)).cast("double")), F.lit(0.0)), "fractional": F.coalesce(F.avg((time != F.date_trunc("second", time)).cast("double")), F.lit(0.0)),
+        "midnight": of(time == F.date_trunc("day", time), time.isNotNull()), "fractional": of(time != F.date_trunc("second", time), time.isNotNull()),
         "low": F.min(exact), "high": F.max(exact), "whole": F.coalesce(F.max(whole), F.lit(0)), "scale": F.coalesce(F.max(scale), F.lit(0)), "distinct": F.count_distinct(some),
     }
     return read.groupBy("column").agg(*[v.alias(k) for k, v in found.items()])
@@ -79,6 +82,43 @@ def scored_types(df: DataFrame, columns: list[str] | None = None, ambiguous: flo
     return scores.select("column", choice.alias("type"), best.alias("score"), (sum(((F.col(f"s{i}") >= ambiguous).cast("int") for i in range(len(raw))), F.lit(0)) >= 2).alias("ambiguous"))
 
 
+def xml_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Types of element texts: every text that isn't blank must fit. Only true and false are bools, times are ISO, whole
+    numbers of up to nine digits are int32, numbers in scientific form alone float64."""
+    v = F.trim("value")
+    text = counted(df, columns).select("column", F.nullif(v, F.lit("")).alias("t")).where("t is not null")
+    t = F.col("t")
+    digits = lambda of: F.length(F.regexp_replace(of, r"^[+-]?0*", ""))
+    point = F.replace(t, F.lit(","), F.lit("."))
+    every = lambda ok: F.bool_and(F.coalesce(ok, F.lit(False)))
+    found = text.groupBy("column").agg(
+        every(F.lower(t).isin(*tokens.XML_TYPES.true, *tokens.XML_TYPES.false)).alias("bool"), every(t.rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("date"),
+        every(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\.\d{1,9}(Z|[+-]\d{2}:?\d{2})?$")).alias("ms"), every(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?(Z|[+-]\d{2}:?\d{2})?$")).alias("time"),
+        every(t.rlike(r"^[+-]?\d+$")).alias("whole"), every(t.rlike(r"^[+-]?\d+([.,]\d*)?$")).alias("decimal"), every(t.rlike(r"(?i)e") & point.try_cast("double").isNotNull()).alias("float"),
+        F.max(F.greatest(digits(F.substring_index(point, ".", 1)), F.lit(1))).alias("before"), F.max(F.when(F.contains(point, F.lit(".")), F.length(F.substring_index(point, ".", -1))).otherwise(0)).alias("after"),
+    )
+    size = F.when(F.col("before") + F.col("after") <= 38, F.concat(F.lit("decimal("), F.col("before") + F.col("after"), F.lit(","), F.col("after"), F.lit(")"))).otherwise("string")
+    kind = (
+        F.when(F.col("bool"), "bool").when(F.col("date"), "date").when(F.col("ms"), "timestamp64(ms)").when(F.col("time"), "timestamp").when(F.col("whole") & (F.col("before") <= 9), "int32")
+        .when(F.col("whole") & (F.col("before") <= 18), "int64").when(F.col("decimal"), size).when(F.col("float"), "float64").otherwise("string")
+    )
+    return _names(df, columns).join(F.broadcast(found.select("column", kind.alias("type"))), "column", "left").select("column", F.coalesce("type", F.lit("string")).alias("type"))  # one row a column
+
+
+def nullability(df: DataFrame, columns: list[str] | None = None, rules: tokens.TokenRules = tokens.CSV) -> DataFrame:
+    """column, n_null (null tokens), nullable: whether any was seen."""
+    gone = F.coalesce(F.sum(F.when(tokens.is_null(F.col("value"), rules), F.col("n"))), F.lit(0))
+    found = counted(df, columns).groupBy("column").agg(gone.alias("n_null"))
+    return _names(df, columns).join(F.broadcast(found), "column", "left").na.fill(0).select("column", "n_null", (F.col("n_null") > 0).alias("nullable"))  # one row a column
+
+
+def json_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, types (seen, sorted), type (their one type), n_null, of columns that hold JSON values as text."""
+    kinds = counted(df, columns).select("column", "n", json_value_type(F.col("value")).alias("kind"))
+    found = kinds.groupBy("column").agg(F.sort_array(F.collect_set("kind")).alias("types"), F.coalesce(F.sum(F.when(F.col("kind").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
+    return found.select("column", "types", lattice(F.col("types")).alias("type"), "n_null")
+
+
 def json_value_type(text: Column) -> Column:
     """Canonical type of one JSON value given as text: what it is by itself."""
     inner = F.regexp_extract(F.trim(text), r'(?s)^"(.*)"$', 1)

@@ -86,28 +86,104 @@ def exploded(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def first_text(value: Column, kind: T.DataType) -> Column:
-    """The first scalar of a value: of a list its first item, of a struct its first field that leads to one."""
+def _field(name: str):
+    return lambda x: x.getField(name)
+
+
+def under(items: Column, kind: T.DataType, names: list[str]) -> tuple[Column, T.DataType]:
+    """All values under a path of field names, in document order, lists on the way taken apart: an array, and its items' type."""
+    items = F.array(items) if not isinstance(kind, T.ArrayType) else items
+    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    for name in names:
+        if not isinstance(kind, T.StructType) or name not in kind.names:
+            return F.array().cast("array<string>"), T.StringType()
+        inner = kind[name].dataType
+        found = F.transform(F.filter(items, lambda x: x.isNotNull()), _field(name))
+        if isinstance(inner, T.ArrayType):
+            found, inner = F.flatten(F.filter(found, lambda x: x.isNotNull())), inner.elementType
+        items, kind = F.filter(found, lambda x: x.isNotNull()), inner
+    return F.coalesce(items, F.array().cast(T.ArrayType(kind))), kind
+
+
+def first_text(value: Column, kind: T.DataType, path: list[str] | None = None) -> Column:
+    """The text of the first element under ``path``; without one, of the nearest scalar: fields of one level before deeper ones."""
+    if path is not None:
+        found, own = under(value, kind, path)
+        text = F.get(found, F.lit(0))
+        if isinstance(own, T.StructType):
+            text = text.getField("_value") if "_value" in own.names else F.lit(None)
+        return F.nullif(F.trim(text.cast("string")), F.lit(""))
+    level, texts = [(value, kind)], []
+    while level:
+        deeper = []
+        for v, k in level:
+            if isinstance(k, T.ArrayType):
+                v, k = F.get(v, F.lit(0)), k.elementType
+            if isinstance(k, T.StructType):
+                deeper += [(v.getField(f.name), f.dataType) for f in k.fields]
+            elif isinstance(k, T.ArrayType):
+                deeper.append((v, k))
+            else:
+                texts.append(F.nullif(F.trim(v.cast("string")), F.lit("")))
+        level = deeper
+    return F.coalesce(*texts) if texts else F.lit(None).cast("string")
+
+
+def leaf_paths(kind: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """Field names down to every scalar of a type, lists taken apart."""
     if isinstance(kind, T.ArrayType):
-        return first_text(F.get(value, F.lit(0)), kind.elementType)
+        return leaf_paths(kind.elementType, path)
     if isinstance(kind, T.StructType):
-        return F.coalesce(*[first_text(value.getField(f.name), f.dataType) for f in kind.fields]) if kind.fields else F.lit(None).cast("string")
-    return F.nullif(F.trim(value.cast("string")), F.lit(""))
+        return [p for f in kind.fields for p in leaf_paths(f.dataType, (*path, f.name))]
+    return [path]
+
+
+def path_lists(df: DataFrame, value: str = "record", keep: list[str] | None = None) -> DataFrame:
+    """Every leaf of a record as a column of texts in document order: ``a/b``, attributes ``a/b@name`` (fields that begin with an underscore)."""
+    kind = df.schema[value].dataType
+
+    def name(path: tuple[str, ...]) -> str:
+        *above, last = path
+        if last == "_value":
+            return "/".join(above)
+        return "/".join(above) + "@" + last[1:] if last.startswith("_") else "/".join(path)
+
+    texts = lambda p: F.filter(F.transform(under(quoted(value), kind, list(p))[0], lambda x: F.nullif(F.trim(x.cast("string")), F.lit(""))), lambda x: x.isNotNull())
+    return df.select(*[quoted(c) for c in keep or []], *[texts(p).alias(name(p)) for p in leaf_paths(kind)])
+
+
+def attributes(df: DataFrame, value: str = "record", root: str = "/root/item") -> DataFrame:
+    """path, attributes: the names of the attributes that elements of each path were seen with."""
+    kind = df.schema[value].dataType
+    found = [p for p in leaf_paths(kind) if p[-1].startswith("_") and p[-1] != "_value"]
+    if not found:
+        return df.sparkSession.createDataFrame([], "path string, attributes array<string>")
+    seen = df.agg(*[F.coalesce(F.bool_or(F.size(under(quoted(value), kind, list(p))[0]) > 0), F.lit(False)).alias(f"a{i}") for i, p in enumerate(found)])
+    rows = F.array(*[F.struct(F.lit("/".join([root, *p[:-1]])).alias("path"), F.lit(p[-1][1:]).alias("name"), F.col(f"a{i}").alias("seen")) for i, p in enumerate(found)])
+    return seen.select(F.explode(rows).alias("x")).select("x.*").where("seen").groupBy("path").agg(F.sort_array(F.collect_set("name")).alias("attributes"))
 
 
 def edges(df: DataFrame, value: str = "record", root: str = "/root/item") -> DataFrame:
-    """Parent path, child, least and most children of a parent, and whether the child is a list."""
+    """Parent path, child, least and most children of a parent, and whether the child is a list.
+
+    The children of one parent path come from one aggregation.
+    """
     stats = []
 
     def walk(rows: DataFrame, path: str) -> None:
-        kind = rows.schema["v"].dataType
+        kind, ns, names = rows.schema["v"].dataType, [], []
+        for f in kind.fields:
+            if not f.name.startswith("_"):  # attributes and text
+                inner = F.col("v").getField(f.name)
+                ns.append(F.coalesce(F.size(inner), F.lit(0)) if isinstance(f.dataType, T.ArrayType) else F.when(inner.isNotNull(), 1).otherwise(0))
+                names.append(f.name)
+        if names:
+            one = rows.agg(*[F.struct(F.lit(path).alias("parent"), F.lit(c).alias("child"), F.min(n).alias("min_children"), F.max(n).alias("max_children"), F.count_if(n > 0).alias("n_parents")).alias(f"e{i}") for i, (c, n) in enumerate(zip(names, ns, strict=True))])
+            stats.append(one.select(F.explode(F.array(*[F.col(f"e{i}") for i in range(len(names))])).alias("e")).select("e.*", (F.col("e.max_children") > 1).alias("is_list")))
         for f in kind.fields:
-            if f.name.startswith("_"):  # attributes and text
+            if f.name.startswith("_"):
                 continue
-            many = isinstance(f.dataType, T.ArrayType)
-            inner = F.col("v").getField(f.name)
-            n = F.coalesce(F.size(inner), F.lit(0)) if many else F.when(inner.isNotNull(), 1).otherwise(0)
-            stats.append(rows.agg(F.min(n).alias("min_children"), F.max(n).alias("max_children"), F.count_if(n > 0).alias("n_parents")).select(F.lit(path).alias("parent"), F.lit(f.name).alias("child"), "min_children", "max_children", "n_parents", (F.col("max_children") > 1).alias("is_list")))
+            many, inner = isinstance(f.dataType, T.ArrayType), F.col("v").getField(f.name)
             element = f.dataType.elementType if many else f.dataType
             if isinstance(element, T.StructType):
                 walk(rows.select((F.explode(inner) if many else inner).alias("v")).where("v is not null"), f"{path}/{f.name}")

@@ -38,12 +38,45 @@ def _batched(df: DataFrame, columns: list[str] | None, metrics) -> DataFrame:
     return out
 
 
-def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, n_rows, n_null, n_distinct (null not a value), null_fraction, uniqueness."""
-    n_rows = F.count(F.lit(1))
-    per = values(df, columns).groupBy("column", "value").agg(n_rows.alias("n"))
-    out = per.groupBy("column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count("value").alias("n_distinct"))
-    return out.select("column", "n_rows", "n_null", "n_distinct", F.round(F.col("n_null") / F.col("n_rows"), 6).alias("null_fraction"), F.round(F.col("n_distinct") / F.col("n_rows"), 6).alias("uniqueness"))
+def _names(df: DataFrame, columns: list[str] | None) -> DataFrame:
+    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns or df.columns))).alias("column"))
+
+
+def counted(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, value, n: how often each value, null too, stands in each column."""
+    return values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts(df: DataFrame, columns: list[str] | None = None, per: DataFrame | None = None) -> DataFrame:
+    """column, n_rows, n_null, n_distinct (null not a value), null_fraction, uniqueness; zeros for an empty table.
+
+    ``per`` is ``counted(df, columns)`` where the caller has it already.
+    """
+    found = (counted(df, columns) if per is None else per).groupBy("column").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("n_null"), F.count("value").alias("n_distinct"))
+    out = _names(df, columns).join(F.broadcast(found), "column", "left").na.fill(0)  # one row a column
+    share = lambda c: F.round(F.coalesce(F.try_divide(c, "n_rows"), F.lit(0.0)), 6)
+    return out.select("column", "n_rows", "n_null", "n_distinct", share("n_null").alias("null_fraction"), share("n_distinct").alias("uniqueness"))
+
+
+def distinct_blank(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Distinct values where null and blank are one value, if there is any."""
+    found = counted(df, columns).groupBy("column").agg(F.count_distinct(F.coalesce("value", F.lit(""))).alias("n_unique"))
+    return _names(df, columns).join(F.broadcast(found), "column", "left").na.fill(0)  # one row a column
+
+
+def examples(df: DataFrame, order: str, columns: list[str] | None = None, k: int = 3) -> DataFrame:
+    """column, examples: the first ``k`` distinct values along ``order``, trimmed, blanks left out."""
+    names = [c for c in columns or df.columns if c != order or columns]
+    cells = df.select(quoted(order).alias("__o"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), tokens.trimmed(quoted(c).cast("string")).alias("value")) for c in names])).alias("x")).select("__o", "x.*")
+    first = cells.where("value is not null").groupBy("column", "value").agg(F.min("__o").alias("o"))
+    top = first.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("o", "value"))).where(F.col("r") <= k)
+    lists = top.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("examples"))
+    return _names(df, names).join(F.broadcast(lists), "column", "left").select("column", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))  # one row a column
+
+
+def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """``n`` rows, the same ones however the table is stored: those whose hashes of the key are smallest."""
+    return df.orderBy(F.xxhash64(F.lit(seed), quoted(key)), quoted(key)).limit(n)
 
 
 def capped_distinct(df: DataFrame, columns: list[str] | None = None, cap: int = CAP) -> DataFrame:
@@ -79,15 +112,17 @@ def scales(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def times(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Earliest and latest time, as seconds since 1970."""
-    return _batched(df, columns, lambda c: [F.min(F.unix_timestamp(quoted(c).cast("timestamp"))).alias("min_epoch"), F.max(F.unix_timestamp(quoted(c).cast("timestamp"))).alias("max_epoch")])
+    """Earliest and latest time, as seconds since 1970; texts by the rules of ``tokens.to_timestamp``, those that are no time left out."""
+    texts = {c for c, kind in df.dtypes if kind == "string"}
+    time = lambda c: F.unix_timestamp(tokens.to_timestamp(quoted(c)) if c in texts else quoted(c).cast("timestamp"))
+    return _batched(df, columns, lambda c: [F.min(time(c)).alias("min_epoch"), F.max(time(c)).alias("max_epoch")])
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP, per: DataFrame | None = None) -> DataFrame:
     """column, value, n, rank: the ``k`` commonest values, ties by value. Values are counted before they are ranked."""
-    n = values(df, columns).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    return n.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    some = (counted(df, columns) if per is None else per).where("value is not null")
+    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def timezones(df: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
@@ -119,8 +154,11 @@ def candidate_pairs(df: DataFrame, columns: list[str] | None = None, least: floa
 
 def routing_signals(df: DataFrame, columns: list[str] | None = None, most: int = 20, k: int = TOP) -> DataFrame:
     """The commonest values of columns with at most ``most`` distinct ones: what rows could be routed by."""
-    few = distinct_with_null(df, columns).where(F.col("n_unique") <= most)
-    return top_values(df, columns, k).join(F.broadcast(few), "column").select("column", "n_unique", "value", "n", "rank")  # one row a column
+    from loamwork.plans.scratch import materialise
+
+    per = materialise(counted(df, columns), "value-counts")  # read twice, counted once
+    few = counts(df, columns, per).select("column", (F.col("n_distinct") + (F.col("n_null") > 0).cast("int")).alias("n_unique")).where(F.col("n_unique") <= most)
+    return top_values(df, columns, k, per).join(F.broadcast(few), "column").select("column", "n_unique", "value", "n", "rank")  # one row a column
 
 
 def anomalies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -168,9 +206,13 @@ def payload_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 
 def quality_flags(df: DataFrame, columns: list[str] | None = None, least_year: int = 1970) -> DataFrame:
-    """column, flags: date32_recommended (dates before ``least_year``), anomalies_detected, sorted by name."""
+    """column, flags: date32_recommended (dates before ``least_year``), anomalies_detected, ambiguous_types_present, sorted by name."""
+    from loamwork.operators import infer
+
     names = columns or df.columns
     early = _batched(df, names, lambda c: [F.coalesce(F.min(F.year(tokens.to_date(quoted(c).cast("string")))) < least_year, F.lit(False)).alias("early")])
     odd = anomalies(df, names).select(F.col("column").alias("of"), (F.col("constant") | F.col("mostly_null") | F.col("has_edge_spaces")).alias("odd"))
-    flags = F.array_compact(F.array(F.when(F.col("odd"), "anomalies_detected"), F.when(F.col("early"), "date32_recommended")))
-    return early.join(F.broadcast(odd), F.col("of") == F.col("column")).select("column", flags.alias("flags"))  # one row a column
+    several = infer.scored_types(df, names).select(F.col("column").alias("its"), "ambiguous")
+    flags = F.array_compact(F.array(F.when(F.col("ambiguous"), "ambiguous_types_present"), F.when(F.col("odd"), "anomalies_detected"), F.when(F.col("early"), "date32_recommended")))
+    both = early.join(F.broadcast(odd), F.col("of") == F.col("column")).join(F.broadcast(several), F.col("its") == F.col("column"), "left")  # one row a column
+    return both.select("column", flags.alias("flags"))

@@ -83,12 +83,21 @@ def newest_values(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return df.groupBy(*[quoted(k) for k in keys]).agg(*[F.max_by(quoted(c), F.when(quoted(c).isNotNull(), by)).alias(c) for c in rest]).select(*[quoted(c) for c in df.columns])
 
 
+def picked(staged: DataFrame, r: Route, order: tuple[str, ...] = ("load_ts",)) -> DataFrame:
+    """The rows that a route takes, with the values of ``order`` as __o0, __o1 and so on."""
+    return staged.where(_condition(r.when)).select(*[F.expr(e).alias(c) for c, e in r.select.items()], *[quoted(c).alias(f"__o{i}") for i, c in enumerate(order)])
+
+
+def newest(rows: DataFrame, keys: list[str], order: list[str], dedup: str = "row") -> DataFrame:
+    """One row a key, by whole rows or column by column."""
+    return (newest_values if dedup == "column" else newest_rows)(rows, keys, order)
+
+
 def route(staged: DataFrame, r: Route, order: tuple[str, ...] = ("load_ts",)) -> DataFrame:
     """The rows of one route; with a key, its newest ones."""
-    picked = staged.where(_condition(r.when))
-    own = picked.select(*[F.expr(e).alias(c) for c, e in r.select.items()], *[quoted(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    own = picked(staged, r, order)
     if r.upsert_key:
-        own = (newest_values if r.dedup == "column" else newest_rows)(own, list(r.upsert_key), [f"__o{i}" for i in range(len(order))])
+        own = newest(own, list(r.upsert_key), [f"__o{i}" for i in range(len(order))], r.dedup)
     return own.select(*[quoted(c) for c in r.select])
 
 
@@ -96,17 +105,36 @@ def run(mapping: Mapping, staged: DataFrame, order: tuple[str, ...] = ("load_ts"
     """Every route's rows that pass their checks, and the dead letters (target, failed, the row as JSON)."""
     out, dead = {}, None
     for r in mapping.routes:
-        good, bad = quality.split(route(staged, r, order), mapping.ranges.get(r.into), list(mapping.required.get(r.into, ())))
-        out[r.into] = good
-        letter = bad.select(F.lit(r.into).alias("target"), "failed", F.to_json(F.struct(*[quoted(c) for c in r.select])).alias("payload"))
+        out[r.into], letter = checked(route(staged, r, order), mapping, r)
         dead = letter if dead is None else dead.unionByName(letter)
     return out, dead
 
 
+def checked(rows: DataFrame, mapping: Mapping, r: Route) -> tuple[DataFrame, DataFrame]:
+    """A route's rows that pass its target's checks, and its dead letters."""
+    good, bad = quality.split(rows, mapping.ranges.get(r.into), list(mapping.required.get(r.into, ())))
+    return good, bad.select(F.lit(r.into).alias("target"), "failed", F.to_json(F.struct(*[quoted(c) for c in r.select])).alias("payload"))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Target rows without a source row of their key, and all source rows. Null keys never meet."""
-    on = reduce(lambda a, b: a & b, [target[k] == source[k] for k in keys])
-    return target.join(source.select(*[quoted(k) for k in keys]), on, "left_anti").unionByName(source, allowMissingColumns=True)
+    """The target with the source's values where both have a key, and the source's other rows.
+
+    Columns that the source lacks keep the target's values, and are null in new rows. Null keys never meet. A key
+    must not repeat in the source (``newest`` sees to that).
+    """
+    t, s = target.withColumn("__there", F.lit(1)).alias("t"), source.withColumn("__here", F.lit(1)).alias("s")
+    on = reduce(lambda a, b: a & b, [F.col(f"t.`{k}`") == F.col(f"s.`{k}`") for k in keys])
+    here = F.col("s.__here").isNotNull()
+
+    def cell(c: str) -> Column:
+        if c not in source.columns:
+            return F.col(f"t.`{c}`")
+        if c not in target.columns:
+            return F.col(f"s.`{c}`")
+        return F.when(here, F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`"))
+
+    columns = [*target.columns, *(c for c in source.columns if c not in target.columns)]
+    return t.join(s, on, "full_outer").select(*[cell(c).alias(c) for c in columns])
 
 
 def upsert_newer(target: DataFrame, source: DataFrame, keys: list[str], ts: str, keep: tuple[str, ...] = ()) -> DataFrame:

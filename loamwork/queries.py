@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import tokens
 from loamwork.operators import infer, nested, profile, quality, routing
+from loamwork.plans.scratch import scratch_root
+from loamwork.sources import delimited, documents
 
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
@@ -28,15 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in df.dtypes])
 
 
-def _rows(spark: SparkSession, texts: list[str]) -> DataFrame:
-    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts))
-    return spark.sql(f"SELECT * FROM VALUES {values} AS v(i, t)")
-
-
-def _values(texts: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts)) + ") v(i, t)"
-
-
 # --- routing -----------------------------------------------------------------------------------------
 
 _CLICK = routing.Route("clicks", {"user_id": "user_id", "event_id": "event_id", "event_type": "event_type", "value": "value"}, "event_type = 'click'", ("user_id",))
@@ -101,19 +95,25 @@ def route_fanout_counts(spark, sf_dir):
 
 @_query("SELECT event_id, props FROM events ORDER BY event_id DESC LIMIT 1")
 def raw_latest_record(spark, sf_dir):
-    from loamwork.sources.documents import latest
+    return documents.latest(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
 
-    return latest(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
 
-
-@_query("""SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT DISTINCT l_partkey + 100000000, l_suppkey FROM lineitem
-WHERE l_partkey + 100000000 NOT IN (SELECT o_orderkey FROM orders) AND l_linenumber = 1 AND l_suppkey = (SELECT min(l_suppkey) FROM lineitem i WHERE i.l_partkey = lineitem.l_partkey AND i.l_linenumber = 1)""")
+@_query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT l_partkey + 100000000, min(l_suppkey) FROM lineitem WHERE l_partkey + 100000000 NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def route_insert_missing(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    more = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy((F.col("l_partkey") + 100000000).alias("o_orderkey")).agg(F.min("l_suppkey").alias("o_custkey"))
+    more = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") + 100000000).alias("o_orderkey")).agg(F.min("l_suppkey").alias("o_custkey"))
     return routing.insert_missing(o, more, ["o_orderkey"])
 
 
+@_query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS o_orderpriority
+FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+def route_upsert_partial(spark, sf_dir):
+    """The source lacks a column of the target: it stays where the key was there, and is null in new rows."""
+    o = table(spark, sf_dir, "orders").select(*_ORDER.split(", "))
+    source = o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", F.lit("N").alias("o_orderstatus"))
+    return routing.upsert(o.where("o_orderkey % 2 = 0"), source, ["o_orderkey"])
+
+
 # --- casts -------------------------------------------------------------------------------------------
 
 
@@ -134,12 +134,15 @@ def bool_normalise(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", tokens.to_bool(F.col("quality").cast("string")).alias("good"), tokens.to_bool(F.when(F.col("toxic") == 1, "YES").otherwise("perhaps")).cast("string").alias("bad"))
 
 
-_NUMBERS = ["1 234,56", "1,234", "1,234.5", "1,234,567", "1e5", "-3.5", "12", " 7 ", "abc", "", "+4", "1.2.3", "-1 234"]
-
-
-@_query(f"SELECT i, t, CASE i WHEN 0 THEN 1234.56 WHEN 1 THEN 1.234 WHEN 2 THEN 1234.5 WHEN 5 THEN -3.5 WHEN 6 THEN 12 WHEN 7 THEN 7 WHEN 10 THEN 4 WHEN 12 THEN -1234 END::DOUBLE AS number, CASE i WHEN 0 THEN 1234 WHEN 1 THEN 1 WHEN 2 THEN 1234 WHEN 5 THEN -3 WHEN 6 THEN 12 WHEN 7 THEN 7 WHEN 10 THEN 4 WHEN 12 THEN -1234 END::BIGINT::VARCHAR AS whole FROM {_values(_NUMBERS)}")
+@_query("SELECT l_orderkey, l_linenumber, ((n // 100) || '.' || lpad((n % 100)::VARCHAR, 2, '0'))::DOUBLE AS number, (n // 100)::BIGINT AS whole FROM (SELECT *, l_orderkey * 1007 + l_linenumber AS n FROM lineitem)")
 def number_normalise(spark, sf_dir):
-    return _rows(spark, _NUMBERS).select("i", "t", tokens.to_double(F.col("t")).alias("number"), tokens.to_int(F.col("t")).cast("string").alias("whole"))
+    """Points, commas, and thousands set apart by blanks or commas."""
+    n = F.col("l_orderkey") * 1007 + F.col("l_linenumber")
+    whole, cents = F.floor(n / 100).cast("bigint"), F.lpad((n % 100).cast("string"), 2, "0")
+    grouped = F.format_number(whole, 0)
+    texts = [F.concat(whole, F.lit("."), cents), F.concat(whole, F.lit(","), cents), F.concat(F.lit(" "), F.replace(grouped, F.lit(","), F.lit(" ")), F.lit(","), cents), F.concat(grouped, F.lit("."), cents)]
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*texts), (F.col("l_orderkey") % 4 + 1).cast("int")).alias("t"))
+    return li.select("l_orderkey", "l_linenumber", tokens.to_double(F.col("t")).alias("number"), tokens.to_int(F.col("t")).alias("whole"))
 
 
 @_query("SELECT l_orderkey, l_linenumber, (CASE WHEN n % 10 >= 5 THEN n // 10 + 1 ELSE n // 10 END)::BIGINT AS cents FROM (SELECT *, l_orderkey * 7 + l_linenumber AS n FROM lineitem)")
@@ -149,20 +152,25 @@ def decimal_half_up(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", (tokens.to_decimal(text, 20, 2) * 100).cast("bigint").alias("cents"))
 
 
-_DATES = ["03/02/2024", "12/31/2024", "03.02.2024", "2024-02-03", "03-02-2024", "2024/02/03", "bad", "", "2024-02-30", "2024-02-03T10:00:00Z"]
-
-
-@_query(f"SELECT i, CASE WHEN i IN (0, 2, 3, 4, 5, 9) THEN DATE '2024-02-03' WHEN i = 1 THEN DATE '2024-12-31' END::VARCHAR AS day FROM {_values(_DATES)}")
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 7 THEN o_orderdate::DATE END::VARCHAR AS day FROM orders")
 def date_multi_format(spark, sf_dir):
-    return _rows(spark, _DATES).select("i", tokens.to_date(F.col("t")).cast("string").alias("day"))
-
-
-_TIMES = ["2025-09-22T09:30:00.500Z", "2025-09-22T09:30:00+03:00", "2025-09-22 09:30:00", "22.09.2025 09:30:00", "1758533400", "soon", ""]
+    """Every pattern, the month first only where the day is over 12, and a day that is none."""
+    d = F.col("o_orderdate")
+    shown = [F.date_format(d, f) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")]
+    shown += [F.when(F.dayofmonth(d) > 12, F.date_format(d, "MM/dd/yyyy")).otherwise(shown[2]), F.concat(shown[0], F.lit("T10:00:00Z")), F.concat(F.date_format(d, "yyyy-MM-"), F.lit("32"))]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*shown), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("t"))
+    return o.select("o_orderkey", tokens.to_date(F.col("t")).cast("string").alias("day"))
 
 
-@_query(f"SELECT i, CASE i WHEN 0 THEN 1758533400500 WHEN 1 THEN 1758522600000 WHEN 2 THEN 1758533400000 WHEN 3 THEN 1758533400000 WHEN 4 THEN 1758533400000 END::BIGINT::VARCHAR AS ms FROM {_values(_TIMES)}")
+@_query("""SELECT event_id, CASE WHEN event_id % 9 = 8 THEN NULL WHEN event_id % 9 IN (0, 3, 5) THEN epoch_ms(date_trunc('second', ts)) + 500 ELSE epoch_ms(date_trunc('second', ts)) END::BIGINT AS ms FROM events""")
 def timestamp_utc(spark, sf_dir):
-    return _rows(spark, _TIMES).select("i", F.unix_millis(tokens.epoch_or_timestamp(F.col("t"))).cast("string").alias("ms"))
+    """ISO with and without an offset, local patterns with and without fractions, epochs, and what is no time."""
+    t = F.date_trunc("second", "ts")
+    show = lambda f, end="": F.concat(F.date_format(t, f), F.lit(end))
+    abroad = F.concat(F.date_format(t + F.expr("INTERVAL '3' HOUR"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+03:00"))
+    shown = [show("yyyy-MM-dd'T'HH:mm:ss", ".500Z"), abroad, show("yyyy-MM-dd HH:mm:ss"), show("dd.MM.yyyy HH:mm:ss", ".5"), show("yyyy/MM/dd HH:mm:ss"), show("yyyy/MM/dd HH:mm:ss", ".500"), show("dd/MM/yyyy HH:mm:ss"), F.unix_timestamp(t).cast("string"), F.lit("soon")]
+    e = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*shown), (F.col("event_id") % 9 + 1).cast("int")).alias("t"))
+    return e.select("event_id", F.unix_millis(tokens.epoch_or_timestamp(F.col("t"))).alias("ms"))
 
 
 @_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS source FROM documents")
@@ -172,8 +180,120 @@ def trim_blank_to_null(spark, sf_dir):
 
 @_query("SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status, NULL::VARCHAR AS note FROM orders")
 def csv_to_parquet_fixed_schema(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderstatus").alias("status"))
-    return routing.staging(o, {"id": "int64", "customer": "int64", "status": "string", "note": "string"}, tokens.PARQUET).drop("src_file", "load_ts")
+    """Delimited text written, read, written as Parquet of a fixed schema, and read."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"))
+    raw, out = _folder(spark, "csv"), _folder(spark, "parquet")
+    o.write.option("header", True).csv(raw)
+    delimited.to_parquet(delimited.read(spark, raw), {"id": "int64", "customer": "int64", "status": "string", "note": "string"}, out)
+    return spark.read.parquet(out)
+
+
+# --- files -------------------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{scratch_root(spark)}/loamwork/{name}-{uuid.uuid4().hex}"
+
+
+@_query("SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || '\"' || c_mktsegment || '\", x' ELSE c_name END AS c_name, c_mktsegment FROM customer")
+def csv_scan(spark, sf_dir):
+    """Delimiters, quotes and line breaks within cells; the format is detected."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", x'))).otherwise(F.col("c_name")).alias("c_name"), "c_mktsegment")
+    path = _folder(spark, "csv")
+    c.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return delimited.read(spark, path)
+
+
+@_query("SELECT event_id::VARCHAR AS event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type, CASE WHEN event_id % 3 > 1 THEN user_id::VARCHAR END AS user_id FROM events")
+def csv_repair(spark, sf_dir):
+    """Short rows are padded, long ones cut."""
+    e = table(spark, sf_dir, "events")
+    cells = [F.col("event_id").cast("string"), F.concat_ws(",", "event_id", "event_type"), F.concat_ws(",", "event_id", "event_type", "user_id", F.lit("more"), F.lit("still more"))]
+    path = _folder(spark, "lines")
+    e.select(F.element_at(F.array(*cells), (F.col("event_id") % 3 + 1).cast("int"))).write.text(path)
+    return delimited.read(spark, path, ["event_id", "event_type", "user_id"], ",", header=False)
+
+
+@_query("SELECT o_orderkey, o_orderdate::DATE AS o_orderdate, o_orderstatus, o_orderkey % 2 = 0 AS even FROM orders")
+def csv_typed_scan(spark, sf_dir):
+    """Types off a first pass over the text, values off a second."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("+"), "o_orderkey").alias("o_orderkey"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("o_orderdate"), "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "да").otherwise("нет").alias("even"))
+    path = _folder(spark, "csv")
+    o.write.option("header", True).csv(path)
+    return delimited.read_typed(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
+@_query("SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS c_name, NULL::VARCHAR AS note FROM customer")
+def csv_export_round_trip(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).alias("c_name"))
+    path = _folder(spark, "export")
+    delimited.export(c, path, ["c_custkey", "c_name", "note"])
+    return delimited.read(spark, path)
+
+
+def _array_file(spark, sf_dir, wrap: str) -> str:
+    """Suppliers as one JSON array, ``wrap`` around it: one file, as the format has it."""
+    s = table(spark, sf_dir, "supplier").select(F.struct("s_suppkey", "s_name", F.struct(F.col("s_nationkey").alias("nation")).alias("VOID"), F.lit(None).cast("string").alias("none")).alias("r"))
+    path = _folder(spark, "json")
+    s.agg(F.format_string(wrap, F.to_json(F.array_sort(F.collect_list("r")), {"ignoreNullFields": "false"}))).write.text(path)
+    return path
+
+
+_SUPPLIERS = "SELECT row_number() OVER (ORDER BY s_suppkey)::INT AS rec_id, s_suppkey, s_name, s_nationkey AS \"VOID__nation\", NULL::VARCHAR AS none FROM supplier"
+
+
+@_query(_SUPPLIERS)
+def json_array_scan(spark, sf_dir):
+    records = documents.json_records(spark, _array_file(spark, sf_dir, "%s"))
+    return nested.entities(records, "rec_id")[0].rows
+
+
+@_query(_SUPPLIERS)
+def json_record_path(spark, sf_dir):
+    records = documents.json_records(spark, _array_file(spark, sf_dir, '{"data": {"rows": %s, "n": 1}, "other": []}'), record_path="data.rows")
+    return nested.entities(records, "rec_id")[0].rows
+
+
+@_query("SELECT event_id, user_id, (props->>'k')::INT AS k FROM events WHERE event_id % 10 > 0")
+def json_lines_scan(spark, sf_dir):
+    """Lines that are no JSON are left out."""
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(F.format_string('{"event_id": %d, "user_id": %d, "props": %s}', "event_id", "user_id", "props")))
+    path = _folder(spark, "jsonl")
+    e.write.text(path)
+    value = F.col("value")
+    return documents.json_lines(spark, path).select(tokens.json_path(value, ["event_id"], "bigint").alias("event_id"), tokens.json_path(value, ["user_id"], "bigint").alias("user_id"), tokens.json_path(value, ["props", "k"], "int").alias("k"))
+
+
+def _talks_as_xml(spark, sf_dir) -> DataFrame:
+    t = _talks(spark, sf_dir).select(F.col("conv_id").alias("_id"), F.transform("record.turns", lambda x: F.struct(x["role"].alias("_role"), x["turn"].alias("nr"))).alias("turn"), F.struct(F.size("record.turns").alias("turns")).alias("size"))
+    path = _folder(spark, "xml")
+    t.write.format("xml").option("rowTag", "talk").option("rootTag", "talks").option("attributePrefix", "_").save(path)
+    return documents.xml_records(spark, path, "talk")
+
+
+@_query("SELECT conv_id::VARCHAR AS \"@id\", string_agg(role, ' | ' ORDER BY turn, role, text) AS \"turn@role\", string_agg(turn::VARCHAR, ' | ' ORDER BY turn, role, text) AS \"turn/nr\", count(*)::VARCHAR AS \"size/turns\" FROM conversations GROUP BY conv_id")
+def xml_flatten_rows(spark, sf_dir):
+    return documents.xml_rows(_talks_as_xml(spark, sf_dir))
+
+
+@_query("SELECT c.conv_id AS id, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn, role, text)::INT AS seq, role, turn FROM conversations c")
+def xml_child_rows(spark, sf_dir):
+    """Elements of a list as rows, numbered within their parent."""
+    records = _talks_as_xml(spark, sf_dir).select("_id", F.struct("*").alias("record"))
+    rows = nested.entities(records, "_id", name="talk")[1].rows
+    return rows.select(F.col("rec_id").alias("id"), F.col("idx1").alias("seq"), F.col("_role").alias("role"), F.col("nr").cast("int").alias("turn"))
+
+
+@_query("SELECT '/talks/talk' AS path, 'id' AS attributes FROM conversations HAVING count(*) > 0 UNION ALL SELECT '/talks/talk/turn', 'role' FROM conversations HAVING count(role) > 0")
+def xml_attributes(spark, sf_dir):
+    records = _talks_as_xml(spark, sf_dir).select(F.struct("*").alias("record"))
+    return nested.attributes(records, root="/talks/talk").select("path", F.array_join("attributes", ", ").alias("attributes"))
+
+
+@_query("SELECT conv_id AS id, first(turn::VARCHAR ORDER BY turn, role, text) AS first FROM conversations GROUP BY conv_id")
+def xml_first_text(spark, sf_dir):
+    records = _talks_as_xml(spark, sf_dir).select("_id", F.struct("*").alias("record"))
+    return records.select(F.col("_id").alias("id"), nested.first_text(F.col("record"), records.schema["record"].dataType, ["turn", "nr"]).alias("first"))
 
 
 # --- profiles ----------------------------------------------------------------------------------------
@@ -217,7 +337,7 @@ def profile_topk(spark, sf_dir):
     return profile.top_values(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], 3)
 
 
-@_query("SELECT 'a' AS \"column\", 'mixed' AS tz UNION ALL SELECT 'b', 'none' UNION ALL SELECT 'c', 'offset_in_values'")
+@_query("WITH t AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'x Z' ELSE 'x' END AS a, 'x' AS b, 'x+03:00' AS c FROM events) " + _each(["a", "b", "c"], "SELECT '{c}' AS \"column\", CASE avg((regexp_matches({c}, '(Z|\\+03:00)$'))::INT) WHEN 0 THEN 'none' WHEN 1 THEN 'offset_in_values' ELSE 'mixed' END AS tz FROM t"))
 def profile_timezones(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
@@ -239,12 +359,12 @@ def routing_signals(spark, sf_dir):
     return profile.routing_signals(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey"])
 
 
-@_query(_each(["r_name", "r_regionkey", "blank"], "SELECT '{c}' AS \"column\", count(DISTINCT {c}) = 1 AND avg(({c} IS NULL)::INT) < 0.99 AS constant, avg(({c} IS NULL)::INT) > 0.9 AS mostly_null, coalesce(bool_or(trim({c}::VARCHAR) <> {c}::VARCHAR), false) AS has_edge_spaces, count(DISTINCT {c}) BETWEEN 1 AND 256 AND avg(({c} IS NULL)::INT) < 0.95 AS low_cardinality FROM (SELECT *, ' x' AS blank FROM region)"))
+@_query(_each(["c_name", "c_mktsegment", "c_nationkey", "blank"], "SELECT '{c}' AS \"column\", count(DISTINCT {c}) = 1 AND avg(({c} IS NULL)::INT) < 0.99 AS constant, avg(({c} IS NULL)::INT) > 0.9 AS mostly_null, coalesce(bool_or(trim({c}::VARCHAR) <> {c}::VARCHAR), false) AS has_edge_spaces, count(DISTINCT {c}) BETWEEN 1 AND 256 AND avg(({c} IS NULL)::INT) < 0.95 AS low_cardinality FROM (SELECT *, ' x' AS blank FROM customer)"))
 def anomalies(spark, sf_dir):
-    return profile.anomalies(table(spark, sf_dir, "region").withColumn("blank", F.lit(" x")))
+    return profile.anomalies(table(spark, sf_dir, "customer").withColumn("blank", F.lit(" x")), ["c_name", "c_mktsegment", "c_nationkey", "blank"])
 
 
-@_query("SELECT 'phone' AS \"column\", 1.0::DOUBLE AS phone_share, 0.0::DOUBLE AS name_share, 0.5::DOUBLE AS risk UNION ALL SELECT 'c_mktsegment', 0.0, 1.0, 0.3 UNION ALL SELECT 'c_custkey', 0.0, 0.0, 0.0")
+@_query("WITH t AS (SELECT *, '+7 (900) ' || lpad(c_custkey::VARCHAR, 7, '0') AS phone FROM customer), s AS (" + _each(["phone", "c_mktsegment", "c_custkey"], "SELECT '{c}' AS \"column\", round(avg((length(regexp_replace({c}::VARCHAR, '\\D', '', 'g')) BETWEEN 11 AND 15)::INT), 6) AS p, round(avg(regexp_full_match({c}::VARCHAR, '[\\p{L}\\s''-]+')::INT), 6) AS n FROM t") + ") SELECT \"column\", p AS phone_share, n AS name_share, round(CASE WHEN p > 0.2 THEN 0.5 ELSE 0 END + CASE WHEN n > 0.2 THEN 0.3 ELSE 0 END, 6)::DOUBLE AS risk FROM s")
 def personal_data(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("phone", F.concat(F.lit("+7 (900) "), F.lpad(F.col("c_custkey").cast("string"), 7, "0")))
     return profile.personal_data(c, ["phone", "c_mktsegment", "c_custkey"])
@@ -255,10 +375,43 @@ def monotonic_check(spark, sf_dir):
     return profile.sorted_columns(table(spark, sf_dir, "events"), "event_id", ["event_id", "user_id"])
 
 
-@_query("""SELECT r_regionkey, sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}') AS hash FROM region""")
+@_query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') AS hash FROM customer""")
 def payload_hash(spark, sf_dir):
-    r = table(spark, sf_dir, "region")
-    return r.select("r_regionkey", profile.payload_hash(r, ["r_regionkey", "r_name"]).alias("hash"))
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", profile.payload_hash(c, ["c_name", "c_custkey", "c_mktsegment"]).alias("hash"))
+
+
+@_query(_each(["c_mktsegment", "c_nationkey"], "SELECT '{c}' AS \"column\", string_agg(v, ', ' ORDER BY o) AS examples FROM (SELECT {c}::VARCHAR AS v, min(c_custkey) AS o FROM customer GROUP BY 1 ORDER BY o LIMIT 3)"))
+def profile_examples(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" "), "c_mktsegment").alias("c_mktsegment"), "c_nationkey")
+    return profile.examples(c, "c_custkey", ["c_mktsegment", "c_nationkey"]).select("column", F.array_join("examples", ", ").alias("examples"))
+
+
+@_query(_each(["kind", "user_id"], "SELECT '{c}' AS \"column\", count(DISTINCT coalesce({c}, '')) AS n_unique FROM (SELECT user_id::VARCHAR AS user_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE event_type END AS kind FROM events)"))
+def profile_distinct_blank(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 4 == 1, "").when(F.col("event_id") % 4 > 1, F.col("event_type")).alias("kind"))
+    return profile.distinct_blank(e, ["kind", "user_id"])
+
+
+@_query(_each(["a", "b"], "SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL OR {c} = 'N/A') AS n_null, count(*) FILTER ({c} IS NULL OR {c} = 'N/A') > 0 AS nullable FROM (SELECT CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'N/A' ELSE event_type END AS a, event_type AS b FROM events)"))
+def observed_nullability(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 4 == 1, " n/a").when(F.col("event_id") % 4 > 1, F.col("event_type")).alias("a"), F.col("event_type").alias("b"))
+    return infer.nullability(e)
+
+
+@_query("""SELECT 'key' AS "column", CASE WHEN max(length(o_orderkey::VARCHAR)) <= 9 THEN 'int32' ELSE 'int64' END AS type FROM orders
+UNION ALL SELECT 'wide', CASE WHEN max(length((o_orderkey * 3000000000)::VARCHAR)) <= 9 THEN 'int32' ELSE 'int64' END FROM orders
+UNION ALL SELECT 'price', 'decimal(' || (max(length(floor(o_totalprice)::BIGINT::VARCHAR)) + 2) || ',2)' FROM orders
+UNION ALL SELECT 'day', CASE WHEN count(o_orderdate) = count(*) THEN 'date' END FROM orders
+UNION ALL SELECT 'flag', CASE WHEN count(*) > 0 THEN 'bool' END FROM orders
+UNION ALL SELECT 'moment', CASE WHEN count(*) > 0 THEN 'timestamp' END FROM orders
+UNION ALL SELECT 'mixed', CASE WHEN count(DISTINCT o_orderkey % 2) = 2 THEN 'string' ELSE 'int32' END FROM orders""")
+def xml_type_choice(spark, sf_dir):
+    o, even = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 2 == 0
+    return infer.xml_types(o.select(
+        F.concat(F.lit(" "), "o_orderkey").alias("key"), (F.col("o_orderkey") * 3000000000).cast("string").alias("wide"), F.format_string("%.2f", F.col("o_totalprice").cast("double")).alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.when(even, "true").otherwise("False").alias("flag"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("moment"), F.when(even, "12").otherwise("yes").alias("mixed"),
+    ))
 
 
 @_query(_each(_ORDERS, "SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM orders"))
@@ -283,15 +436,26 @@ def _texts(spark, sf_dir) -> DataFrame:
     )
 
 
-_TYPED = {"whole": "int32", "wide": "int64", "digits": "decimal(4,2)", "flag": "bool", "day": "date", "moment": "timestamp64(ms)", "props": "json", "event_type": "string", "nothing": "string"}
+_INTS = "CASE WHEN max({0}) <= 2147483647 THEN 'int32' ELSE 'int64' END"
+_DECIMAL = "'decimal(' || (max(length((user_id % 90)::VARCHAR)) + 2) || ',2)'"
+_TYPED = {
+    "whole": _INTS.format("event_id + 10"), "wide": _INTS.format("event_id * 3000000000"), "digits": _DECIMAL, "flag": "CASE WHEN count(*) > 0 THEN 'bool' END", "day": "CASE WHEN count(ts) > 0 THEN 'date' END",
+    "moment": "CASE WHEN bool_or(epoch_ms(ts) % 1000 > 0) THEN 'timestamp64(ms)' WHEN bool_and(ts = date_trunc('day', ts)) THEN 'date' ELSE 'timestamp' END", "props": "CASE WHEN bool_and(json_valid(props)) THEN 'json' ELSE 'string' END",
+    "event_type": "CASE WHEN bool_and(try_cast(event_type AS DOUBLE) IS NULL) THEN 'string' END", "nothing": "CASE WHEN count(*) > 0 THEN 'string' END",
+}
+_FEW = "CASE WHEN count(DISTINCT event_type) <= 5000 AND count(DISTINCT event_type) <= 0.1 * count(event_type) THEN 'lowcard_string' ELSE 'string' END"
 
 
-@_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS type" for c, k in _TYPED.items()))
+def _typed_sql(kinds: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {k} AS type FROM events" for c, k in kinds.items())
+
+
+@_query(_typed_sql(_TYPED))
 def type_choice(spark, sf_dir):
     return infer.strict_types(_texts(spark, sf_dir))
 
 
-@_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS type" for c, k in {**_TYPED, "event_type": "lowcard_string", "nothing": "lowcard_string"}.items()))
+@_query(_typed_sql({**_TYPED, "event_type": _FEW, "nothing": "CASE WHEN count(*) > 0 THEN 'lowcard_string' END"}))
 def lowcard_string_choice(spark, sf_dir):
     return infer.threshold_types(_texts(spark, sf_dir))
 
@@ -301,14 +465,15 @@ def type_scores(spark, sf_dir):
     return infer.scored_types(_texts(spark, sf_dir), ["whole", "event_type", "props"])
 
 
-@_query("SELECT 'k' AS path, 'int32' AS type UNION ALL SELECT 'n', 'int64' UNION ALL SELECT 'x', 'float64' UNION ALL SELECT 's', 'string' UNION ALL SELECT 't', 'timestamp64(ms)'")
+@_query("""WITH t AS (SELECT event_id, event_id % 2 = 0 AS even, (props->>'k')::BIGINT AS k FROM events)
+SELECT 'k' AS path, CASE WHEN bool_and(k BETWEEN -2147483648 AND 2147483647) THEN 'int32' ELSE 'int64' END AS type FROM t UNION ALL SELECT 'n', CASE count(DISTINCT even) WHEN 2 THEN 'int64' WHEN 1 THEN CASE WHEN bool_and(even) THEN 'int32' ELSE 'int64' END END FROM t
+UNION ALL SELECT 'x', CASE WHEN bool_and(even) THEN 'int32' ELSE 'float64' END FROM t UNION ALL SELECT 's', CASE WHEN bool_and(NOT even) THEN 'int32' ELSE 'string' END FROM t UNION ALL SELECT 't', CASE WHEN bool_and(even) THEN 'timestamp' ELSE 'timestamp64(ms)' END FROM t""")
 def json_type_lattice(spark, sf_dir):
     even = F.col("event_id") % 2 == 0
     e = table(spark, sf_dir, "events").select(
         F.get_json_object("props", "$.k").alias("k"), F.when(even, "7").otherwise("3000000000").alias("n"), F.when(even, "7").otherwise("7.5").alias("x"), F.when(even, '"a"').otherwise("1").alias("s"), F.when(even, '"2025-01-02T03:04:05Z"').otherwise('"2025-01-02T03:04:05.678Z"').alias("t")
     )
-    seen = profile.values(e).select(F.col("column").alias("path"), infer.json_value_type(F.col("value")).alias("kind")).groupBy("path").agg(F.collect_set("kind").alias("kinds"))
-    return seen.select("path", infer.lattice(F.col("kinds")).alias("type"))
+    return infer.json_profile(e).select(F.col("column").alias("path"), "type")
 
 
 # --- nested data -------------------------------------------------------------------------------------
@@ -358,8 +523,11 @@ def list_explode(spark, sf_dir):
 @_query("SELECT '/root/item' AS parent, 'name' AS child, 1 AS min_children, 1 AS max_children, (SELECT count(*) FROM region) AS n_parents, false AS is_list UNION ALL SELECT '/root/item', 'nation', (SELECT min(n) FROM (SELECT count(*) n FROM nation GROUP BY n_regionkey)), (SELECT max(n) FROM (SELECT count(*) n FROM nation GROUP BY n_regionkey)), (SELECT count(DISTINCT n_regionkey) FROM nation), true UNION ALL SELECT '/root/item/nation', 'key', 1, 1, count(*), false FROM nation")
 def xml_edges(spark, sf_dir):
     n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("key"))).alias("nation"))
-    r = table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.struct(F.col("r_name").alias("name"), "nation").alias("record"))
-    return nested.edges(r).select("parent", "child", F.col("min_children").cast("long").alias("min_children"), F.col("max_children").cast("long").alias("max_children"), "n_parents", "is_list")
+    r = table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.col("r_name").alias("name"), "nation")
+    path = _folder(spark, "xml")
+    r.write.format("xml").option("rowTag", "item").option("rootTag", "root").save(path)
+    records = documents.xml_records(spark, path, "item").select(F.struct("*").alias("record"))
+    return nested.edges(records).select("parent", "child", F.col("min_children").cast("long").alias("min_children"), F.col("max_children").cast("long").alias("max_children"), "n_parents", "is_list")
 
 
 # --- expectations ------------------------------------------------------------------------------------
@@ -387,7 +555,9 @@ def duplicate_keys(spark, sf_dir):
     return quality.repeated_keys(table(spark, sf_dir, "documents"), ["text"])
 
 
-@_query("SELECT 'o_orderdate' AS \"column\", '' AS flags UNION ALL SELECT 'constant', 'anomalies_detected' UNION ALL SELECT 'old', 'date32_recommended'")
+@_query("""SELECT 'o_orderdate' AS "column", concat_ws(', ', 'ambiguous_types_present', CASE WHEN min(year(o_orderdate)) < 1970 THEN 'date32_recommended' END) AS flags FROM orders
+UNION ALL SELECT 'constant', CASE WHEN count(*) > 0 THEN 'anomalies_detected' ELSE '' END FROM orders
+UNION ALL SELECT 'old', concat_ws(', ', 'ambiguous_types_present', CASE WHEN min(year(o_orderdate) - 100) < 1970 THEN 'date32_recommended' END) FROM orders""")
 def quality_flags(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), F.lit("x").alias("constant"), F.date_format(F.col("o_orderdate") - F.expr("INTERVAL '100' YEAR"), "yyyy-MM-dd").alias("old"))
     return profile.quality_flags(o).select("column", F.array_join("flags", ", ").alias("flags"))
@@ -418,11 +588,10 @@ def surrogate_keys(spark, sf_dir):
     return nested.surrogates(nested.entities(_talks(spark, sf_dir), "conv_id", name="talk"))[1].rows.select("id", "talk_id", "seq", "turn", "role")
 
 
-@_query("SELECT event_id AS id, (props->>'k')::INT AS k FROM events")
+@_query("SELECT event_id AS id, (props->>'k')::INT AS k, NULL::INT AS none FROM events")
 def json_path_extract(spark, sf_dir):
-    from pyspark.sql.functions import try_parse_json, try_variant_get
-
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), try_variant_get(try_parse_json("props"), "$.k", "int").alias("k"))
+    props = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), tokens.json_path(props, ["k"], "int").alias("k"), tokens.json_path(props, ["k", "deeper"], "int").alias("none"))
 
 
 @_query("SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS n_rows FROM events GROUP BY ALL")

@@ -276,6 +276,127 @@ def test_json_patch():
     assert model.json_patch_errors({"[x]": "a", "[items]::[z]": "b", "[items]": "Bad", "oops": "c"}, cols) == ["unknown key [x]", "unknown column [items]::[z]", "bad name 'Bad' for [items]", "unknown key oops"]
 
 
+def test_upsert_keeps_what_the_source_lacks(spark):
+    old = spark.createDataFrame([(1, "a", "keepme"), (2, "b", "too")], "k int, v string, w string")
+    new = spark.createDataFrame([(1, "new"), (3, "c")], "k int, v string")
+    assert sorted(map(tuple, routing.upsert(old, new, ["k"]).collect())) == [(1, "new", "keepme"), (2, "b", "too"), (3, "c", None)]
+
+
+def test_late_batches_stay_older(spark, tmp_path):
+    """A later batch with an older row, and columns taken one by one over batches."""
+    from loamwork.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    batches = [[(1, "x", None, 5), (2, "p", "q", 9)], [(1, None, "y", 7), (2, "old", None, 3)]]
+    for k, rows in enumerate(batches):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps({"id": i, "a": a, "b": b, "ts": f"2025-01-01T0{t}:00:00Z"}) for i, a, b, t in rows))
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("id long, a string, b string, ts timestamp").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    take = {"id": "id", "a": "a", "b": "b"}
+    mapping = routing.Mapping("s", {"id": "int64"}, (routing.Route("rows", take, "1", ("id",)), routing.Route("columns", take, "1", ("id",), "column")))
+    ingest.into_routes(stream, mapping, f"file://{tmp_path}/out", f"file://{tmp_path}/cp", ("ts",)).trigger(availableNow=True).start().awaitTermination()
+    got = {d: sorted(map(tuple, ingest.current(spark.read.parquet(f"file://{tmp_path}/out/{d}"), ["id"], d.rstrip("s")).collect())) for d in ("rows", "columns")}
+    assert got == {"rows": [(1, None, "y"), (2, "p", "q")], "columns": [(1, "x", "y"), (2, "p", "q")]}
+
+
+def test_times_that_are_none_and_empty_tables(spark):
+    df = spark.createDataFrame([("2024/02/03 10:00:00",), ("03.02.2024 10:00:00.5",), ("never",)], "t string")
+    assert tuple(profile.times(df, ["t"]).first()) == ("t", 1706954400, 1706954400)
+    assert [tuple(r) for r in profile.counts(df.limit(0)).collect()] == [("t", 0, 0, 0, 0.0, 0.0)]
+    assert {r.column: r.type for r in infer.xml_types(df.limit(0)).collect()} == {"t": "string"}
+    assert sorted(r.i for r in profile.seeded_sample(spark.range(100).withColumnRenamed("id", "i").repartition(3), 5, "i").collect()) == sorted(r.i for r in profile.seeded_sample(spark.range(100).withColumnRenamed("id", "i"), 5, "i").collect())
+
+
+def test_xml_types(spark):
+    df = spark.createDataFrame([("true", "1.5", "2024-01-01", "123456789", "1e5", "2024-01-01T10:00:00.123Z", "12"), ("False", "22,25", "2024-01-02", "-7", "2E3", "2024-01-01T10:00:00.1", "x")], "a string, b string, c string, d string, e string, f string, g string")
+    assert {r.column: r.type for r in infer.xml_types(df).collect()} == {"a": "bool", "b": "decimal(4,2)", "c": "date", "d": "int32", "e": "float64", "f": "timestamp64(ms)", "g": "string"}
+
+
+def test_json_names_that_look_like_types(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"x":{"y":[{"VOID_FLAG":1,"OBJECT":{"VOID":null}},{"VOID_FLAG":2}]}}')
+    got = documents.json_records(spark, f"file://{tmp_path}/v.json", record_path="x.y")
+    assert got.schema["record"].dataType.simpleString() == "struct<OBJECT:struct<VOID:string>,VOID_FLAG:bigint>"
+    assert [r.record.VOID_FLAG for r in got.orderBy("rec_id").collect()] == [1, 2]
+
+
+def test_xml_rows_and_nearest_text(spark, tmp_path):
+    (tmp_path / "x.xml").write_text('<root><item k="1"><b><c>5</c></b><a q="z">t1</a><a>t2</a></item><item><a>t3</a></item></root>')
+    items = documents.xml_records(spark, f"file://{tmp_path}/x.xml", "item", "_k string, b struct<c:string>, a array<struct<_q:string,_value:string>>")
+    assert sorted(map(tuple, documents.xml_rows(items).collect())) == [("", "", "", "t3"), ("1", "5", "z", "t1 | t2")]
+    assert len(documents.xml_rows(items, explode=True).collect()) == 3
+    records = items.select(F.struct("b", "a").alias("record"))
+    kind = records.schema["record"].dataType
+    got = records.select(nested.first_text(F.col("record"), kind, ["a"]).alias("a"), nested.first_text(F.col("record"), kind, ["b", "c"]).alias("c"), nested.first_text(F.col("record"), kind, ["no"]).alias("no")).collect()
+    assert sorted(map(tuple, got), key=str) == [("t1", "5", None), ("t3", None, None)]
+    both = spark.sql("SELECT named_struct('deep', named_struct('x', 'far'), 'flat', 'near') AS v")
+    assert both.select(nested.first_text(F.col("v"), both.schema["v"].dataType)).first()[0] == "near"
+
+
+def test_files_are_split_unless_cells_have_line_breaks(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("a,b\n" + "".join(f"{i},x{i}\n" for i in range(20_000)))
+    (tmp_path / "broken.csv").write_text('a,b\n1,"x\ny"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        plain = delimited.read(spark, f"file://{tmp_path}/plain.csv")
+        assert plain.rdd.getNumPartitions() > 1 and plain.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in delimited.read(spark, f"file://{tmp_path}/broken.csv").collect()] == [("1", "x\ny")]
+    assert delimited.count_lines(spark, f"file://{tmp_path}/broken.csv") == 2 and delimited.count_records(spark, f"file://{tmp_path}/broken.csv") == 1
+    typed = delimited.read_typed(spark, f"file://{tmp_path}/plain.csv", 100)
+    assert typed.dtypes == [("a", "int"), ("b", "string")] and delimited.sample(spark, f"file://{tmp_path}/plain.csv", 7).count() == 7
+    assert delimited.detect_delimiter(["a:b:c", "d:e:f,g"], by_median=True) == ":"
+    assert set(delimited.codec_sizes(typed, f"file://{tmp_path}/sizes", ("zstd", "brotli"), "a", 1000)) == {"zstd", "brotli"} and delimited.best_codec({"b": 2, "a": 2, "c": 3}) == "a"
+    tables.write_sorted(typed.withColumn("p", F.col("a") % 3), f"file://{tmp_path}/laid", ["a"], ["p"])
+    assert spark.read.parquet(f"file://{tmp_path}/laid").groupBy("p").count().count() == 3
+    tables.write_text(spark, f"file://{tmp_path}/note.md", "é")
+    assert (tmp_path / "note.md").read_text() == "é"
+
+
+def test_schema_documents():
+    doc = {
+        "database": "dw",
+        "tables": [
+            {"name": "u", "columns": [{"name": "id", "type": "int64", "nullable": False}, {"name": "n", "type": "string", "default": "'x'"}], "primary_key": ["id"], "ordering": {"by": ["id"]}, "partitioning": {"by": "to_date(at)"}, "quality_expectations": {"ranges": {"id": [0, None]}}},
+            {"name": "o", "columns": [{"name": "uid", "type": "int64"}], "foreign_keys": [{"columns": ["uid"], "ref_table": "u", "ref_columns": ["id"]}]},
+        ],
+    }
+    u, o = documents.schema_document(doc)
+    pg = ddl.postgres(u, checks_later=True)
+    assert "DEFAULT 'x'" in pg and 'ADD CONSTRAINT "u_id_range" CHECK ("id" >= 0) NOT VALID;' in pg and 'REFERENCES "u" ("id")' in ddl.postgres(o)
+    made = ddl.document_clickhouse([u, o], "dw")
+    assert made[0] == "CREATE DATABASE IF NOT EXISTS `dw`;" and "PARTITION BY toYYYYMM(at)" in made[1] and "ORDER BY (`uid`)" in made[2] and "Nullable" not in made[2]
+    assert "ordered by id; partitioned by to_date(at); id in [0, ]" in ddl.document_dbml([u, o], {"stg": {"a": "int32"}})
+    assert '"load_ts" timestamptz DEFAULT now()' in ddl.staging("stg", {"a": "int32"}, "postgres") and "`a` Nullable(Int32)" in ddl.staging("stg", {"a": "int32"}, "clickhouse", "dw")
+    assert "ENGINE" not in ddl.without_engine(made[1]) and [c.name for c in ddl.parse_ddl(ddl.without_engine(made[1]))[0].columns] == ["id", "n"]
+    back = ddl.parse_ddl("create table t (id int primary key, u_id int not null references users(id), x text)")[0]
+    assert back.primary_key == ("id",) and back.foreign_keys == ((("u_id",), "users", ("id",)),) and [c.type for c in back.columns] == ["int", "int", "text"]
+    assert "`rec_id` UInt64" in ddl.clickhouse(ddl.Table("t", (ddl.Column("rec_id", "int64"),), ("rec_id",)), unsigned_keys=True)
+    assert model.table_differences(u, o) == {"missing": ["id", "n"], "unexpected": ["uid"], "primary_key": [["id"], []], "order_by": [["id"], []]}
+    assert model.model_differences([u, o], [u]) == {"missing": ["o"], "undeclared": [], "changed": {}}
+
+
+def test_entity_hints_and_profile_patches():
+    edges = [{"parent": "/r", "child": c, "min_children": n, "max_children": m, "is_list": m > 1} for c, n, m in (("box", 0, 1), ("code", 1, 1))] + [{"parent": "/r/box", "child": "x", "min_children": 1, "max_children": 4, "is_list": True}]
+    assert model.child_map(edges, "/r") == {"/r/box/x": {"via": "box/x", "min": 0, "max": 4}}
+    assert model.key_hints(["a/code", "id", "name", "deep/er/id"]) == ["id", "deep/er/id", "a/code"] and model.order_hints(["a/seq", "name", "row_index"]) == ["a/seq", "row_index"]
+    profile_ = {
+        "entities": [{"path": [], "name": "root", "parent": None, "columns": [{"path": ["id"], "name": "id"}]}, {"path": ["items"], "name": "items", "parent": "root", "columns": [{"path": ["sku"], "name": "sku"}, {"path": ["q"], "name": "q"}]}],
+        "relations": [{"parent": "root", "child": "items", "parent_columns": ["rec_id"], "child_columns": ["rec_id"]}],
+    }
+    bad = {"entity_names": {"[]": "items", "oops": "x", '["no"]': "y"}, "column_names": {'["items"]::["sku"]': "rec_id", '["items"]::["z"]': "a", '["items"]::["q"]': "sku"}, "entity_descriptions": [], "column_descriptions": {'[]::["id"]': " "}, "more": 1}
+    kinds = [k for k, _ in model.profile_patch_errors(profile_, bad)]
+    assert kinds == ["unknown part", "entity_names: taken", "entity_names: key", "entity_names: no such entity", "column_names: reserved", "column_names: no such column", "column_names: taken", "entity_descriptions: not an object", "column_descriptions: bad value"]
+    assert model.patch_summary([]) == "SUCCESS" and model.patch_summary([("a", "x"), ("a", "y")]) == "ERROR: 2 | a (2): x, y"
+    after = model.apply_profile_patch(profile_, {"entity_names": {"[]": "orders"}, "column_names": {'["items"]::["sku"]': "article"}, "entity_descriptions": {"[]": "all orders"}})
+    assert after["entities"][1]["parent"] == "orders" and after["relations"][0]["parent"] == "orders" and after["entities"][0]["description"] == "all orders" and after["entities"][1]["columns"][0]["name"] == "article"
+    question = {"main_entity": {"name": "F", "keys": [], "columns": ["a"]}, "entities": [{"name": "E", "keys": [], "columns": ["b"]}], "under_question_columns": [{"column": "c", "why": "?"}, {"column": "d"}]}
+    rebalanced = model.rebalance(question, {"c": 90}, 100)
+    assert rebalanced["main_entity"]["columns"] == ["a", "c"] and rebalanced["under_question_columns"] == [{"column": "d"}] and model.coverage(question, rebalanced) == {"missing": [], "added": []}
+    assert model.grain_report([{"name": "E", "keys": ["b"], "columns": ["b", "c"]}]) == "grain: E (b)\nE: keys b; columns b, c"
+
+
 def test_low_cardinality_is_decided_by_exact_counts(spark):
     from loamwork.operators import infer
 
