@@ -98,7 +98,9 @@ def _meet(rows: Column, seed: int, level: int) -> Column:
         ended = F.when(held_ends, put(held, F.when(moved >= 0, F.lit(0.0)).otherwise(F.lit(1.0)))).otherwise(put(row, F.when(moved >= 0, F.lit(1.0)).otherwise(F.lit(0.0))))
         left = F.when(held_ends, put(row, row_after)).otherwise(put(held, held_after))
         met = F.struct(left.alias("held"), F.concat(state["done"], F.array(ended)).alias("done"))
-        return F.when(held.isNull(), F.struct(row.alias("held"), state["done"].alias("done"))).otherwise(met)
+        # Amounts may match, and then both ended: what is held has nothing to give or take and is done.
+        settled = F.struct(row.alias("held"), F.concat(state["done"], F.array(held)).alias("done"))
+        return F.when(held.isNull(), F.struct(row.alias("held"), state["done"].alias("done"))).when((held["p"] <= 0) | (held["p"] >= 1), settled).otherwise(met)
 
     return F.aggregate(rows, F.struct(none.alias("held"), F.array().cast(f"array<{unit_type}>").alias("done")), step)
 

@@ -131,6 +131,81 @@ def test_cuts_resist_insertions_and_keep_characters_whole():
         assert b"".join(r[x:y].decode().encode() for x, y in zip(at, at[1:], strict=False)) == r
 
 
+def _plain_cuts(raw: bytes) -> list[int]:
+    """Where chunks end, byte by byte: the first word end of the hash's choice, else the place of the smallest hash."""
+    hashes, h = [], 0
+    for b in raw:
+        h = (h * 2 + int(substring_dedup.GEAR[b])) & 0xFFFFFFFF
+        hashes.append(h)
+    space = lambda b: b == 32 or 9 <= b <= 13
+    at = [0]
+    while at[-1] < len(raw):
+        last = at[-1]
+        ends = [e for e in range(last + 12, min(last + 64, len(raw)) + 1) if space(raw[e - 1]) and hashes[e - 1] >> 16 & 3 == 0]
+        if ends:
+            at.append(ends[0])
+        elif len(raw) - last <= 64:
+            at.append(len(raw))
+        else:
+            whole = [e for e in range(last + 12, last + 65) if e == len(raw) or raw[e] & 0xC0 != 0x80]
+            at.append(min(whole, key=lambda e: (not space(raw[e - 1]), hashes[e - 1] >> 1, -e)))
+    return at
+
+
+def _plain_dedup(rows):
+    """doc_id -> (repeated chunks, text that is left), by looking every run of four chunks up among all documents'."""
+    runs, cut = {}, {}
+    for i, t in rows:
+        raw = t.encode()
+        at = cut[i] = _plain_cuts(raw)
+        width = min(4, len(at) - 1)
+        for p in range(len(at) - width if width else 0):
+            runs.setdefault(raw[at[p] : at[p + width]], []).append((i, p))
+    out = {}
+    for i, t in rows:
+        raw, at = t.encode(), cut[i]
+        n = len(at) - 1
+        width, shared, gone, seen = min(4, n), [False] * n, [False] * n, set()
+        for p in range(n - width + 1 if width else 0):
+            run = raw[at[p] : at[p + width]]
+            if len(runs[run]) > 1:
+                shared[p : p + width] = [True] * width
+                if min(d for d, _ in runs[run]) != i or run in seen:
+                    gone[p : p + width] = [True] * width
+                seen.add(run)
+
+        def spans(flags):
+            found, k = [], 0
+            while k < n:
+                e = k
+                while e < n and flags[e]:
+                    e += 1
+                if e > k and substring_dedup.n_words(raw[at[k] : at[e]]) >= 24:
+                    found.append((k, e))
+                k = max(e, k + 1)
+            return found
+
+        left, last = b"", 0
+        for a, b in spans(gone):
+            left, last = left + raw[last : at[a]], at[b]
+        out[i] = (sum(b - a for a, b in spans(shared)), (left + raw[last:]).decode())
+    return out
+
+
+def test_substring_dedup_against_a_plain_version(spark):
+    rng = random.Random(12)
+    words = [f"{rng.choice('bcdfgé')}{rng.choice('aeiou')}{k % 37}" for k in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 160)))) for i in range(60)]
+    passages = [" ".join(rng.choices(words, k=rng.randint(20, 70))) for _ in range(12)]
+    for _ in range(40):
+        k, p = rng.randrange(60), rng.choice(passages)
+        at = rng.randint(0, len(rows[k][1]))
+        rows[k] = (k, rows[k][1][:at] + " " + p + " " + rows[k][1][at:])
+    rows += [(60, rows[3][1]), (61, "日本語の文" * 60), (62, "x" + "日本語の文" * 60), (63, rows[5][1] + " " + rows[5][1]), (64, ("word " * 30_000) + rows[9][1]), (65, "")]
+    got = {r.doc_id: (r.n_repeated_chunks, r.text) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == _plain_dedup(rows)
+
+
 def test_substring_dedup_finds_planted_passages(spark):
     rng = random.Random(9)
     words = [f"{rng.choice('bcdfgklm')}{rng.choice('aeiou')}{k}" for k in range(4000)]

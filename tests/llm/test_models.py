@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
@@ -11,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamwork.llm import common, langid, mixing, quality, queries, toxicity
+from loamwork.llm import common, langid, mixing, quality, queries, sample, toxicity
 from tests.llm.test_dedup import _components
 
 
@@ -38,6 +39,100 @@ def test_quality_tables_are_additive():
     assert quality.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
 
 
+def test_quality_scores_are_sums_of_tables(spark, awkward, sf):
+    """Every score worked out by hand from the model's tables, repeated rows, null ids and very long texts too."""
+    model = quality.train(common.documents(spark, "/root/testdata/sf0.01"), common.labels(spark, "/root/testdata/sf0.01"))
+    rows = awkward.select("doc_id", "text").collect()
+    got = sorted(((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in quality.score(awkward, model).collect()), key=str)
+    want = []
+    for i, t in rows:
+        x = quality.features(t)
+        place = [sum(c <= v for c in cuts) for cuts, v in zip(model.cuts, x, strict=True)]
+        total = model.base + sum(float(table[k]) for table, k in zip(model.tables, place, strict=True)) + sum(float(grid[place[a], place[b]]) for a, b, grid in model.pairs)
+        s = 1 / (1 + math.exp(-total))
+        want.append((i, i is None or zlib.crc32(str(i).encode()) % 5 == 0, round(s, 9), int(s >= 0.3)))
+    assert got == sorted(want, key=str)
+
+
+def test_toxicity_scores_by_hand(spark, awkward):
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.train(common.documents(spark, sf), common.labels(spark, sf))
+    texts = [r.text for r in awkward.select("text").distinct().collect()] + [r.text for r in common.documents(spark, sf).limit(60).collect()]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: (round(r.severity, 9), round(r.p_toxic, 9), r.grade, r.is_toxic) for r in toxicity.score(df, model).collect()}
+    for t in texts:
+        z = sum(float(model.weights[model.features[f]]) for f in set(toxicity.tokens(t)) if f in model.features)
+        above = [1 / (1 + math.exp(min(60, max(-60, float(b) - z)))) for b in model.thresholds]
+        parts = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+        assert got[t] == (round(sum(above), 9), round(above[0], 9), parts.index(max(parts)), above[0] >= 0.5)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    truth = _truth(spark, sf)
+    docs = common.documents(spark, sf)
+    model = toxicity.train(docs, common.labels(spark, sf))
+    got = [r for r in toxicity.score(docs, model).where(common.held_out(F.col("doc_id"))).collect() if r.doc_id in truth]
+    assert len(got) > 500 and np.mean([r.is_toxic == (truth[r.doc_id].toxic == 1) for r in got]) >= 0.97
+
+
+def _plain_buckets(text, buckets):
+    raw, n = (" " + text.lower() + " ").encode(), {}
+    for at in range(len(raw)):
+        h = 0
+        for b in raw[at : at + 4]:
+            h = (h + b + 1) * 0x9E3779B1 & 0xFFFFFFFF
+            h ^= h >> 15
+            k = (h * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - int(math.log2(buckets)))
+            n[k] = n.get(k, 0) + 1
+    return n
+
+
+def test_languages_by_hand(spark, awkward, sf):
+    model = langid.train(common.documents(spark, sf))
+    rows = awkward.select("doc_id", "text").where("length(text) < 5000 or text is null").collect()
+    got = langid.predict(awkward.where("length(text) < 5000 or text is null"), model).collect()
+    assert len(got) == len(rows)
+    seen = {}
+    for r in got:
+        seen.setdefault(r.doc_id, []).append((r.lang_pred, round(r.score, 4)))
+    for i, t in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert ("und", 0.0) in seen[i]
+            continue
+        n = _plain_buckets(t, len(model.table))
+        z = [(sum(c * float(model.table[k, l]) for k, c in n.items()) / sum(n.values()) + float(model.bias[l])) / model.temperature for l in range(len(model.languages))]
+        p = [math.exp(x - max(z)) for x in z]
+        best = p.index(max(p))
+        assert any(lang == model.languages[best] and abs(score - p[best] / sum(p)) < 1e-3 for lang, score in seen[i]), i
+
+
+def test_samples_have_every_stratum_and_one_text_an_id(spark):
+    """300 strata, a hot one, repeated ids: the same rows however they are stored."""
+    rows = spark.range(40_000).select((F.col("id") % 30_000).alias("doc_id"), F.when(F.col("id") < 20_000, "hot").otherwise(F.concat(F.lit("l"), F.col("id") % 299)).alias("lang"))
+    a = {tuple(r) for r in sample.bounded(rows.repartition(3), 3000, strata=F.col("lang")).collect()}
+    b = {tuple(r) for r in sample.bounded(rows.repartition(8, "lang"), 3000, strata=F.col("lang")).collect()}
+    per = {}
+    for _, lang in a:
+        per[lang] = per.get(lang, 0) + 1
+    assert a == b and len(a) == 3000 and len(per) == 300 and max(per.values()) - min(per.values()) <= 1
+    few = sample.bounded(rows, 3000, strata=F.when(F.col("doc_id") < 10, "rare").otherwise("common")).collect()
+    assert sum(r.doc_id < 10 for r in few) == len({(r.doc_id, r.lang) for r in rows.where("doc_id < 10").collect()})
+    texts = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    assert sorted(map(tuple, sample.with_texts(texts, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, y int"), ["doc_id"]).collect())) == [(1, 0, "a"), (2, 1, None)]
+
+
+def test_mix_of_rows_that_share_id_and_size(spark):
+    """Nulls for ids: rows are dealt to blocks like others, the mix keeps its target, and reruns agree."""
+    docs = lambda parts: spark.range(30_000, numPartitions=parts).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b c").otherwise("v w x y z").alias("text"), F.when(F.col("id") % 3 == 0, "s").otherwise("t").alias("source"))
+    count = lambda d: sorted(map(tuple, mixing.mix(d).groupBy("source", "size", "target", "copies").count().collect()))
+    one = count(docs(3))
+    assert one == count(docs(7)) and sum(r[-1] for r in one) == 30_000
+    for s in "st":
+        own = [r for r in one if r[0] == s]
+        assert abs(sum(r[1] * r[3] * r[4] for r in own) - own[0][2]) <= 5
+
+
 def test_languages_on_held_out_rows(spark, sf):
     docs = common.documents(spark, sf)
     lang = {r.doc_id: r.lang for r in docs.collect()}
@@ -181,5 +276,29 @@ def test_pipeline_stages(spark, awkward, sf):
     for r in mixed.collect():
         taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
     assert taken == {i: c for i, c in copies.items() if c}
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, awkward, sf).columns
+
+
+def test_pipeline_stages_on_awkward_and_empty_tables(spark, awkward, nothing, sf):
+    """Rows, not only columns: clean ones stay, one of equal texts stays, null ids stay, ids of copies go."""
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, nothing, sf)
+        assert after.collect() == [] and (name == "byte-level BPE" or after.columns == nothing.columns)
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=lambda x: (x is None, x))
+    all_ids = ids(awkward)
+    stages = dict(corpus_pipeline.STAGES)
+    assert set(all_ids) - set(ids(stages["toxicity"](spark, awkward, sf))) <= {17}
+    groups = {}
+    for r in awkward.where("doc_id is not null").collect():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), set()).add(r.doc_id)
+    assert ids(stages["exact dedup"](spark, awkward, sf)) == [*sorted(min(g) for g in groups.values()), None]
+    parts = _components([(r.doc_id, r.text) for r in awkward.collect()])
+    assert set(ids(stages["n-gram Jaccard join"](spark, awkward, sf))) == {None, *(i for i, (_, c) in parts.items() if c == i)}
+    mixed = {}
+    for i in ids(stages["mixing"](spark, awkward, sf)):
+        mixed[i] = mixed.get(i, 0) + 1
+    taken = {}
+    for r in mixing.mix(awkward).collect():
+        taken[r.doc_id] = max(taken.get(r.doc_id, 0), r.copies)
+    rows = {i: all_ids.count(i) for i in set(all_ids)}
+    assert mixed == {i: c * rows[i] for i, c in taken.items() if c}
+    assert ids(stages["byte-level BPE"](spark, awkward, sf)) == all_ids
