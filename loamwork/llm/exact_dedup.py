@@ -56,11 +56,11 @@ def collided(recipe: DataFrame) -> DataFrame:
 
 
 def identified(recipe: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 and the ordered chunk identifiers (digest, and SHA-256 where the digest alone won't do)."""
+    """doc_id, text_sha256 and the ordered chunk identifiers: digests, with SHA-256 beside those that won't do alone if there are any."""
     named = lambda more: F.transform("chunks", lambda c, i: F.struct(c["digest"].alias("digest"), more(c, i).alias("sha"))).alias("ids")
     bad = materialise(collided(recipe).select("digest"), "collided")
     if bad.isEmpty():
-        return recipe.select("doc_id", "text_sha256", named(lambda c, i: F.lit(None).cast("binary")))
+        return recipe.select("doc_id", "text_sha256", F.col("chunks.digest").alias("ids"))
     rows = materialise(recipe.withColumn("row", F.monotonically_increasing_id()), "numbered-recipes")
     places = rows.select("row", F.posexplode("chunks").alias("place", "chunk")).select("row", "place", F.col("chunk.digest").alias("digest"))
     # The places of one row's chunks: as long a list as the recipe that it belongs to.
