@@ -14,9 +14,11 @@ sets. Groups of copies never turn into all pairs:
 1. equal sets are one class (the smallest doc_id stands for it);
 2. in ``ROUNDS`` rounds each document is verified against one document of another component that holds the
    smallest id under a part they share, the one it shares most parts with; links merge components;
-3. only documents that share a part across different components are then compared with each other.
-Every pair that shares a part is thus either verified or already in one component, so no component is
-missed. Before rows are shuffled, each task merges equal sets and equal parts of a batch of documents.
+3. only documents that share a part across different components are then compared with each other. Where
+   more than ``HOT`` documents share one (a passage that many unrelated documents quote), these documents
+   are instead joined under another fixed order of parts, rarest among them first: a frequent part is then
+   looked at only in documents that have fewer than k + 1 rarer ones.
+Every linked pair is thus either verified or already in one component, so no component is missed. Before rows are shuffled, each task merges equal sets and equal parts of a batch of documents.
 
 Cases: fewer than five words are one shingle, the whole sequence; no words (or null) is an empty set, linked
 with nothing; a null doc_id gets its n_shingles and no component; rows that repeat a doc_id are one document. An
@@ -31,13 +33,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import col
 from loamwork.plans.scratch import broadcast_if_small, materialise, release
 
 WIDTH, ROUNDS, SHORT_BITS = 5, 3, 1024
+#: Documents under one part, beyond which they are joined by their rarest parts.
+HOT = 200
 #: Documents whose equal sets and parts a task merges before rows are shuffled.
 TOGETHER = 2000
 #: Id tables up to this many rows are broadcast; larger ones are joined by a shuffle.
@@ -99,23 +103,28 @@ def _parts(band: int) -> int:
     return 3 * 4**band // 2 + 8
 
 
+def _named(sets: np.ndarray, band: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the parts that have shingles, how many each has, and names of all empty parts, ascending."""
+    part = ((sets >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    full = np.diff(np.concatenate([starts, [len(sets)]]))
+    names = np.bitwise_xor.reduceat(_mix(sets), starts)
+    keys = _mix(names + _mix(part[starts] + np.uint64(band << 48)))
+    empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts]) + np.uint64(band << 48)
+    return keys, full, np.sort(_mix(_mix(empty)))
+
+
 def part_keys(sets: np.ndarray) -> np.ndarray:
     """What the set is joined on: the names of its first k + 1 parts in each of its bands."""
     out = []
     for band, parts, k in bands(len(sets)):
         if not k:  # nothing but an equal set can be linked
             continue
-        part = ((sets >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        full = np.diff(np.concatenate([starts, [len(sets)]]))
-        names = np.bitwise_xor.reduceat(_mix(sets), starts)
-        place = part[starts] + np.uint64(band << 48)
-        keys = _mix(names + _mix(place))
+        keys, full, empty = _named(sets, band, parts)
         if len(keys) > k + 1:
             keys = keys[np.lexsort((keys, -full))[: k + 1]]
-        elif len(keys) < k + 1:  # too few parts have shingles: empty parts come last in the order
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts]) + np.uint64(band << 48)
-            keys = np.concatenate([keys, np.sort(_mix(_mix(empty)))[: k + 1 - len(keys)]])
+        else:  # if too few parts have shingles, empty parts come last in the order
+            keys = np.concatenate([keys, empty[: k + 1 - len(keys)]])
         out.append(keys)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -189,6 +198,38 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "set": [shingles(t).tobytes() for t in batch["text"]]})
 
 
+_PARTS = "doc_id long, own long, band int, k long, keys array<long>, empty array<long>"
+
+
+def _all_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each document's set (``own`` tells sets of one doc_id apart) and band: the names of all parts with
+    shingles, and of as many empty ones as are needed to make k + 1."""
+    for batch in batches:
+        for low in range(0, len(batch), 500):
+            rows = []
+            for i, text in batch.iloc[low : low + 500][["doc_id", "text"]].itertuples(index=False):
+                s = shingles(text)
+                own = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
+                for band, parts, k in bands(len(s)):
+                    if k:
+                        keys, _, empty = _named(s, band, parts)
+                        rows.append((i, own, band, k, keys.view(np.int64), empty[: max(0, k + 1 - len(keys))].view(np.int64)))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PARTS.split(", ")])
+
+
+def rarest_parts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """key, doc_id: the first k + 1 parts of every document of ``ids`` in each band, rarest among these documents first.
+
+    The order is one for all of them (frequency, then name, empty parts last), so linked documents share a key.
+    """
+    parts = materialise(texts.join(broadcast_if_small(ids, SMALL), "doc_id", "left_semi").mapInPandas(_all_parts, _PARTS), "all-parts")
+    named = parts.select("doc_id", "own", "band", "k", F.explode("keys").alias("key"))
+    often = materialise(named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "part-counts")
+    order = Window.partitionBy("doc_id", "own", "band").orderBy(F.coalesce("n", F.lit(1)), "key")
+    first = named.join(often, "key", "left").withColumn("rank", F.row_number().over(order)).where("rank <= k + 1 and n > 1").select("key", "doc_id")
+    return materialise(first.unionByName(parts.select(F.explode("empty").alias("key"), "doc_id")).distinct(), "rarest-parts")
+
+
 def _close(x: str, y: str):
     """Condition that two sides' sizes and short sketches (``n`` and ``short`` under an alias) could be of linked sets."""
     far = F.expr(" + ".join(f"bit_count({x}.short[{i}] ^ {y}.short[{i}])" for i in range(SHORT_BITS // 64)))
@@ -230,6 +271,12 @@ def verified(pairs: DataFrame, lite: DataFrame, texts: DataFrame) -> DataFrame:
     return links
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node u points to one node v, and no node that is pointed to points on."""
+    on = stars.groupBy("u").count().where("count > 1").select("u")
+    return on.unionByName(stars.join(stars.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")).isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, component (its smallest node) for every node of ``edges`` (a, b): alternating large and small stars.
 
@@ -237,24 +284,31 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     joins over the edges, and the number of rounds grows with the logarithm of the longest path.
     """
     stars = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    while True:
+    while not _settled(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        small = materialise(small, name)
-        # Done when every node points to one node, and no node that is pointed to points on.
-        moved = small.groupBy("u").count().where("count > 1").select("u").unionByName(small.join(small.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")).isEmpty()
-        stars = small
-        if moved:
-            break
+        stars = materialise(small, name)
     roots = stars.select("v").distinct()
     return materialise(stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component"))), name)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row of ``docs``."""
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (node, component) after new ``links`` (a, b): only the components that the links touch are worked on."""
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(edges, "moved")
+    old = comp.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialise(old.unionByName(moved.join(comp, "node", "left_anti")), "components")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_part: int = HOT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row of ``docs``.
+
+    ``hot_part`` says how many documents share a part before they are joined by their rarest parts; no result depends on it.
+    """
     own = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     sets = materialise(own.mapInArrow(_sets, _SETS), "shingle-sets")
     # 1. Classes of equal sets.
@@ -275,7 +329,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lite = materialise(sets.select("doc_id", F.col("n_shingles").alias("n"), "short", "sketch"), "sketches")
     release(sets)
     release(members)
-    links, tested, comp = copies, None, components(copies) if not copies.isEmpty() else copies.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    tested, comp = None, components(copies) if not copies.isEmpty() else copies.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def labelled(df: DataFrame, c: str) -> DataFrame:
         found = df.join(comp.select(F.col("node").alias(c), F.col("component").alias("__l")), c, "left")
@@ -293,19 +347,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         new = verified(best, lite, own)
         tested = best if tested is None else tested.unionByName(best)
         if not new.isEmpty():
-            links = links.unionByName(new)
-            comp = components(links)
+            comp = merged(comp, new)
     # 3. Whatever shares a part across components.
-    members = labelled(shared.select("key", "doc_id"), "doc_id").withColumnRenamed("of_doc_id", "comp")
-    members = materialise(members, "labelled-members")
-    mixed = materialise(members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
-    members = materialise(members.join(mixed, "key").join(lite.select("doc_id", "n", "short"), "doc_id"), "mixed-members")
-    across = members.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _close("x", "y")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    def mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the keys of more than one component with their number of members."""
+        members = materialise(labelled(members, "doc_id").withColumnRenamed("of_doc_id", "comp"), "labelled-members")
+        keys = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
+        return members, materialise(keys.where("low <> high").select("key", "n"), "mixed")
+
+    def met(members: DataFrame, keys: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of different components under one of ``keys`` whose short sketches are near."""
+        found = materialise(members.join(keys.select("key"), "key").join(lite.select("doc_id", "n", "short"), "doc_id"), "mixed-members")
+        pairs = found.alias("x").join(found.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _close("x", "y"))
+        return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+    members, keys = mixed(shared.select("key", "doc_id"))
+    across, hot = met(members, keys.where(F.col("n") <= hot_part)), keys.where(F.col("n") > hot_part)
+    if not hot.isEmpty():
+        ids = materialise(members.join(hot.select("key"), "key").select("doc_id").distinct(), "hot-ids")
+        across = across.unionByName(met(*mixed(rarest_parts(own, ids)))).distinct()
     if tested is not None:
         across = across.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     new = verified(materialise(across, "across"), lite, own)
     if not new.isEmpty():
-        comp = components(links.unionByName(new))
+        comp = merged(comp, new)
     return lite.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id")).alias("component_id"))
 
 

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from loamwork.llm import exact_dedup, jaccard_join, substring_dedup
 
 
@@ -71,7 +73,8 @@ def test_jaccard_join_on_awkward_rows(awkward):
         assert (r.doc_id is None and r.component_id is None) or (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
-def test_jaccard_join_on_chains_and_near_copies(spark):
+@pytest.mark.parametrize("hot_part", [1, jaccard_join.HOT])
+def test_jaccard_join_on_chains_and_near_copies(spark, hot_part):
     """Chains of edits, families around the threshold, boilerplate shared by unrelated texts."""
     rng = random.Random(5)
     words = [f"w{k}" for k in range(3000)]
@@ -90,10 +93,24 @@ def test_jaccard_join_on_chains_and_near_copies(spark):
         rows.append((n, shared + " " + " ".join(rng.choices(words, k=30))))
         n += 1
     want = _components(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot_part=hot_part).collect()}
     assert got == want
 
 
+def test_rarest_parts_pass_over_a_quoted_passage(spark):
+    """Unrelated texts that quote one passage meet under none of their rarest parts; near copies among them still do."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    quoted = " ".join(rng.choices(words, k=40))
+    rows = [(i, " ".join(rng.choices(words, k=160)) + " " + quoted) for i in range(60)]
+    rows += [(60, rows[7][1] + " one more"), (61, "few words"), (62, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    met = jaccard_join.rarest_parts(texts, texts.select("doc_id")).groupBy("key").agg(F.collect_set("doc_id").alias("ids")).where("size(ids) > 1").collect()
+    assert {tuple(sorted(r["ids"])) for r in met} == {(7, 60)}
+    before = np.concatenate([jaccard_join.part_keys(jaccard_join.shingles(t)) for _, t in rows])
+    assert np.unique(before, return_counts=True)[1].max() > 10
+
+
 def test_linked_sets_always_share_a_part():
     """The pigeonhole bound, at the edge of the threshold and across bands."""
     rng = np.random.default_rng(2)
