@@ -40,8 +40,9 @@ from loamwork.llm.common import col
 from loamwork.plans.scratch import broadcast_if_small, materialise, release
 
 WIDTH, ROUNDS, SHORT_BITS = 5, 3, 1024
-#: Documents under one part, beyond which they are joined by their rarest parts.
-HOT = 200
+#: Documents under one part, beyond which they are joined by their rarest parts: about where comparing a document's
+#: short sketch with that many others costs more than naming all of its parts and counting them.
+HOT = 2000
 #: Documents whose equal sets and parts a task merges before rows are shuffled.
 TOGETHER = 2000
 #: Id tables up to this many rows are broadcast; larger ones are joined by a shuffle.
