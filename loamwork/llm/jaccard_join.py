@@ -40,6 +40,8 @@ from loamwork.llm.common import col
 from loamwork.plans.scratch import broadcast_if_small, materialise, release
 
 WIDTH, ROUNDS, SHORT_BITS = 5, 3, 1024
+#: Sets from this size on have a dense sketch of more than ``SHORT_BITS`` bits.
+LONG = SHORT_BITS // 4
 #: Documents under one part, beyond which they are joined by their rarest parts: about where comparing a document's
 #: short sketch with that many others costs more than naming all of its parts and counting them.
 HOT = 2000
@@ -255,17 +257,28 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
 
+def paired(table: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``table`` whose doc_id is in ``pairs`` (a, b): only these are shuffled to the pairs."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
+    return table.join(broadcast_if_small(ids, SMALL), "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, lite: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked: filters on the short and the whole sketches, then the whole sets of what is left.
 
     lite: doc_id, n, short, sketch; texts: doc_id, text. Only texts of pairs that pass the filters are read into sets.
     """
-    x, y = (lite.select(F.col("doc_id").alias(c), "n", "short").alias(c) for c in "ab")
-    close = materialise(pairs.alias("p").join(x, F.col("p.a") == F.col("a.a")).join(y, (F.col("p.b") == F.col("b.b")) & _close("a", "b")).select("p.a", "p.b", (F.col("a.n") + F.col("b.n")).alias("n")).distinct(), "close-pairs")
-    x, y = (lite.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    near = materialise(close.join(x, "a").join(y, "b").mapInPandas(_near, "a long, b long").distinct(), "near-pairs")
-    ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    whole = materialise(texts.join(broadcast_if_small(ids, SMALL), "doc_id", "left_semi").mapInPandas(_whole, "doc_id long, set binary"), "whole-sets")
+    here = paired(lite, pairs, "pair-ids")
+    x, y = (here.select(F.col("doc_id").alias(c), "n", "short").alias(c) for c in "ab")
+    close = pairs.alias("p").join(x, F.col("p.a") == F.col("a.a")).join(y, (F.col("p.b") == F.col("b.b")) & _close("a", "b"))
+    close = materialise(close.select("p.a", "p.b", (F.col("a.n") + F.col("b.n")).alias("n"), ((F.col("a.n") >= LONG) & (F.col("b.n") >= LONG)).alias("long")).distinct(), "close-pairs")
+    # Where one of the two has no more than the short sketch, the whole ones say nothing more.
+    long = close.where("long").select("a", "b", "n")
+    here = paired(lite.where(F.col("n") >= LONG), long, "close-ids")
+    x, y = (here.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    near = long.join(x, "a").join(y, "b").mapInPandas(_near, "a long, b long").unionByName(close.where("not long").select("a", "b"))
+    near = materialise(near.distinct(), "near-pairs")
+    whole = materialise(paired(texts, near, "near-ids").mapInPandas(_whole, "doc_id long, set binary"), "whole-sets")
     of = lambda c: whole.select(F.col("doc_id").alias(c), F.col("set").alias(f"s{c}"))
     links = materialise(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInPandas(_linked, "a long, b long").distinct(), "links")
     release(whole)
