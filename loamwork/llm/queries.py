@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import bpe, exact_dedup, fingerprint, jaccard_join, langid, mixing, quality, substring_dedup, toxicity, wavelet
-from loamwork.llm.common import documents, held_out, labels
+from loamwork.llm import bpe, conversation_trie, exact_dedup, fingerprint, jaccard_join, langid, mixing, quality, substring_dedup, toxicity, wavelet
+from loamwork.llm.common import conversations, documents, held_out, labels
 from loamwork.plans.scratch import scratch_root
 
 
@@ -59,9 +59,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(conversations(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality, op4_bpe, op5_toxicity, op6_jaccard_join, op7_langid, op8_mixing, op9_fingerprint, op10_token_files)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality, op4_bpe, op5_toxicity, op6_jaccard_join, op7_langid, op8_mixing, op9_fingerprint, op10_token_files, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op6_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op6_jaccard_join": jaccard_join.ORACLE_SQL, "op13_conversation_trie": conversation_trie.ORACLE_SQL}
