@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import bpe, conversation_trie, exact_dedup, fingerprint, jaccard_join, langid, mixing, phrases, quality, substring_dedup, toxicity, wavelet
+from loamwork.llm import bpe, conversation_trie, exact_dedup, fingerprint, jaccard_join, langid, mixing, phrases, pii, quality, substring_dedup, toxicity, wavelet
 from loamwork.llm.common import conversations, documents, held_out, labels
 from loamwork.plans.scratch import scratch_root
 
@@ -63,12 +63,16 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.rebuilt_trie(conversations(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality, op4_bpe, op5_toxicity, op6_jaccard_join, op7_langid, op8_mixing, op9_fingerprint, op10_token_files, op11_phrases, op13_conversation_trie)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_quality, op4_bpe, op5_toxicity, op6_jaccard_join, op7_langid, op8_mixing, op9_fingerprint, op10_token_files, op11_phrases, op12_pii, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
