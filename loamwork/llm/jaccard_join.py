@@ -18,7 +18,7 @@ sets. Groups of copies never turn into all pairs:
    more than ``HOT`` documents share one (a passage that many unrelated documents quote), these documents
    are instead joined under another fixed order of parts, rarest among them first: a frequent part is then
    looked at only in documents that have fewer than k + 1 rarer ones.
-Every linked pair is thus either verified or already in one component, so no component is missed. Before rows are shuffled, each task merges equal sets and equal parts of a batch of documents.
+Every linked pair is thus either verified or already in one component, so no component is missed. Before rows are shuffled, each task merges equal sets of a batch of documents.
 
 Cases: fewer than five words are one shingle, the whole sequence; no words (or null) is an empty set, linked
 with nothing; a null doc_id gets its n_shingles and no component; rows that repeat a doc_id are one document. An
@@ -45,7 +45,7 @@ LONG = SHORT_BITS // 4
 #: Documents under one part, beyond which they are joined by their rarest parts: about where comparing a document's
 #: short sketch with that many others costs more than naming all of its parts and counting them.
 HOT = 2000
-#: Documents whose equal sets and parts a task merges before rows are shuffled.
+#: Documents whose equal sets a task merges before rows are shuffled.
 TOGETHER = 2000
 #: Id tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 SMALL = 200_000
@@ -154,12 +154,11 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(folded(x, n) ^ folded(y, n)).sum(dtype=np.int64))
 
 
-_SETS = "doc_id long, n_shingles long, d1 long, d2 long, short array<long>, sketch binary, keys array<long>, pivots array<long>, doubled array<boolean>"
+_SETS = "doc_id long, n_shingles long, d1 long, d2 long, short array<long>, sketch binary, keys array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document. Of ``TOGETHER`` documents only the first of equal sets has keys; each key has the first
-    of them that has it (``pivots``), and whether others have it too (``doubled``)."""
+    """A row for each document. Of ``TOGETHER`` documents only the first of equal sets has keys."""
     for batch in batches:
         for low in range(0, len(batch), TOGETHER):
             yield _merged(batch.slice(low, TOGETHER))
@@ -178,24 +177,39 @@ def _merged(batch: pa.RecordBatch) -> pa.RecordBatch:
         sketches.append(np.packbits(bits).tobytes())
         shorts.append(short(bits))
         keys.append(part_keys(s) if i is not None and first.setdefault(digest, i) == i else np.zeros(0, np.uint64))
-    lengths = [len(k) for k in keys]
-    flat = np.concatenate(keys).view(np.int64)
-    owner = np.repeat(np.array([-1 if i is None else i for i in ids], np.int64), lengths)
-    # In each run of equal keys the smallest owner is the pivot.
-    order = np.lexsort((owner, flat))
-    pivots, doubled = np.empty(len(flat), np.int64), np.empty(len(flat), bool)
-    if len(flat):
-        head = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
-        run = np.cumsum(head) - 1
-        pivots[order] = owner[order][head][run]
-        doubled[order] = np.bincount(run)[run] > 1
-    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
     d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, pivots, doubled)]
-    columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(shorts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *lists]
+    columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(shorts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SETS.split(", ")])
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, doc_id) in order, those whose key another row has too, with the key's first doc_id.
+
+    A key with any number of rows takes no memory: only the last row waits for what follows it.
+    """
+    names = ["key", "doc_id", "pivot"]
+    last, pivot, before = None, None, None  # the row that waits, its key's first doc_id, the key of the row before it
+    for batch in batches:
+        keys, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if not len(keys):
+            continue
+        if last is not None:
+            keys, ids = np.concatenate([[last[0]], keys]), np.concatenate([[last[1]], ids])
+        same = keys[1:] == keys[:-1]
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        pivots = np.repeat(ids[starts], np.diff(np.concatenate([starts, [len(keys)]])))
+        if keys[0] == before:  # the first run began in an earlier batch
+            pivots[: starts[1] if len(starts) > 1 else len(keys)] = pivot
+        as_before = np.concatenate([[keys[0] == before], same])
+        keep = np.flatnonzero(as_before[:-1] | same)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(pivots[keep])], names=names)
+        before = keys[-2] if len(keys) > 1 else before
+        last, pivot = (keys[-1], ids[-1]), pivots[-1]
+    if last is not None and last[0] == before:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*last, pivot)], names=names)
+
+
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "set": [shingles(t).tobytes() for t in batch["text"]]})
@@ -206,16 +220,20 @@ _PARTS = "doc_id long, own long, band int, k long, keys array<long>, empty array
 
 def _all_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each document's set (``own`` tells sets of one doc_id apart) and band: the names of all parts with
-    shingles, and of as many empty ones as are needed to make k + 1."""
+    shingles, and of as many empty ones as are needed to make k + 1.
+
+    These parts are finer than others, at least four for each shingle, so that most hold one shingle: documents made of a shared
+    passage and a third of their own then have k + 1 parts that hardly any other has.
+    """
     for batch in batches:
         for low in range(0, len(batch), 500):
             rows = []
             for i, text in batch.iloc[low : low + 500][["doc_id", "text"]].itertuples(index=False):
                 s = shingles(text)
                 own = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
-                for band, parts, k in bands(len(s)):
+                for band, _, k in bands(len(s)):
                     if k:
-                        keys, _, empty = _named(s, band, parts)
+                        keys, _, empty = _named(s, band, 4 ** (band + 2))
                         rows.append((i, own, band, k, keys.view(np.int64), empty[: max(0, k + 1 - len(keys))].view(np.int64)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PARTS.split(", ")])
 
@@ -329,20 +347,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     filled = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "d1", "d2")
     classes = materialise(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
     copies = materialise(filled.join(classes, ["n_shingles", "d1", "d2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "copies")
-    # Parts that more than one document has: (key, doc_id, pivot).
-    rows = sets.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("keys", "pivots", "doubled")).alias("x")).select(F.col("x.keys").alias("key"), "doc_id", F.col("x.pivots").alias("pivot"), F.col("x.doubled").alias("doubled"))
-    heads = rows.where("doc_id = pivot")
-    counted = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doubled").alias("doubled")).where("n > 1 or doubled").select("key")
-    counted = materialise(counted, "shared-parts")
-    # A copy's parts are those of the document that stands for its class; parts that only copies share go.
-    stands = copies.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("a"))
-    members = rows.select("key", "doc_id").join(counted, "key").join(broadcast_if_small(stands, SMALL), "doc_id", "left").select("key", F.coalesce("a", "doc_id").alias("doc_id")).distinct()
-    members = materialise(members, "part-members")
-    pivots = materialise(members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot"), "pivots")
-    shared = materialise(members.join(pivots, "key"), "shared-members")
+    # Parts that more than one document has: (key, doc_id, pivot), where a copy's parts are those of the document that stands for its class.
+    rows = sets.where("doc_id is not null").select(F.explode("keys").alias("key"), "doc_id")
+    shared = materialise(rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long, pivot long"), "shared-parts")
+    stands = copies.groupBy("b").agg(F.min("a").alias("a"))
+    for c in ("doc_id", "pivot"):
+        shared = shared.join(broadcast_if_small(stands.withColumnRenamed("b", c), SMALL), c, "left").withColumn(c, F.coalesce("a", c)).drop("a")
+    shared = materialise(shared.select("key", "doc_id", "pivot").distinct(), "shared-members")
     lite = materialise(sets.select("doc_id", F.col("n_shingles").alias("n"), "short", "sketch"), "sketches")
     release(sets)
-    release(members)
     tested, comp = None, components(copies) if not copies.isEmpty() else copies.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def labelled(df: DataFrame, c: str) -> DataFrame:
