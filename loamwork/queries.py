@@ -231,11 +231,14 @@ def csv_export_round_trip(spark, sf_dir):
     return delimited.read(spark, path)
 
 
-def _array_file(spark, sf_dir, wrap: str) -> str:
-    """Suppliers as one JSON array, ``wrap`` around it: one file, as the format has it."""
-    s = table(spark, sf_dir, "supplier").select(F.struct("s_suppkey", "s_name", F.struct(F.col("s_nationkey").alias("nation")).alias("VOID"), F.lit(None).cast("string").alias("none")).alias("r"))
+def _array_file(spark, sf_dir, before: str, after: str) -> str:
+    """Suppliers as one JSON array between two texts: one file, as the format has it, written record by record."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(F.struct("s_suppkey", "s_name", F.struct(F.col("s_nationkey").alias("nation")).alias("VOID"), F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"}).alias("r"))
+    first = s.agg(F.min("s_suppkey")).first()[0]
+    lines = s.select("s_suppkey", F.when(F.col("s_suppkey") == first, F.col("r")).otherwise(F.concat(F.lit(", "), "r")).alias("r"))
+    ends = spark.createDataFrame([(-1, before), (1 << 62, after)], "s_suppkey long, r string")
     path = _folder(spark, "json")
-    s.agg(F.format_string(wrap, F.to_json(F.array_sort(F.collect_list("r")), {"ignoreNullFields": "false"}))).write.text(path)
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("s_suppkey").select("r").write.text(path)
     return path
 
 
@@ -244,14 +247,36 @@ _SUPPLIERS = "SELECT row_number() OVER (ORDER BY s_suppkey)::INT AS rec_id, s_su
 
 @_query(_SUPPLIERS)
 def json_array_scan(spark, sf_dir):
-    records = documents.json_records(spark, _array_file(spark, sf_dir, "%s"))
-    return nested.entities(records, "rec_id")[0].rows
+    records = documents.json_records(spark, _array_file(spark, sf_dir, "[", "]"))
+    return nested.entities(records, "rec_id")[0].rows.withColumn("rec_id", F.col("rec_id").cast("int"))
 
 
 @_query(_SUPPLIERS)
 def json_record_path(spark, sf_dir):
-    records = documents.json_records(spark, _array_file(spark, sf_dir, '{"data": {"rows": %s, "n": 1}, "other": []}'), record_path="data.rows")
-    return nested.entities(records, "rec_id")[0].rows
+    records = documents.json_records(spark, _array_file(spark, sf_dir, '{"data": {"rows": [', '], "n": 1}, "other": [1, 2]}'), record_path="data.rows")
+    return nested.entities(records, "rec_id")[0].rows.withColumn("rec_id", F.col("rec_id").cast("int"))
+
+
+@_query("SELECT event_id AS rec_id, user_id, event_type, note FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN '}, {\"[' || chr(92) || '\"' || chr(10) END AS note, row_number() OVER (ORDER BY event_id) AS n FROM events)")
+def json_array_splits(spark, sf_dir):
+    """One file, one line, as one array, read in many tasks; brackets and quotes within strings; places are kept."""
+    e = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", F.struct("event_type", F.array(F.lit(1), F.lit(2)).alias("more")).alias("what"), F.when(F.col("event_id") % 3 == 0, '}, {"[\\"\n').alias("note"))).alias("r"))
+    low = e.agg(F.min("event_id")).first()[0]
+    text = e.select("event_id", F.concat(F.when(F.col("event_id") == low, "[").otherwise(","), "r").alias("r")).unionByName(spark.createDataFrame([(1 << 62, "]")], "event_id long, r string"))
+    path = _folder(spark, "json")
+    text.repartition(1).sortWithinPartitions("event_id").select("r").write.option("lineSep", " ").text(path)
+    found = documents.json_array(spark, path)
+    at = lambda keys, kind: tokens.json_path(F.col("value"), keys, kind)
+    return found.select((F.col("rec_id") - 1 + low).alias("rec_id"), at(["user_id"], "bigint").alias("user_id"), at(["what", "event_type"], "string").alias("event_type"), at(["note"], "string").alias("note"))
+
+
+@_query("SELECT doc_id::VARCHAR AS doc_id, text, source FROM documents")
+def csv_multiline_split(spark, sf_dir):
+    """Whole texts, line breaks and quotes included, as delimited text, read in as many tasks as lines are."""
+    path = _folder(spark, "csv")
+    keep = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    table(spark, sf_dir, "documents").select("doc_id", "text", "source").write.options(**keep).csv(path)
+    return delimited.read(spark, path, delimiter=",")
 
 
 @_query("SELECT event_id, user_id, (props->>'k')::INT AS k FROM events WHERE event_id % 10 > 0")
