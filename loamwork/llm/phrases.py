@@ -36,8 +36,8 @@ from loamwork.llm.common import col
 from loamwork.plans.scratch import broadcast_if_small, materialise, release
 
 DEPTH, LEAST, TOP = 5, 100, 2000
-#: Words in a shard, words for which a range of prefixes is set up, bits of the map of frequent words (2 MB), bytes of text read at once.
-SHARD, RANGE, BITS, SLICE = 1 << 20, 1 << 20, 1 << 24, 1 << 22
+#: Words in a shard (the more, the less its labels weigh), words for which a range of prefixes is set up, bits of the map of frequent words (2 MB), bytes of text read at once.
+SHARD, RANGE, BITS, SLICE = 1 << 22, 1 << 22, 1 << 24, 1 << 22
 #: Every so many words, one sequence goes into the sample that ranges are chosen by.
 STRIDE = 2000
 #: Rows that a task holds before it merges them; word hashes that it remembers; distinct words that it counts before it gives them away.
@@ -178,27 +178,29 @@ def write_trie(columns: list[np.ndarray], n: np.ndarray, labels: np.ndarray) ->
     own = np.flatnonzero(used)
     kind = np.uint16 if len(own) < 1 << 16 else np.uint32
     head = np.array([len(n), len(own), *map(len, levels)], np.int64)
-    parts = [head, labels[own], lcp, n.astype(np.int64), *[np.searchsorted(own, level).astype(kind) for level in levels]]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+    place = np.cumsum(used, dtype=np.int32) - 1
+    parts = [head, labels[own], lcp, n.astype(np.int64), *[place[level].astype(kind) for level in levels]]
+    # All first bytes of an array, then all second ones: what is alike stands together.
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(len(p), p.itemsize).T).tobytes() for p in parts))
 
 
 def read_trie(block: bytes, depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """columns, n and labels that ``write_trie`` was given (only the labels in use)."""
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    head = np.frombuffer(raw, np.int64, 2 + depth)
-    at = head.nbytes
+    raw, at = zstandard.ZstdDecompressor().decompress(block), 0
 
     def take(kind, size: int) -> np.ndarray:
         nonlocal at
-        out = np.frombuffer(raw, kind, size, at)
-        at += out.nbytes
+        size, width = int(size), np.dtype(kind).itemsize
+        out = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T).view(kind).ravel()
+        at += size * width
         return out
 
+    head = take(np.int64, 2 + depth)
     labels, lcp, n = take(np.uint64, head[1]), take(np.uint8, head[0]), take(np.int64, head[0])
     kind, columns = np.uint16 if head[1] < 1 << 16 else np.uint32, []
     for k in range(depth):
         level = take(kind, head[2 + k])
-        columns.append(level[np.cumsum(lcp <= k) - 1].astype(np.int64))
+        columns.append(level[np.cumsum(lcp <= k, dtype=np.int32) - 1].astype(np.int32))
     return columns, n, labels
 
 
@@ -207,9 +209,10 @@ def shard_tries(tokens: np.ndarray, starts: int, bounds: np.ndarray, depth: int
     labels, ids = np.unique(np.concatenate([tokens, np.zeros(depth, np.uint64)]), return_inverse=True)
     if not len(labels) or labels[0] != 0:
         raise ValueError("0 must be a break")
+    ids = ids.astype(np.int32)
     columns, on = [], np.ones(starts, bool)
     for k in range(depth):
-        c = np.where(on, ids[k : k + starts], 0)
+        c = np.where(on, ids[k : k + starts], np.int32(0))
         on = c > 0
         columns.append(c)
     keep = columns[1] > 0
@@ -260,7 +263,7 @@ def _shards(seed: int, label: Callable[[bytes, int], int] | None, bitmap, bounds
                         yield flushed(lang, True)
                 held[lang].append(stop)
                 sizes[lang] += 1
-                if sizes.total() >= 4 * shard:
+                if sizes.total() >= 2 * shard:
                     yield flushed(sizes.most_common(1)[0][0], False)
         for lang in list(held):
             yield flushed(lang, False)
@@ -274,7 +277,7 @@ _NODES = "lang string, labels array<long>, f long"
 def merged(pieces: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """One trie's columns, numbers and labels from several."""
     labels = np.unique(np.concatenate([p[2] for p in pieces]))
-    maps = [np.searchsorted(labels, p[2]) for p in pieces]
+    maps = [np.searchsorted(labels, p[2]).astype(np.int32) for p in pieces]
     columns = [np.concatenate([m[p[0][k]] for m, p in zip(maps, pieces, strict=True)]) for k in range(len(pieces[0][0]))]
     return *counted(columns, np.concatenate([p[1] for p in pieces]), len(labels)), labels
 
@@ -354,12 +357,12 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     langs = materialise(known.groupBy("lang").agg(F.sum("f").alias("n")), "languages")
     frequent = materialise(known.where(F.col("f") >= least), "frequent-words")
     total = langs.agg(F.sum("n")).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // range_words + 1)
+    ranges = total // range_words + 1
     found = counts.where("word is null").agg(F.percentile_approx("h", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] if ranges > 1 else None
     bitmap, bounds = spark.sparkContext.broadcast(_bitmap(spark, frequent)), spark.sparkContext.broadcast(np.unique(np.array(found or [], np.int64)))
     release(counts)
     blocks = own.mapInArrow(_shards(seed, label, bitmap, bounds, depth, shard), _BLOCKS)
-    tries = blocks.repartition(ranges, "range").sortWithinPartitions("range", "lang").mapInArrow(_merge(bounds, depth, least, HELD), _NODES)
+    tries = blocks.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "lang").mapInArrow(_merge(bounds, depth, least, HELD), _NODES)
     phrases = materialise(tries.groupBy("lang", "labels").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
     return langs, frequent.select("lang", "word", "h", "f"), phrases
 
