@@ -139,14 +139,18 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 
 def upsert_newer(target: DataFrame, source: DataFrame, keys: list[str], ts: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """As ``upsert``, but a source row wins only if the target's time is null or older; ``keep`` columns stay when the source's is null."""
-    t, s = target.alias("t"), source.alias("s")
     on = reduce(lambda a, b: a & b, [F.col(f"t.`{k}`") == F.col(f"s.`{k}`") for k in keys])
     there, here = F.col("t.__there").isNotNull(), F.col("s.__here").isNotNull()
     t, s = target.withColumn("__there", F.lit(1)).alias("t"), source.withColumn("__here", F.lit(1)).alias("s")
     wins = here & (~there | F.col(f"t.`{ts}`").isNull() | (F.col(f"s.`{ts}`") > F.col(f"t.`{ts}`")))
-    new = lambda c: F.coalesce(F.col(f"s.`{c}`"), F.col(f"t.`{c}`")) if c in keep else F.col(f"s.`{c}`")
-    cells = [(F.coalesce(F.col(f"t.`{c}`"), F.col(f"s.`{c}`")) if c in keys else F.when(wins, new(c)).otherwise(F.col(f"t.`{c}`"))).alias(c) for c in target.columns]
-    return t.join(s, on, "full_outer").select(*cells)
+
+    def cell(c: str) -> Column:
+        if c not in source.columns:
+            return F.col(f"t.`{c}`")
+        new = F.coalesce(F.col(f"s.`{c}`"), F.col(f"t.`{c}`")) if c in keep else F.col(f"s.`{c}`")
+        return F.coalesce(F.col(f"t.`{c}`"), F.col(f"s.`{c}`")) if c in keys else F.when(wins, new).otherwise(F.col(f"t.`{c}`"))
+
+    return t.join(s, on, "full_outer").select(*[cell(c).alias(c) for c in target.columns])
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from loamwork.functions import tokens
 from loamwork.operators import infer, nested, profile, quality, routing
 from loamwork.plans.scratch import scratch_root
-from loamwork.sources import delimited, documents
+from loamwork.sources import bucketed, delimited, documents
+from loamwork.streaming import keyed
 
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
@@ -114,6 +115,43 @@ def route_upsert_partial(spark, sf_dir):
     return routing.upsert(o.where("o_orderkey % 2 = 0"), source, ["o_orderkey"])
 
 
+@_query("""WITH t AS (SELECT user_id, max(event_id) AS at, max(value) AS value, min(event_type) AS kind FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
+s AS (SELECT user_id, max(event_id) AS at, CASE WHEN user_id % 2 = 0 THEN min(value) END AS value FROM events WHERE event_id % 3 = 0 GROUP BY user_id),
+j AS (SELECT coalesce(t.user_id, s.user_id) AS user_id, t.at AS old, s.at AS new, t.value AS v, s.value AS w, t.kind, s.user_id IS NOT NULL AND (t.user_id IS NULL OR s.at > t.at) AS wins FROM t FULL JOIN s ON t.user_id = s.user_id)
+SELECT user_id, CASE WHEN wins THEN new ELSE old END AS at, CASE WHEN wins THEN coalesce(w, v) ELSE v END AS value, kind FROM j""")
+def upsert_newer_partial(spark, sf_dir):
+    """Only newer rows win; the source lacks a column of the target, and its nulls in another don't count."""
+    e = table(spark, sf_dir, "events")
+    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("event_id").alias("at"), F.max("value").alias("value"), F.min("event_type").alias("kind"))
+    new = e.where("event_id % 3 = 0").groupBy("user_id").agg(F.max("event_id").alias("at"), F.when(F.col("user_id") % 2 == 0, F.min("value")).alias("value"))
+    return routing.upsert_newer(old, new, ["user_id"], "at", keep=("value",))
+
+
+@_query(f"""WITH n AS (SELECT o_orderkey, o_custkey + 1 AS o_custkey, 'N' AS o_orderstatus FROM orders WHERE o_orderkey % 9 = 0)
+SELECT {_ORDER} FROM orders o WHERE o_orderkey % 2 = 0 AND NOT EXISTS (FROM n WHERE n.o_orderkey = o.o_orderkey)
+UNION ALL SELECT n.*, o.o_orderpriority FROM n LEFT JOIN (FROM orders WHERE o_orderkey % 2 = 0) o ON o.o_orderkey = n.o_orderkey""")
+def upsert_at_rest(spark, sf_dir):
+    """A stored table whose touched buckets are rewritten, by two upserts that each bring half of the keys."""
+    o, path = table(spark, sf_dir, "orders").select(*_ORDER.split(", ")), _folder(spark, "bucketed")
+    bucketed.create(o.where("o_orderkey % 2 = 0"), path, ["o_orderkey"], 8)
+    source = o.where("o_orderkey % 9 = 0").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("N").alias("o_orderstatus"))
+    for part in (0, 1):
+        bucketed.upsert(spark, path, source.where(F.col("o_orderkey") % 2 == part))
+    return bucketed.read(spark, path)
+
+
+@_query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events WHERE event_type = 'click') WHERE rn = 1")
+def stream_newest_row(spark, sf_dir):
+    """Events as a stream in several batches, out of order, into a table of each user's newest click: the batch route's result."""
+    path = _folder(spark, "stream")
+    e = table(spark, sf_dir, "events").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    e.repartition(3, "part").drop("part").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    changes = keyed.routed(stream, _CLICK, ("ts", "event_id"), "ts", delay="3650 days", keep_ms=1 << 42)
+    keyed.into_table(changes, f"{path}/out", f"{path}/checkpoint", ["user_id"], 8).trigger(availableNow=True).start().awaitTermination()
+    return bucketed.read(spark, f"{path}/out")
+
+
 # --- casts -------------------------------------------------------------------------------------------
 
 
