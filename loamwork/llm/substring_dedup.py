@@ -15,7 +15,7 @@ in one row.
 
 Cases: null and empty texts have no chunks and stay as they are (null becomes empty); rows without a
 doc_id stay unchanged and count nowhere; rows that repeat a doc_id are one document, so their common
-passages are first occurrences in each. An empty table gives an empty result.
+passages are first occurrences in each, whether their texts are the same or not. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,19 +95,19 @@ def windows(raw: bytes, run: int = RUN) -> tuple[list[int], np.ndarray]:
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """h1, h2, doc_id, place of every run of chunks."""
+    """h1, h2, doc_id, t (a hash of the text), place of every run of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            ids, texts, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
             for low in range(0, len(ids), 500):
                 found = [windows(t.as_py().encode())[1] for t in texts[low : low + 500]]
                 lengths = [len(f) for f in found]
                 both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
                 places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]) if lengths else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.repeat(ids[low : low + 500], lengths)), pa.array(places)], names=["h1", "h2", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.repeat(ids[low : low + 500], lengths)), pa.array(np.repeat(hashes[low : low + 500], lengths)), pa.array(places)], names=["h1", "h2", "doc_id", "t", "place"])
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "h1 long, h2 long, doc_id long, place int")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "t").mapInArrow(run, "h1 long, h2 long, doc_id long, t long, place int")
 
 
 def n_words(raw: bytes) -> int:
@@ -154,11 +154,12 @@ def _cleaned(doc_id, text: str, marks, least_words: int):
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each row of ``docs``: its chunks, repeated chunks, removed passages and the text that is left."""
-    own = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    own = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     repeated = _digests(own).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     repeated = materialise(repeated, "repeated-runs")
-    marks = _digests(own).join(repeated, ["h1", "h2"]).select("doc_id", F.struct("place", "first", "h1").alias("mark"))
-    marks = marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    marks = _digests(own).join(repeated, ["h1", "h2"]).select("doc_id", "t", F.struct("place", "first", "h1").alias("mark"))
+    # Places are those of one text: rows that share an id keep their marks apart, and rows repeated whole have them once.
+    marks = marks.groupBy("doc_id", "t").agg(F.collect_set("mark").alias("marks"))
     names = [x.split()[0] for x in _OUT.replace("struct<start:int,end:int,first_doc_id:long>", "struct").split(", ")]
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,4 +170,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return own.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInPandas(clean, _OUT)
+    return own.join(marks, ["doc_id", "t"], "left").select("doc_id", "text", "marks").mapInPandas(clean, _OUT)

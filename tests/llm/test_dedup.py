@@ -282,3 +282,11 @@ def test_substring_dedup_on_awkward_rows(awkward, nothing):
     assert got[None].n_removed_chars == 0
     for f in (exact_dedup.exact_dedup, jaccard_join.jaccard_join, substring_dedup.substring_dedup):
         assert f(nothing).collect() == []
+
+
+def test_a_namesake_of_a_copy_keeps_its_text(spark):
+    """Marks belong to a text, not to an id: of two rows with one id, the one whose passage is a copy loses it alone."""
+    p, u = (" ".join(f"{c}{i * 7919 % 1000}word" for i in range(60)) for c in "pu")
+    rows = [(1, p), (5, p), (5, u), (5, u), (None, p)]
+    got = {(r.doc_id, r.text) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (1, p) in got and (5, u) in got and (None, p) in got and (5, p) not in got and len(got) == 4
