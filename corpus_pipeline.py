@@ -65,10 +65,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("__of")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__of")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[common.col(c) for c in docs.columns])
+    """Each row as often as the mix takes it. Rows are told apart by all their columns; rows repeated whole share what they are taken."""
+    keyed = docs.withColumn("__key", F.xxhash64(*[common.col(c) for c in docs.columns]))
+    copies = mixing.mix(keyed, id_col="__key").groupBy(F.col("doc_id").alias("__of")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    copies = materialise(copies.where("__copies > 0"), "copies")
+    taken = keyed.join(copies, F.col("__key") == F.col("__of"))
+    repeated = taken.where("__rows > 1").groupBy("__key").agg(F.min(F.struct(*[common.col(c) for c in docs.columns])).alias("__row"), F.max("__copies").alias("__copies"))
+    rows = taken.where("__rows = 1").select(*[common.col(c) for c in docs.columns], "__copies").unionByName(repeated.select("__row.*", "__copies"))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[common.col(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,11 @@ a fraction that has to become 0 or 1. Fractions meet in small blocks: two of the
 one is integral, in the direction that keeps each one's expectation, and the words of the block stay what
 they were. What is left of a block (one fraction) goes to a block of the next level, until one fraction is
 left in a source: a reduction tree whose every node holds about ``fan`` rows, whatever the source's size.
-So a source's words miss its target by less than one document.
+
+Of two fractions the one of the longer document tends to stay open, and the last one's rounding is what a source misses its
+target by. So each source's ``LONGEST`` longest documents are settled before all others, longest first, each
+against all that come after it: these have one fraction in common, which takes up (or gives) the words that
+settle the long one. A source's words then miss its target by half of one of its shorter documents at most.
 
 Cases: a null text has no words and takes none; a very long one is counted whole. Null sources form one source
 that stands last. Rows that share doc_id, size and source (null ids, say) are rounded as separate documents,
@@ -27,6 +31,8 @@ from loamwork.llm.common import WORD, col, unit
 from loamwork.plans.scratch import broadcast_if_small, materialise
 
 WEIGHTS, CAP, FAN, SEED = (5.0, 2.0, 1.0), 3.0, 64, 17
+#: A source's longest documents, so many of which are settled one by one.
+LONGEST = 512
 #: Source tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 SMALL = 50_000
 
@@ -105,7 +111,44 @@ def _meet(rows: Column, seed: int, level: int) -> Column:
     return F.aggregate(rows, F.struct(none.alias("held"), F.array().cast(f"array<{unit_type}>").alias("done")), step)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, fan: int = FAN, seed: int = SEED) -> DataFrame:
+_UNIT = "struct<size:bigint,doc_id:bigint,nth:bigint,whole:bigint,p:double>"
+
+
+def _settled(rows: Column, p: Column, words: Column, seed: int) -> Column:
+    """Fold over rows (longest first) of a source whose open documents, these included, all have the fraction ``p`` and ``words`` in all.
+
+    p: the common fraction of what is left; ``rows``: these with their own fractions. Only one that all others together could not
+    settle is still open.
+    """
+
+    def step(state: Column, row: Column) -> Column:
+        p, size, rest = state["p"], row["size"], state["words"] - row["size"]
+        up, down = F.least((1 - p) * size, p * rest), F.least(p * size, (1 - p) * rest)
+        rises = unit(F.lit(seed), F.lit(-1), row["doc_id"], row["nth"], row["size"]) * (up + down) < down
+        # Which of the two ends follows from the amounts compared, not from rounded arithmetic.
+        own = F.when(rises, F.when((1 - p) * size <= p * rest, F.lit(1.0)).otherwise(p + up / size)).otherwise(F.when(p * size <= (1 - p) * rest, F.lit(0.0)).otherwise(p - down / size))
+        others = F.when(rises, F.when((1 - p) * size >= p * rest, F.lit(0.0)).otherwise(p - up / rest)).otherwise(F.when(p * size >= (1 - p) * rest, F.lit(1.0)).otherwise(p + down / rest))
+        alone = (rest <= 0) | (p <= 0) | (p >= 1)
+        put = F.struct(row["size"].alias("size"), row["doc_id"].alias("doc_id"), row["nth"].alias("nth"), row["whole"].alias("whole"), F.when(alone, p).otherwise(own).cast("double").alias("p"))
+        return F.struct(F.when(alone, p).otherwise(others).cast("double").alias("p"), rest.cast("bigint").alias("words"), F.concat(state["rows"], F.array(put)).alias("rows"))
+
+    return F.aggregate(rows, F.struct(p.cast("double").alias("p"), words.cast("bigint").alias("words"), F.array().cast(f"array<{_UNIT}>").alias("rows")), step)
+
+
+def _longest(open_: DataFrame, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """source and u of the ``most`` longest documents of each source, settled, and ``open_`` (source, u, blocks) of the others with their new fraction."""
+    order = F.struct(F.col("u.size"), F.col("u.doc_id"), F.col("u.nth")).alias("o")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.col("o").desc()))
+    first = open_.select("source", "u", order).withColumn("rank", rank).where(F.col("rank") <= most)
+    top = first.groupBy(F.col("source").alias("its")).agg(F.sort_array(F.collect_list("u"), asc=False).alias("rows"), F.min("o").alias("last"))
+    words = open_.groupBy(F.col("source").alias("of")).agg(F.sum("u.size").alias("words"), F.min("u.p").alias("p"))
+    done = top.join(broadcast_if_small(materialise(words, "open-words"), SMALL), F.col("its").eqNullSafe(F.col("of"))).select("its", "last", _settled(F.col("rows"), F.col("p"), F.col("words"), seed).alias("s"))
+    done = materialise(done, "longest")
+    rest = open_.join(broadcast_if_small(done.select("its", "last", F.col("s.p").alias("new")), SMALL), F.col("source").eqNullSafe(F.col("its"))).where(F.struct(F.col("u.size"), F.col("u.doc_id"), F.col("u.nth")) < F.col("last"))
+    return done.select(F.col("its").alias("source"), F.explode("s.rows").alias("u")), rest.select("source", F.col("u").withField("p", F.col("new")).alias("u"), "blocks")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, fan: int = FAN, seed: int = SEED, longest: int = LONGEST) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
     sized = materialise(sizes(docs, id_col, text_col, source_col), "sizes")
     per = materialise(targets(sized, weights, cap), "targets")
@@ -121,6 +164,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     largest = per.agg(F.max("n_docs")).first()[0] or 0
     shut = units.where("u.p = 0 or u.p = 1").select("source", "u")
     open_, done = units.where("u.p > 0 and u.p < 1"), [shut]
+    if longest:
+        settled, open_ = _longest(open_, seed, longest)
+        done.append(settled.where("u.p <= 0 or u.p >= 1"))
+        done.append(open_.where("u.p <= 0 or u.p >= 1").select("source", "u"))
+        # One of them may still be open: it meets the others like any document.
+        blocks = per.select(F.col("source").alias("its"), F.ceil(F.col("n_docs") / fan).cast("long").alias("blocks"))
+        still = settled.where("u.p > 0 and u.p < 1").join(broadcast_if_small(blocks, SMALL), F.col("source").eqNullSafe(F.col("its"))).select("source", "u", "blocks")
+        open_ = open_.where("u.p > 0 and u.p < 1").unionByName(still)
     levels = max(1, math.ceil(math.log(max(largest, 2), fan)) + 1)
     for level in range(levels):
         last = level == levels - 1
@@ -128,7 +179,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         folded = (
             open_.withColumn("block", block)
             .groupBy("source", "block", "blocks")
-            .agg(F.sort_array(F.collect_list("u"), asc=False).alias("rows"))  # the longest first: what stays open at the end is short
+            .agg(F.sort_array(F.collect_list("u"), asc=False).alias("rows"))
             .select("source", F.greatest(F.lit(1), F.ceil(F.col("blocks") / fan)).cast("long").alias("blocks"), _meet(F.col("rows"), seed, level).alias("s"))
         )
         folded = materialise(folded, f"round{level}")
