@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.functions import tokens
+from loamwork.operators import bounded
 from loamwork.operators.profile import _names, counted
 
 INT32 = 2**31
 
 
-def measures(df: DataFrame, columns: list[str] | None = None, rules: tokens.TokenRules = tokens.CSV) -> DataFrame:
+def measures(df: DataFrame, columns: list[str] | None = None, rules: tokens.TokenRules = tokens.CSV, sample: int | None = None, seed: int = 0) -> DataFrame:
     """For each column, the share of non-null values that fit each candidate, and what decides among near candidates.
 
     Cells become (column, value, count) rows first, so each distinct value is read once as text, number and time,
-    and weighs as often as it stands there.
+    and weighs as often as it stands there. With ``sample`` only so many distinct values of each column are read
+    (``bounded.samples``), the same ones however the table is stored. A column without values, or without rows, has a row of zeros.
     """
-    per = counted(df, columns).select("column", "n", tokens.cleaned(F.col("value"), rules).alias("some"))
+    found = _measured(bounded.samples(df, columns, sample, seed) if sample else counted(df, columns), rules)
+    out = _names(df, columns).join(F.broadcast(found), "column", "left")  # one row a column
+    return out.na.fill(0, [c for c in found.columns if c not in ("column", "low", "high")])
+
+
+def _measured(per: DataFrame, rules: tokens.TokenRules) -> DataFrame:
+    per = per.select("column", "n", tokens.cleaned(F.col("value"), rules).alias("some"))
     read = per.select("column", "n", "some", F.trim("some").alias("bare"), tokens.number_text(F.col("some")).alias("number"), tokens.to_timestamp(F.col("some")).alias("time"))
     read = read.withColumn("exact", F.col("number").try_cast("decimal(38,10)"))
     some, number, time, exact = (F.col(c) for c in ("some", "number", "time", "exact"))
@@ -49,9 +57,9 @@ def _time() -> Column:
     return F.when(F.col("midnight") == 1, "date").when(F.col("fractional") > 0, "timestamp64(ms)").otherwise("timestamp")
 
 
-def strict_types(df: DataFrame, columns: list[str] | None = None, rules: tokens.TokenRules = tokens.CSV) -> DataFrame:
+def strict_types(df: DataFrame, columns: list[str] | None = None, rules: tokens.TokenRules = tokens.CSV, sample: int | None = None, seed: int = 0) -> DataFrame:
     """Every value must fit: json, date or time, bool, integer, decimal, float, string."""
-    m = measures(df, columns, rules)
+    m = measures(df, columns, rules, sample, seed)
     kind = (
         F.when(F.col("n") == 0, "string").when(F.col("json") == 1, "json").when((F.col("time") == 1) & (F.col("number") < 1), _time()).when(F.col("bool") == 1, "bool")
         .when(F.col("integral") == 1, _int()).when((F.col("number") == 1) & (F.col("integral") == 0), _decimal()).when(F.col("number") == 1, "float64").when(F.col("float") == 1, "float64").otherwise("string")
@@ -59,9 +67,9 @@ def strict_types(df: DataFrame, columns: list[str] | None = None, rules: tokens.
     return m.select("column", kind.alias("type"))
 
 
-def threshold_types(df: DataFrame, columns: list[str] | None = None, rules: tokens.TokenRules = tokens.CSV_TYPES, lowcard_ratio: float = 0.10, lowcard_max: int = 5000) -> DataFrame:
+def threshold_types(df: DataFrame, columns: list[str] | None = None, rules: tokens.TokenRules = tokens.CSV_TYPES, lowcard_ratio: float = 0.10, lowcard_max: int = 5000, sample: int | None = None, seed: int = 0) -> DataFrame:
     """Most values must fit: json over 90 %, times 95 %; what stays text is lowcard_string when it has few distinct values."""
-    m = measures(df, columns, rules)
+    m = measures(df, columns, rules, sample, seed)
     time = F.when(F.col("midnight") > 0.99, "date").when(F.col("fractional") > 0.01, "timestamp64(ms)").otherwise("timestamp")
     kind = (
         F.when(F.col("n") == 0, "string").when(F.col("json") > 0.9, "json").when(F.col("bool") == 1, "bool").when(F.col("integral") == 1, _int()).when(F.col("number") == 1, _decimal()).when(F.col("float") == 1, "float64")
@@ -70,9 +78,9 @@ def threshold_types(df: DataFrame, columns: list[str] | None = None, rules: toke
     return m.select("column", kind.alias("type"))
 
 
-def scored_types(df: DataFrame, columns: list[str] | None = None, ambiguous: float = 0.15) -> DataFrame:
+def scored_types(df: DataFrame, columns: list[str] | None = None, ambiguous: float = 0.15, sample: int | None = None, seed: int = 0) -> DataFrame:
     """Scores of seven candidates that add up to 1, the best of them, and whether several could be meant."""
-    m = measures(df, columns, tokens.SCORED)
+    m = measures(df, columns, tokens.SCORED, sample, seed)
     text = F.when(F.greatest("bool", "plain_int", "float", "time", F.col("json") * 0.9) > 0.5, 0.5).otherwise(1.0)
     raw = {"bool": F.col("bool"), "int64": F.col("plain_int"), "float64": F.col("float"), "date": F.when(F.col("midnight") == 1, F.col("time")).otherwise(0.0), "timestamp64(ms)": F.when(F.col("midnight") < 1, F.col("time")).otherwise(0.0), "json": F.col("json") * 0.9, "string": text}
     total = sum(raw.values(), F.lit(0.0))

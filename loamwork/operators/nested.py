@@ -189,6 +189,8 @@ def edges(df: DataFrame, value: str = "record", root: str = "/root/item") -> Dat
                 walk(rows.select((F.explode(inner) if many else inner).alias("v")).where("v is not null"), f"{path}/{f.name}")
 
     walk(df.select(quoted(value).alias("v")), root)
+    if not stats:  # no element has any below it
+        return df.sparkSession.createDataFrame([], "parent string, child string, min_children int, max_children int, n_parents long, is_list boolean")
     out = stats[0]
     for s in stats[1:]:
         out = out.unionByName(s)

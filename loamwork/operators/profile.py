@@ -80,8 +80,10 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def capped_distinct(df: DataFrame, columns: list[str] | None = None, cap: int = CAP) -> DataFrame:
-    """As ``counts``, with n_distinct null and capped true beyond ``cap``."""
-    return counts(df, columns).select("column", F.when(F.col("n_distinct") <= cap, F.col("n_distinct")).alias("n_distinct"), (F.col("n_distinct") > cap).alias("capped"))
+    """column, n_distinct (null beyond ``cap``), capped: tasks stop counting at the cap, and no more than it is shuffled of each column and task."""
+    from loamwork.operators import bounded
+
+    return bounded.distinct_up_to(df, columns, cap)
 
 
 def distinct_with_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.functions import tokens
-from loamwork.operators import infer, nested, profile, quality, routing
+from loamwork.operators import bounded, infer, nested, preprocess, profile, quality, routing
 from loamwork.plans.scratch import scratch_root
-from loamwork.sources import bucketed, delimited, documents
+from loamwork.sources import bucketed, delimited, documents, xml_events
 from loamwork.streaming import keyed
 
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in df.dtypes])
 
 
+def _each(columns: list[str], sql: str) -> str:
+    """One SELECT for each column, ``{c}`` being its name."""
+    return " UNION ALL ".join(sql.replace("{c}", c) for c in columns)
+
+
 # --- routing -----------------------------------------------------------------------------------------
 
 _CLICK = routing.Route("clicks", {"user_id": "user_id", "event_id": "event_id", "event_type": "event_type", "value": "value"}, "event_type = 'click'", ("user_id",))
@@ -359,12 +364,51 @@ def xml_first_text(spark, sf_dir):
     return records.select(F.col("_id").alias("id"), nested.first_text(F.col("record"), records.schema["record"].dataType, ["turn", "nr"]).alias("first"))
 
 
-# --- profiles ----------------------------------------------------------------------------------------
+def _tagged_talks(spark, sf_dir) -> str:
+    """Conversations as one line of XML each, with prefixes, attributes, optional and repeated elements and mixed content."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
+    turn = F.transform("turns", lambda x: F.concat(F.lit('<c:turn role="'), F.coalesce(x["role"], F.lit("")), F.lit('"><nr>'), x["turn"].cast("string"), F.lit("</nr>"), F.when(x["turn"] == 0, "first ").otherwise(""), F.lit("</c:turn>")))
+    note = F.when(F.col("conv_id") % 3 == 0, F.lit('<note kind="a" c:lang="b"/>')).otherwise("")
+    path = _folder(spark, "xml")
+    t.select(F.concat(F.lit('<c:talk xmlns:c="urn:c" id="'), F.col("conv_id").cast("string"), F.lit('">'), F.array_join(turn, ""), note, F.lit("</c:talk>"))).write.text(path)
+    return path
 
 
-def _each(columns: list[str], sql: str) -> str:
-    """One SELECT for each column, ``{c}`` being its name."""
-    return " UNION ALL ".join(sql.replace("{c}", c) for c in columns)
+@_query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
+SELECT '/talk' AS parent, 'turn' AS child, min(n) AS min_children, max(n) AS max_children, count(*) AS n_parents, max(n) > 1 AS is_list FROM c HAVING count(*) > 0
+UNION ALL SELECT '/talk', 'note', CASE WHEN count(*) FILTER (conv_id % 3 = 0) < count(*) THEN 0 ELSE 1 END, 1, count(*) FILTER (conv_id % 3 = 0), false FROM c HAVING count(*) FILTER (conv_id % 3 = 0) > 0
+UNION ALL SELECT '/talk/turn', 'nr', 1, 1, count(*), false FROM conversations HAVING count(*) > 0""")
+def xml_graph_events(spark, sf_dir):
+    """Edges of an XML structure from its events: optional children, lists, prefixes dropped."""
+    return xml_events.edges(xml_events.sums(xml_events.records(spark, _tagged_talks(spark, sf_dir), "c:talk")))
+
+
+@_query("""SELECT '/talk' AS path, count(DISTINCT conv_id) AS n, 'id' AS attributes, 0::BIGINT AS n_text, false AS mixed FROM conversations HAVING count(*) > 0
+UNION ALL SELECT '/talk/turn', count(*), 'role', count(*) FILTER (turn = 0), bool_or(turn = 0) FROM conversations HAVING count(*) > 0
+UNION ALL SELECT '/talk/turn/nr', count(*), '', count(*), false FROM conversations HAVING count(*) > 0
+UNION ALL SELECT '/talk/note', count(DISTINCT conv_id), 'kind, lang', 0, false FROM conversations WHERE conv_id % 3 = 0 HAVING count(*) > 0""")
+def xml_graph_elements(spark, sf_dir):
+    """Elements by path: their attributes, and which have text of their own beside children."""
+    return xml_events.elements(xml_events.sums(xml_events.records(spark, _tagged_talks(spark, sf_dir), "c:talk"))).withColumn("attributes", F.array_join("attributes", ", "))
+
+
+@_query("""WITH raw AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'NULL' WHEN c_custkey % 5 = 0 THEN '  ' || c_name || chr(9) ELSE c_name END AS name, CASE WHEN c_custkey % 11 = 0 THEN ' N/A ' ELSE '+1 (555) ' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') END AS phone, c_mktsegment AS segment FROM customer),
+a AS (SELECT CASE WHEN trim(name, ' ' || chr(9)) <> 'NULL' THEN trim(name, ' ' || chr(9)) END AS name, CASE WHEN trim(phone) <> 'N/A' THEN regexp_replace(phone, '[^0-9]+', '', 'g') END AS phone, segment FROM raw)
+""" + _each(["name", "phone", "segment"], "SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, min(length({c}))::INT AS min_length, max(length({c}))::INT AS max_length, min({c}) AS low, max({c}) AS high FROM a"))
+def preprocess_suggested(spark, sf_dir):
+    """Steps suggested from a profile are applied, and the result is profiled again."""
+    k = F.col("c_custkey")
+    phone = F.concat(F.lit("+1 (555) "), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad((k % 10000).cast("string"), 4, "0"))
+    raw = table(spark, sf_dir, "customer").select(
+        F.when(k % 7 == 0, "NULL").when(k % 5 == 0, F.concat(F.lit("  "), "c_name", F.lit("\t"))).otherwise(F.col("c_name")).alias("name"), F.when(k % 11 == 0, " N/A ").otherwise(phone).alias("phone"), F.col("c_mktsegment").alias("segment")
+    )
+    clean = preprocess.applied(raw, preprocess.suggested(raw))
+    names = ["name", "phone", "segment"]
+    ends = profile._batched(clean, names, lambda c: [F.min(c).alias("low"), F.max(c).alias("high")])
+    return profile.counts(clean, names).select("column", "n_null", "n_distinct").join(profile.lengths(clean, names).select("column", "min_length", "max_length"), "column").join(ends, "column")
+
+
+# --- profiles ----------------------------------------------------------------------------------------
 
 
 _ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
@@ -380,6 +424,32 @@ def profile_capped_distinct(spark, sf_dir):
     return profile.capped_distinct(table(spark, sf_dir, "customer"), ["c_custkey", "c_name"])
 
 
+@_query(_each(_ORDERS, "SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {c}) <= 1000 THEN count(DISTINCT {c}) END AS n_distinct, count(DISTINCT {c}) > 1000 AS capped FROM orders"))
+def capped_distinct(spark, sf_dir):
+    """A cap that some columns pass and others don't."""
+    return profile.capped_distinct(table(spark, sf_dir, "orders"), _ORDERS, 1000)
+
+
+@_query("WITH l AS (SELECT l_partkey, l_suppkey, l_linenumber, nullif(l_linenumber, 7) AS l_seven FROM lineitem), " + "c AS (" + _each(["l_partkey", "l_suppkey", "l_linenumber", "l_seven"], "SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS n FROM l GROUP BY 2") + """)
+SELECT "column", value, n FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY md5('7:' || value), value) AS r FROM c WHERE value IS NOT NULL) WHERE r <= 50 UNION ALL SELECT * FROM c WHERE value IS NULL""")
+def column_samples(spark, sf_dir):
+    """Values that a seed picks, of several columns in one pass, with their whole counts."""
+    df = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", F.expr("nullif(l_linenumber, 7)").alias("l_seven"))
+    return bounded.samples(df, k=50, seed=7)
+
+
+@_query("""WITH v AS (SELECT 'o_orderkey' AS "column", o_orderkey::VARCHAR AS value FROM orders UNION ALL SELECT 'text', CASE WHEN o_orderkey % 20 = 0 THEN 'n' || o_orderkey ELSE strftime(o_orderdate, '%d.%m.%Y') END FROM orders
+  UNION ALL SELECT 'mostly', CASE WHEN o_orderkey % 50 = 0 THEN 'x' || o_orderkey ELSE strftime(o_orderdate, '%d.%m.%Y') END FROM orders),
+c AS (SELECT "column", value, count(*) AS n, row_number() OVER (PARTITION BY "column" ORDER BY md5('0:' || value)) AS r FROM v GROUP BY 1, 2),
+s AS (SELECT "column", sum(n) FILTER (value SIMILAR TO '[0-9]+') / sum(n) AS num, sum(n) FILTER (value SIMILAR TO '[0-9.]+' AND contains(value, '.')) / sum(n) AS day, count(*) AS d, sum(n) AS n FROM c WHERE r <= 300 GROUP BY 1)
+SELECT "column", CASE WHEN num = 1 THEN 'int32' WHEN day >= 0.95 THEN 'date' WHEN d / n <= 0.1 THEN 'lowcard_string' ELSE 'string' END AS type FROM s""")
+def sampled_types(spark, sf_dir):
+    """Types that most of a sample's values have."""
+    day = F.date_format("o_orderdate", "dd.MM.yyyy")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 20 == 0, F.concat(F.lit("n"), "o_orderkey")).otherwise(day).alias("text"), F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit("x"), "o_orderkey")).otherwise(day).alias("mostly"))
+    return infer.threshold_types(o, sample=300)
+
+
 @_query(_each(["c_name", "c_mktsegment"], "SELECT '{c}' AS \"column\", min(length({c}))::INT AS min_length, max(length({c}))::INT AS max_length, quantile_disc(length({c}), 0.5)::INT AS p50, quantile_disc(length({c}), 0.95)::INT AS p95 FROM customer"))
 def profile_lengths(spark, sf_dir):
     return profile.lengths(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
