@@ -21,7 +21,7 @@ def measures(df: DataFrame, columns: list[str] | None = None, rules: tokens.Toke
     """
     found = _measured(bounded.samples(df, columns, sample, seed) if sample else counted(df, columns), rules)
     out = _names(df, columns).join(F.broadcast(found), "column", "left")  # one row a column
-    return out.na.fill(0, [c for c in found.columns if c not in ("column", "low", "high")])
+    return out.na.fill(0, [c for c in found.columns if c not in ("column", "low", "high", "first_year")])
 
 
 def _measured(per: DataFrame, rules: tokens.TokenRules) -> DataFrame:
@@ -38,7 +38,7 @@ def _measured(per: DataFrame, rules: tokens.TokenRules) -> DataFrame:
         "n": F.coalesce(all_, F.lit(0)), "bool": share(tokens.to_bool(some, rules).isNotNull()), "number": share(number.isNotNull()), "integral": share(exact == F.floor(exact)), "plain_int": share(F.col("bare").rlike(r"^[+-]?\d+$")),
         "float": share(F.col("bare").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), "time": share(time.isNotNull()), "json": share(tokens.as_json(some).isNotNull()),
         "midnight": of(time == F.date_trunc("day", time), time.isNotNull()), "fractional": of(time != F.date_trunc("second", time), time.isNotNull()),
-        "low": F.min(exact), "high": F.max(exact), "whole": F.coalesce(F.max(whole), F.lit(0)), "scale": F.coalesce(F.max(scale), F.lit(0)), "distinct": F.count_distinct(some),
+        "low": F.min(exact), "high": F.max(exact), "whole": F.coalesce(F.max(whole), F.lit(0)), "scale": F.coalesce(F.max(scale), F.lit(0)), "distinct": F.count_distinct(some), "first_year": F.min(F.year(time)),
     }
     return read.groupBy("column").agg(*[v.alias(k) for k, v in found.items()])
 
@@ -78,6 +78,13 @@ def threshold_types(df: DataFrame, columns: list[str] | None = None, rules: toke
     return m.select("column", kind.alias("type"))
 
 
+def engine_overrides(df: DataFrame, columns: list[str] | None = None, rules: tokens.TokenRules = tokens.CSV_TYPES, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """column, type (by ``threshold_types``' rules for times) and engine_type of the time columns whose first year no plain ClickHouse date holds: before 1970."""
+    m = measures(df, columns, rules, sample, seed)
+    kind = F.when(F.col("midnight") > 0.99, "date").otherwise("timestamp64(ms)")
+    return m.where((F.col("time") >= 0.95) & (F.col("number") < 1) & (F.col("first_year") < 1970)).select("column", kind.alias("type"), F.when(F.col("midnight") > 0.99, "Date32").otherwise("DateTime64(3,'UTC')").alias("engine_type"))
+
+
 def scored_types(df: DataFrame, columns: list[str] | None = None, ambiguous: float = 0.15, sample: int | None = None, seed: int = 0) -> DataFrame:
     """Scores of seven candidates that add up to 1, the best of them, and whether several could be meant."""
     m = measures(df, columns, tokens.SCORED, sample, seed)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loamwork.functions import tokens
 from loamwork.operators import quality
 from loamwork.operators.profile import quoted
+from loamwork.plans.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,12 @@ def route(staged: DataFrame, r: Route, order: tuple[str, ...] = ("load_ts",)) ->
 
 
 def run(mapping: Mapping, staged: DataFrame, order: tuple[str, ...] = ("load_ts",)) -> tuple[dict[str, DataFrame], DataFrame | None]:
-    """Every route's rows that pass their checks, and the dead letters (target, failed, the row as JSON)."""
+    """Every route's rows that pass their checks, and the dead letters (target, failed, the row as JSON).
+
+    With several routes the staging rows are written down first: what made them (parsing, casts) is done once, and each route reads its own columns.
+    """
+    if len(mapping.routes) > 1:
+        staged = materialise(staged, mapping.staging_table)
     out, dead = {}, None
     for r in mapping.routes:
         out[r.into], letter = checked(route(staged, r, order), mapping, r)

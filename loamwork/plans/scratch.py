@@ -9,7 +9,11 @@ adaptive execution may split a hot key's partition.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,21 +36,56 @@ def scratch_root(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_LOCK, _WRITES = threading.Lock(), {}
+_OWN: ContextVar[list | None] = ContextVar("own", default=None)
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting above while any thread writes; what it was before, after the last of them."""
+    key = id(spark._jsparkSession)
+    with _LOCK:
+        n, before = _WRITES.get(key, (0, None))
+        if not n:
+            before = spark.conf.get(_CLEAN, "false")
+            spark.conf.set(_CLEAN, "true")
+        _WRITES[key] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITES[key]
+            _WRITES[key] = (n - 1, before)
+            if n == 1:
+                spark.conf.set(_CLEAN, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder in the shared scratch space and read it back; its shuffle files go."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/loamwork/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._loamwork_path = path
+    if (own := _OWN.get()) is not None:
+        own.append(out)
     return out
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """All tables that are materialised within (by this thread) are deleted at the end: write results elsewhere before."""
+    own: list[DataFrame] = []
+    token = _OWN.set(own)
+    try:
+        yield
+    finally:
+        _OWN.reset(token)
+        for table in own:
+            release(table)
+
+
 def release(table: DataFrame) -> None:
     """Delete a table that ``materialise`` returned; nothing may read it any more."""
     spark = table.sparkSession

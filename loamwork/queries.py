@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import tokens
 from loamwork.operators import bounded, infer, nested, preprocess, profile, quality, routing
+from loamwork.plans import ddl
 from loamwork.plans.scratch import scratch_root
-from loamwork.sources import bucketed, delimited, documents, xml_events
+from loamwork.sources import bucketed, cycle, database, delimited, documents, xml_events
 from loamwork.streaming import keyed
 
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
@@ -332,11 +333,15 @@ def json_lines_scan(spark, sf_dir):
     return documents.json_lines(spark, path).select(tokens.json_path(value, ["event_id"], "bigint").alias("event_id"), tokens.json_path(value, ["user_id"], "bigint").alias("user_id"), tokens.json_path(value, ["props", "k"], "int").alias("k"))
 
 
-def _talks_as_xml(spark, sf_dir) -> DataFrame:
+def _talks_file(spark, sf_dir) -> str:
     t = _talks(spark, sf_dir).select(F.col("conv_id").alias("_id"), F.transform("record.turns", lambda x: F.struct(x["role"].alias("_role"), x["turn"].alias("nr"))).alias("turn"), F.struct(F.size("record.turns").alias("turns")).alias("size"))
     path = _folder(spark, "xml")
     t.write.format("xml").option("rowTag", "talk").option("rootTag", "talks").option("attributePrefix", "_").save(path)
-    return documents.xml_records(spark, path, "talk")
+    return path
+
+
+def _talks_as_xml(spark, sf_dir) -> DataFrame:
+    return documents.xml_records(spark, _talks_file(spark, sf_dir), "talk")
 
 
 @_query("SELECT conv_id::VARCHAR AS \"@id\", string_agg(role, ' | ' ORDER BY turn, role, text) AS \"turn@role\", string_agg(turn::VARCHAR, ' | ' ORDER BY turn, role, text) AS \"turn/nr\", count(*)::VARCHAR AS \"size/turns\" FROM conversations GROUP BY conv_id")
@@ -408,6 +413,46 @@ def preprocess_suggested(spark, sf_dir):
     return profile.counts(clean, names).select("column", "n_null", "n_distinct").join(profile.lengths(clean, names).select("column", "min_length", "max_length"), "column").join(ends, "column")
 
 
+@_query("""SELECT 'old' AS "column", 'date' AS type, 'Date32' AS engine_type FROM orders HAVING count(*) > 0 UNION ALL SELECT 'old_time', 'timestamp64(ms)', 'DateTime64(3,''UTC'')' FROM orders HAVING bool_or(hour(o_orderdate::TIMESTAMP + to_hours((o_orderkey % 7)::INT)) > 0)""")
+def engine_override(spark, sf_dir):
+    """Times before 1970, which a plain date of ClickHouse doesn't hold; times after it need nothing."""
+    d = F.col("o_orderdate")
+    old = d - F.expr("INTERVAL '40' YEAR")
+    o = table(spark, sf_dir, "orders").select(F.date_format(d, "yyyy-MM-dd").alias("new"), F.date_format(old, "dd.MM.yyyy").alias("old"), F.date_format(old + F.make_dt_interval(hours=F.col("o_orderkey") % 7), "yyyy-MM-dd HH:mm:ss").alias("old_time"), F.col("o_orderkey").cast("string").alias("number"))
+    return infer.engine_overrides(o)
+
+
+# --- databases -----------------------------------------------------------------------------------------
+
+
+def _derby() -> str:
+    """A database of the driver's own, in memory: the tasks of a local session reach it too."""
+    return f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS c_nationkey FROM customer")
+def jdbc_load_and_upsert(spark, sf_dir):
+    """Customers through staging into a database table, some of them replaced by a second load, a repeated one without effect; read back."""
+    url, c = _derby(), table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    database.create(spark, [ddl.Table("customer", (ddl.Column("c_custkey", "int64", False), ddl.Column("c_name", "string"), ddl.Column("c_nationkey", "int64")), ("c_custkey",))], url)
+    database.load(c, url, "customer", "first")
+    some = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("changed").alias("c_name"))
+    for _ in range(2):
+        database.load(some, url, "customer", "second", keys=("c_custkey",))
+    return spark.read.format("jdbc").options(url=url, dbtable='"customer"').load()
+
+
+@_query("""SELECT * FROM (SELECT 'talk' AS name, count(DISTINCT conv_id) AS n_rows, 'id' AS primary_key, '' AS parents FROM conversations
+UNION ALL SELECT 'talk__turn', count(*), 'id', 'talk' FROM conversations) WHERE n_rows > 0""")
+def xml_full_cycle(spark, sf_dir):
+    """From an XML file to created, loaded and counted tables in two runs of which the first breaks off; keys are those that the database reports."""
+    url, how = _derby(), (spark, _talks_file(spark, sf_dir), "talk", _folder(spark, "run"))
+    cycle.run(*how, url, until="create")
+    counted = cycle.run(*how, url)["counted"]
+    rows = [(t.name, counted[t.name], ", ".join(t.primary_key), ", ".join(p for _, p, _ in t.foreign_keys)) for t in database.catalogue(spark, url) if t.name in counted]
+    return spark.createDataFrame(rows, "name string, n_rows long, primary_key string, parents string")
+
+
 # --- profiles ----------------------------------------------------------------------------------------
 
 

@@ -129,3 +129,28 @@ def test_json5_where_it_is_no_json():
     assert parse("{'a': 1}") == {"a": 1} and parse("noise {a: 'it\\'s \"q\"', b: [+1, .5, 0x1F, 2.,], /* c */ $c: null,} end") == {"a": 'it\'s "q"', "b": [1, 0.5, 31, 2.0], "$c": None}
     assert parse('{"a": "it\'s {fine}"}') == {"a": "it's {fine}"} and parse("{'x': NaN, 'y': -Infinity, z: true}") == {"x": None, "y": None, "z": True}
     assert parse("{'}': ']'}") == {"}": "]"} and parse("{oops") is None and parse(None) is None and parse("{'a' 1}") is None
+
+
+def test_extended_fields_leave_nothing_out(spark):
+    from loamwork.operators import model
+
+    found = xml_events.sums(spark.createDataFrame([(XML,)], "text string"))
+    edges, about = ([r.asDict() for r in df.collect()] for df in (xml_events.edges(found), xml_events.elements(found)))
+    plain, full = model.entity_fields(edges, "/root"), model.entity_fields(edges, "/root", about)
+    assert {e: sorted(x["fields"]) for e, x in plain.items()} == {"/root": ["other"], "/root/item": ["b"], "/root/item/a": []}
+    assert {e: sorted(x["fields"]) for e, x in full.items()} == {"/root": ["@id", "other"], "/root/item": ["#text", "@j", "@k", "@lang", "b"], "/root/item/a": ["#text"]}
+
+
+def test_scratch_tables_of_a_scope_go(spark):
+    from loamwork.plans import scratch
+
+    with scratch.scope():
+        inner = scratch.materialise(spark.range(3).toDF("id"), "gone")
+        with scratch.scope():
+            scratch.materialise(spark.range(3).toDF("id"), "gone-too")
+        assert inner.count() == 3
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(inner._loamwork_path).count()
+    kept = scratch.materialise(spark.range(3).toDF("id"), "kept")
+    assert kept.count() == 3 and spark.conf.get(scratch._CLEAN, "false") == "false"
+    scratch.release(kept)
