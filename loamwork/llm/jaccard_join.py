@@ -49,6 +49,8 @@ HOT = 2000
 TOGETHER = 2000
 #: Id tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 SMALL = 200_000
+#: Short sketches (about 150 bytes each) that are broadcast, at most.
+SHORT_SMALL = 50_000
 #: Word hashes that a task remembers: about 50 MB at most.
 REMEMBERED = 300_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -184,7 +186,7 @@ def _merged(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, doc_id) in order, those whose key another row has too, with the key's first doc_id.
+    """Of rows (key, doc_id) in order, each once, those whose key another document has too, with the key's first doc_id.
 
     A key with any number of rows takes no memory: only the last row waits for what follows it.
     """
@@ -196,6 +198,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if last is not None:
             keys, ids = np.concatenate([[last[0]], keys]), np.concatenate([[last[1]], ids])
+        once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+        keys, ids = keys[once], ids[once]
         same = keys[1:] == keys[:-1]
         starts = np.flatnonzero(np.concatenate([[True], ~same]))
         pivots = np.repeat(ids[starts], np.diff(np.concatenate([starts, [len(keys)]])))
@@ -287,6 +291,7 @@ def verified(pairs: DataFrame, lite: DataFrame, texts: DataFrame) -> DataFrame:
     lite: doc_id, n, short, sketch; texts: doc_id, text. Only texts of pairs that pass the filters are read into sets.
     """
     here = paired(lite, pairs, "pair-ids")
+    here = broadcast_if_small(materialise(here.select("doc_id", "n", "short"), "short-sketches"), SHORT_SMALL)  # of one size each
     x, y = (here.select(F.col("doc_id").alias(c), "n", "short").alias(c) for c in "ab")
     close = pairs.alias("p").join(x, F.col("p.a") == F.col("a.a")).join(y, (F.col("p.b") == F.col("b.b")) & _close("a", "b"))
     close = materialise(close.select("p.a", "p.b", (F.col("a.n") + F.col("b.n")).alias("n"), ((F.col("a.n") >= LONG) & (F.col("b.n") >= LONG)).alias("long")).distinct(), "close-pairs")
@@ -348,18 +353,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = materialise(filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
     copies = materialise(filled.join(classes, ["n_shingles", "d1", "d2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "copies")
     # Parts that more than one document has: (key, doc_id, pivot), where a copy's parts are those of the document that stands for its class.
-    rows = sets.where("doc_id is not null").select(F.explode("keys").alias("key"), "doc_id")
+    stands = materialise(copies.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("a")), "stands")
+    rows = sets.where("doc_id is not null").select("doc_id", "keys").join(broadcast_if_small(stands, SMALL), "doc_id", "left").select(F.explode("keys").alias("key"), F.coalesce("a", "doc_id").alias("doc_id"))
     shared = materialise(rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long, pivot long"), "shared-parts")
-    stands = copies.groupBy("b").agg(F.min("a").alias("a"))
-    for c in ("doc_id", "pivot"):
-        shared = shared.join(broadcast_if_small(stands.withColumnRenamed("b", c), SMALL), c, "left").withColumn(c, F.coalesce("a", c)).drop("a")
-    shared = materialise(shared.select("key", "doc_id", "pivot").distinct(), "shared-members")
     lite = materialise(sets.select("doc_id", F.col("n_shingles").alias("n"), "short", "sketch"), "sketches")
     release(sets)
     tested, comp = None, components(copies) if not copies.isEmpty() else copies.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def labelled(df: DataFrame, c: str) -> DataFrame:
-        found = df.join(comp.select(F.col("node").alias(c), F.col("component").alias("__l")), c, "left")
+        found = df.join(broadcast_if_small(comp.select(F.col("node").alias(c), F.col("component").alias("__l")), SMALL), c, "left")
         return found.withColumn(f"of_{c}", F.coalesce("__l", F.col(c))).drop("__l")
 
     # 2. Each document against the pivot that it shares most parts with.
