@@ -6,7 +6,8 @@ a number of parts P. Each shingle flips one bit of a sparse sketch of P parts; a
 of its flipped bits' codes, so equal names mean equal parity bits. Two linked sets of a and b shingles differ
 in at most k = (a + b) / 7 of them, the sketches' Hamming distance is at most that, and so at least P - k
 parts are equal (pigeonhole). With all parts in one fixed order (fullest first), two such sets
-therefore share a part among the first k + 1 of each: only these are joined.
+therefore share a part among the first k + 1 of each, and m of them among the first k + m: only these are joined, and
+pairs of long sets (where m is a sixteenth of the band's least size) that share fewer are no candidates.
 
 Candidates are filtered by dense parity sketches (1024 bits within the join, about four bits a shingle after
 it), whose Hamming distance also bounds the symmetric difference from below, and verified on the whole shingle
@@ -119,17 +120,23 @@ def _named(sets: np.ndarray, band: int, parts: int) -> tuple[np.ndarray, np.ndar
     return keys, full, np.sort(_mix(_mix(empty)))
 
 
+def least_shared(band: int) -> int:
+    """Parts that linked sets share at least among the first k + this many of each: more than one where sets are long."""
+    return max(1, 4**band // 16) if 4**band >= LONG else 1
+
+
 def part_keys(sets: np.ndarray) -> np.ndarray:
-    """What the set is joined on: the names of its first k + 1 parts in each of its bands."""
+    """What the set is joined on: the names of its first k + ``least_shared`` parts in each of its bands."""
     out = []
     for band, parts, k in bands(len(sets)):
         if not k:  # nothing but an equal set can be linked
             continue
         keys, full, empty = _named(sets, band, parts)
-        if len(keys) > k + 1:
-            keys = keys[np.lexsort((keys, -full))[: k + 1]]
+        first = k + least_shared(band)
+        if len(keys) > first:
+            keys = keys[np.lexsort((keys, -full))[:first]]
         else:  # if too few parts have shingles, empty parts come last in the order
-            keys = np.concatenate([keys, empty[: k + 1 - len(keys)]])
+            keys = np.concatenate([keys, empty[: first - len(keys)]])
         out.append(keys)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -219,12 +226,12 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "set": [shingles(t).tobytes() for t in batch["text"]]})
 
 
-_PARTS = "doc_id long, own long, band int, k long, keys array<long>, empty array<long>"
+_PARTS = "doc_id long, own long, band int, first long, keys array<long>, empty array<long>"
 
 
 def _all_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each document's set (``own`` tells sets of one doc_id apart) and band: the names of all parts with
-    shingles, and of as many empty ones as are needed to make k + 1.
+    shingles, and of as many empty ones as are needed to make the ``first`` ones that it is joined on.
 
     These parts are finer than others, at least four for each shingle, so that most hold one shingle: documents made of a shared
     passage and a third of their own then have k + 1 parts that hardly any other has.
@@ -238,23 +245,34 @@ def _all_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for band, _, k in bands(len(s)):
                     if k:
                         keys, _, empty = _named(s, band, 4 ** (band + 2))
-                        rows.append((i, own, band, k, keys.view(np.int64), empty[: max(0, k + 1 - len(keys))].view(np.int64)))
+                        first = k + least_shared(band)
+                        rows.append((i, own, band, first, keys.view(np.int64), empty[: max(0, first - len(keys))].view(np.int64)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PARTS.split(", ")])
 
 
 def rarest_parts(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """key, doc_id: the first k + 1 parts of every document of ``ids`` in each band, rarest among these documents first.
+    """key, doc_id: the first k + ``least_shared`` parts of every document of ``ids`` in each band, rarest among these documents first.
 
     The order is one for all of them (frequency, then name, empty parts last), so linked documents share a key.
     """
     parts = materialise(texts.join(broadcast_if_small(ids, SMALL), "doc_id", "left_semi").mapInPandas(_all_parts, _PARTS), "all-parts")
-    named = parts.select("doc_id", "own", "band", "k", F.explode("keys").alias("key"))
+    named = parts.select("doc_id", "own", "band", "first", F.explode("keys").alias("key"))
     often = materialise(named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "part-counts")
     order = Window.partitionBy("doc_id", "own", "band").orderBy(F.coalesce("n", F.lit(1)), "key")
-    first = named.join(often, "key", "left").withColumn("rank", F.row_number().over(order)).where("rank <= k + 1 and n > 1").select("key", "doc_id")
+    first = named.join(often, "key", "left").withColumn("rank", F.row_number().over(order)).where("rank <= first and n > 1").select("key", "doc_id")
     return materialise(first.unionByName(parts.select(F.explode("empty").alias("key"), "doc_id")).distinct(), "rarest-parts")
 
 
+def _needed(x: str, y: str):
+    """``least_shared`` of two sides' common band: the smaller one's own."""
+    n = F.least(f"{x}.n", f"{y}.n")
+    out = F.lit(1)
+    for band in range(1, 20):
+        if least_shared(band) > 1:
+            out = F.when(n >= 4**band, F.lit(least_shared(band))).otherwise(out)
+    return out
+
+
 def _close(x: str, y: str):
     """Condition that two sides' sizes and short sketches (``n`` and ``short`` under an alias) could be of linked sets."""
     far = F.expr(" + ".join(f"bit_count({x}.short[{i}] ^ {y}.short[{i}])" for i in range(SHORT_BITS // 64)))
@@ -388,7 +406,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Pairs (a, b) of members of different components under one of ``keys`` whose short sketches are near."""
         found = materialise(members.join(keys.select("key"), "key").join(lite.select("doc_id", "n", "short"), "doc_id"), "mixed-members")
         pairs = found.alias("x").join(found.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _close("x", "y"))
-        return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), _needed("x", "y").alias("needed"))
+        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("needed").alias("needed")).where("n >= needed").select("a", "b")
 
     members, keys = mixed(shared.select("key", "doc_id"))
     across, hot = met(members, keys.where(F.col("n") <= hot_part)), keys.where(F.col("n") > hot_part)
