@@ -18,6 +18,8 @@ from loamwork.plans.scratch import broadcast_if_small, materialise
 
 #: Id lists up to this many rows are broadcast, longer ones are joined by a shuffle.
 SMALL = 200_000
+#: Copies of rows (three numbers each) up to this many are broadcast, about 24 MB, which spares a shuffle of the texts.
+COPIES = 1_000_000
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("__key", F.xxhash64(*[common.col(c) for c in docs.columns]))
     copies = mixing.mix(keyed, id_col="__key").groupBy(F.col("doc_id").alias("__of")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
     copies = materialise(copies.where("__copies > 0"), "copies")
-    taken = keyed.join(copies, F.col("__key") == F.col("__of"))
+    taken = keyed.join(broadcast_if_small(copies, COPIES), F.col("__key") == F.col("__of"))
     repeated = taken.where("__rows > 1").groupBy("__key").agg(F.min(F.struct(*[common.col(c) for c in docs.columns])).alias("__row"), F.max("__copies").alias("__copies"))
     rows = taken.where("__rows = 1").select(*[common.col(c) for c in docs.columns], "__copies").unionByName(repeated.select("__row.*", "__copies"))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[common.col(c) for c in docs.columns])
