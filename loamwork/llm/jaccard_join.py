@@ -9,6 +9,8 @@ parts are equal (pigeonhole). With all parts in one fixed order (fullest first),
 therefore share a part among the first k + 1 of each, and m of them among the first k + m: only these are joined, and
 pairs of long sets (where m is a sixteenth of the band's least size) that share fewer are no candidates.
 
+A part's name tells its band, so a document that shares fewer than m parts of a band with all others together is left out before pairs are made.
+
 Candidates are filtered by dense parity sketches (1024 bits within the join, about four bits a shingle after
 it), whose Hamming distance also bounds the symmetric difference from below, and verified on the whole shingle
 sets. Groups of copies never turn into all pairs:
@@ -37,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.llm import phrases
 from loamwork.llm.common import col
 from loamwork.plans.scratch import broadcast_if_small, materialise, release
 
@@ -110,14 +113,15 @@ def _parts(band: int) -> int:
 
 
 def _named(sets: np.ndarray, band: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of the parts that have shingles, how many each has, and names of all empty parts, ascending."""
+    """Names of the parts that have shingles, how many each has, and names of all empty parts, ascending. A name's last five bits are its band."""
     part = ((sets >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     full = np.diff(np.concatenate([starts, [len(sets)]]))
     names = np.bitwise_xor.reduceat(_mix(sets), starts)
     keys = _mix(names + _mix(part[starts] + np.uint64(band << 48)))
     empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts]) + np.uint64(band << 48)
-    return keys, full, np.sort(_mix(_mix(empty)))
+    banded = lambda x: (x & ~np.uint64(31)) | np.uint64(band)
+    return banded(keys), full, np.sort(banded(_mix(_mix(empty))))
 
 
 def least_shared(band: int) -> int:
@@ -250,19 +254,58 @@ def _all_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PARTS.split(", ")])
 
 
+def _others_too(marks):
+    """Leaves out parts that no other document has by the map ``marks``, and asks for fewer ``first`` ones by their number.
+
+    A part that is kept by chance is counted by the join that follows; rows that need no other part than their own go.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            keys, first = [], []
+            for k, n in zip(batch["keys"], batch["first"], strict=True):
+                k = np.asarray(k, np.int64)
+                slot = (k.view(np.uint64) >> np.uint64(8)) & np.uint64(phrases.BITS - 1)
+                kept = k[(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                keys.append(kept)
+                first.append(n - len(k) + len(kept))
+            batch = batch.assign(keys=keys, first=first)
+            yield batch[batch["first"] > 0]
+
+    return run
+
+
 def rarest_parts(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """key, doc_id: the first k + ``least_shared`` parts of every document of ``ids`` in each band, rarest among these documents first.
 
     The order is one for all of them (frequency, then name, empty parts last), so linked documents share a key.
     """
     parts = materialise(texts.join(broadcast_if_small(ids, SMALL), "doc_id", "left_semi").mapInPandas(_all_parts, _PARTS), "all-parts")
-    named = parts.select("doc_id", "own", "band", "first", F.explode("keys").alias("key"))
-    often = materialise(named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "part-counts")
+    often = materialise(parts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "part-counts")
+    # Most parts are one document's own: they come first in the order and need no place in it, only their number.
+    spark = texts.sparkSession
+    marks = spark.sparkContext.broadcast(phrases._bitmap(spark, often.select((F.shiftrightunsigned("key", 8) % phrases.BITS).alias("slot"))))
+    named = parts.drop("empty").mapInPandas(_others_too(marks), "doc_id long, own long, band int, first long, keys array<long>").select("doc_id", "own", "band", "first", F.explode("keys").alias("key"))
     order = Window.partitionBy("doc_id", "own", "band").orderBy(F.coalesce("n", F.lit(1)), "key")
     first = named.join(often, "key", "left").withColumn("rank", F.row_number().over(order)).where("rank <= first and n > 1").select("key", "doc_id")
     return materialise(first.unionByName(parts.select(F.explode("empty").alias("key"), "doc_id")).distinct(), "rarest-parts")
 
 
+def _enough(count):
+    """Condition that so many equal parts of one band (column ``band``) are as many as linked sets share at least."""
+    out = F.lit(True)
+    for band in range(1, 20):
+        if least_shared(band) > 1:
+            out = F.when(F.col("band") == band, count >= least_shared(band)).otherwise(out)
+    return out
+
+
+def _band():
+    """The band that a part's name (column ``key``) tells."""
+    return F.col("key").bitwiseAND(31).alias("band")
+
+
 def _needed(x: str, y: str):
     """``least_shared`` of two sides' common band: the smaller one's own."""
     n = F.least(f"{x}.n", f"{y}.n")
@@ -383,7 +426,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return found.withColumn(f"of_{c}", F.coalesce("__l", F.col(c))).drop("__l")
 
     # 2. Each document against the pivot that it shares most parts with.
-    stars = materialise(shared.where("doc_id <> pivot").groupBy("pivot", "doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), "n"), "stars")
+    stars = shared.where("doc_id <> pivot").groupBy("pivot", "doc_id", _band()).agg(F.count(F.lit(1)).alias("n")).where(_enough(F.col("n")))
+    stars = materialise(stars.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), "n"), "stars")
     for _ in range(ROUNDS):
         left = labelled(labelled(stars, "a"), "b").where("of_a <> of_b")
         if tested is not None:
@@ -404,7 +448,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def met(members: DataFrame, keys: DataFrame) -> DataFrame:
         """Pairs (a, b) of members of different components under one of ``keys`` whose short sketches are near."""
-        found = materialise(members.join(keys.select("key"), "key").join(lite.select("doc_id", "n", "short"), "doc_id"), "mixed-members")
+        found = members.join(keys.select("key"), "key").select("*", _band()).repartition("doc_id").withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "band")))
+        found = materialise(found.where(_enough(F.col("__n"))).drop("band", "__n").join(lite.select("doc_id", "n", "short"), "doc_id"), "mixed-members")
         pairs = found.alias("x").join(found.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _close("x", "y"))
         pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), _needed("x", "y").alias("needed"))
         return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("needed").alias("needed")).where("n >= needed").select("a", "b")
@@ -412,7 +457,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members, keys = mixed(shared.select("key", "doc_id"))
     across, hot = met(members, keys.where(F.col("n") <= hot_part)), keys.where(F.col("n") > hot_part)
     if not hot.isEmpty():
-        ids = materialise(members.join(hot.select("key"), "key").select("doc_id").distinct(), "hot-ids")
+        ids = materialise(members.join(broadcast_if_small(hot.select("key"), SMALL), "key").select("doc_id").distinct(), "hot-ids")
         across = across.unionByName(met(*mixed(rarest_parts(own, ids)))).distinct()
     if tested is not None:
         across = across.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
