@@ -75,7 +75,7 @@ def _bytes(pieces: pa.Array) -> bytes:
     return b"}".join([*pieces.to_pylist(), b""])
 
 
-_SPLIT = "file long, start long, length long, begin long, ends array<boolean>, deep array<long>, least array<long>, commas array<map<int,long>>"
+_SPLIT = "file long, start long, length long, begin long, first string, ends array<boolean>, deep array<long>, least array<long>, commas array<map<int,long>>"
 
 
 def _function(keys: list[str]):
@@ -83,12 +83,12 @@ def _function(keys: list[str]):
         key, state, head = None, None, b""
 
         def fresh() -> dict:
-            return {"begin": -1, "ends": [False, True], "deep": [0, 0], "least": [0, 0], "commas": [Counter(), Counter()]}
+            return {"begin": -1, "first": "", "ends": [False, True], "deep": [0, 0], "least": [0, 0], "commas": [Counter(), Counter()]}
 
         def give() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.map_(pa.int32(), pa.int64())))
-            row = (*key, state["begin"], state["ends"], state["deep"], state["least"], [list(c.items()) for c in state["commas"]])
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["file", "start", "length", "begin", "ends", "deep", "least", "commas"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.map_(pa.int32(), pa.int64())))
+            row = (*key, state["begin"], state["first"], state["ends"], state["deep"], state["least"], [list(c.items()) for c in state["commas"]])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["file", "start", "length", "begin", "first", "ends", "deep", "least", "commas"])
 
         for batch in batches:
             for *at, rows in _runs(batch):
@@ -97,22 +97,24 @@ def _function(keys: list[str]):
                         yield give()
                     key, state, head = tuple(at), fresh(), b""
                 raw = _bytes(rows.column(3))
-                low = 0
+                cut = 0
                 if key[1] == 0 and state["begin"] < 0:
                     # The first split: nothing counts before its array begins.
                     head += raw
                     if (begin := array_start(head, keys)) is None:
                         continue
-                    low, state["begin"] = begin - (len(head) - len(raw)), begin
-                    raw = head[begin:] if low < 0 else raw[low:]
+                    cut, state["begin"] = begin - (len(head) - len(raw)), begin
+                    raw = head[begin:] if cut < 0 else raw[cut:]
+                state["first"] = state["first"] or raw.lstrip()[:1].decode("latin-1")
                 data = np.frombuffer(raw, np.uint8)
                 places, kinds, within, odd = structure(data)
                 for h in (0, 1):
                     outside = within == state["ends"][h]
                     deep = depths(kinds, outside) + state["deep"][h]
                     if len(deep):
-                        found = outside & (kinds == _COMMA)
                         # What closes the array ends the count: a comma after it is none of its own.
+                        low = np.minimum(np.minimum.accumulate(deep), state["least"][h])
+                        found = outside & (kinds == _COMMA) & (deep == low)
                         for d, n in zip(*np.unique(deep[found], return_counts=True), strict=True):
                             state["commas"][h][int(d)] += int(n)
                         state["least"][h] = min(state["least"][h], int(deep.min()))
@@ -124,19 +126,29 @@ def _function(keys: list[str]):
     return run
 
 
-def begins(spark: SparkSession, path: str, keys: list[str]) -> dict[tuple[int, int], tuple[int, int, bool, int, int]] | None:
+def _in_order(spark: SparkSession, path: str) -> dict[int, int]:
+    """file (as ``lines`` has it) -> its place among the files by path."""
+    names = spark.read.format("binaryFile").load(path).select("_metadata.file_path")  # contents are not read
+    return {r.file: k for k, r in enumerate(names.select("file_path", F.xxhash64("file_path").alias("file")).sort("file_path").collect())}
+
+
+def begins(spark: SparkSession, path: str, keys: list[str], through: bool = False) -> dict[tuple[int, int], tuple[int, int, bool, int, int]] | None:
     """(file, start) -> (length, where its array begins, whether it begins within a string, depth below the array, elements begun before).
 
     Depth 0 is between elements; a split after the array's end has depth -1. One row a split reaches the driver.
-    None where a file's first split has no such array.
+    ``through``: elements of all files before, by path, come before. None where a file's first split has no such array.
     """
-    out, file, inside, depth, place = {}, None, False, 0, 0
-    for r in sorted(lines(spark, path, "}").mapInArrow(_function(keys), _SPLIT).collect(), key=lambda r: (r.file, r.start)):
+    out, file, inside, depth, place, first = {}, None, False, 0, 0, ""
+    at = _in_order(spark, path) if through else {}
+    for r in sorted(lines(spark, path, "}").mapInArrow(_function(keys), _SPLIT).collect(), key=lambda r: (at[r.file] if through else r.file, r.start)):
         if r.file != file:
             if r.begin < 0:
                 return None
-            file, inside, depth, place = r.file, False, 0, 0
+            # The last element of the file before has no comma after it; an empty array has no element.
+            place = place + (first not in ("", "]")) if through else 0
+            file, inside, depth, first = r.file, False, 0, ""
         out[r.file, r.start] = (r.length, r.begin, inside, depth, place)
+        first = first or r.first
         h = int(inside)
         if depth >= 0:
             place += r.commas[h].get(-depth, 0)

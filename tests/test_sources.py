@@ -142,6 +142,27 @@ def test_an_array_under_keys_and_none(spark, tmp_path, small_splits):
         assert sorted((r.rec_id, json.loads(r.v)) for r in found) == list(enumerate(json.loads(text), 1))
 
 
+def test_places_go_on_from_file_to_file(spark, tmp_path, small_splits):
+    (tmp_path / "on").mkdir()
+    parts = [records(40, 1), [], records(3, 2), records(90, 3)]
+    for k, rows in enumerate(parts):
+        (tmp_path / "on" / f"{k}.json").write_text(json.dumps({"data": rows, "other": [[1, 2], [3, 4], 5, 6]}))
+    found = documents.json_array(spark, f"file://{tmp_path}/on", "data", through=True).select("rec_id", F.to_json("value").alias("v")).collect()
+    assert sorted((r.rec_id, json.loads(r.v)) for r in found) == list(enumerate(sum(parts, []), 1))
+
+
+def test_no_task_writes_all_events(spark, tmp_path, monkeypatch):
+    """json_array_splits writes a file for each range of ids, and numbers their elements through."""
+    from loamwork import queries
+
+    monkeypatch.setattr(queries, "IDS_A_FILE", 400)
+    monkeypatch.setattr(queries, "_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    found = queries.json_array_splits(spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "event_type").collect()
+    assert sorted((r.rec_id, r.user_id, r.event_type) for r in found.collect()) == sorted(map(tuple, rows))
+    assert len(list((tmp_path / "json").glob("part-*"))) == -(-len(rows) // 400)
+
+
 def test_arrays_of_many_files_are_numbered_each(spark, tmp_path, small_splits):
     (tmp_path / "many").mkdir()
     for k in range(3):
