@@ -38,10 +38,12 @@ from loamwork.plans.scratch import broadcast_if_small, materialise, release
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Words in a shard (the more, the less its labels weigh), words for which a range of prefixes is set up, bits of the map of frequent words (2 MB), bytes of text read at once.
 SHARD, RANGE, BITS, SLICE = 1 << 22, 1 << 22, 1 << 24, 1 << 22
+#: Sequences of a shard that are sorted at a time (more where one word begins more).
+CHUNK = 1 << 18
 #: Every so many words, one sequence goes into the sample that ranges are chosen by.
 STRIDE = 2000
 #: Rows that a task holds before it merges them; word hashes that it remembers; distinct words that it counts before it gives them away.
-HELD, REMEMBERED, COUNTED = 1 << 22, 300_000, 300_000
+HELD, REMEMBERED, COUNTED = 1 << 21, 300_000, 300_000
 #: Tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 SMALL = 200_000
 _BREAK = b"\xff"  # never part of UTF-8
@@ -96,21 +98,22 @@ def _count(seed: int, label: Callable[[bytes, int], int], stride: int):
         sample, seen = [], 0
 
         def given() -> pa.RecordBatch:
-            out = []
-            for lang, c in counts.items():
-                mix = _slot(lang)
+            langs, found, h, slot, n = [], [], [], [], []
+            while counts:
+                lang, c = counts.popitem()
                 c.pop(_BREAK, None)
-                out += [(lang, w.decode(), h, (h ^ mix) % BITS, n) for w, n in c.items() for h in (label(w, seed),)]
-            h = np.array([x[2] for x in out], np.uint64).view(np.int64)
+                langs.append(pa.array([lang] * len(c), pa.string()))
+                found.append(pa.array(list(c), pa.binary()).cast(pa.string()))
+                h.append(np.fromiter((label(w, seed) for w in c), np.uint64, len(c)))
+                slot.append(((h[-1] ^ np.uint64(_slot(lang))) % np.uint64(BITS)).astype(np.int64))
+                n.append(np.fromiter(c.values(), np.int64, len(c)))
             keys = range_key(*np.array(sample, np.uint64).reshape(-1, 3).T)
-            full = len(out)
+            sample.clear()
+            none = pa.nulls(len(keys), pa.string())
             arrays = [
-                pa.array([x[0] for x in out] + [None] * len(keys), pa.string()), pa.array([x[1] for x in out] + [None] * len(keys), pa.string()), pa.array(np.concatenate([h, keys])),
-                pa.array(np.concatenate([np.array([x[3] for x in out], np.int64), np.zeros(len(keys), np.int64)])), pa.array([x[4] for x in out] + [1] * (len(keys)), pa.int64()),
+                pa.concat_arrays([*langs, none]), pa.concat_arrays([*found, none]), pa.array(np.concatenate([*[x.view(np.int64) for x in h], keys])),
+                pa.array(np.concatenate([*slot, np.zeros(len(keys), np.int64)])), pa.array(np.concatenate([*n, np.ones(len(keys), np.int64)])),
             ]
-            counts.clear()
-            sample.clear()
-            assert full + len(keys) == len(arrays[0])
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _COUNTS.split(", ")])
 
         for batch in batches:
@@ -206,25 +209,41 @@ def read_trie(block: bytes, depth: int) -> tuple[list[np.ndarray], np.ndarray, n
 
 def shard_tries(tokens: np.ndarray, starts: int, bounds: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[int, bytes]]:
     """(range, trie) of the sequences of two labels or more that begin at the first ``starts`` tokens; 0 is a break."""
-    labels, ids = np.unique(np.concatenate([tokens, np.zeros(depth, np.uint64)]), return_inverse=True)
+    tokens = np.concatenate([tokens, np.zeros(depth, np.uint64)])
+    order = np.argsort(tokens).astype(np.int32)
+    tokens = tokens[order]
+    firsts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    labels = tokens[firsts]
+    del tokens
     if not len(labels) or labels[0] != 0:
         raise ValueError("0 must be a break")
-    ids = ids.astype(np.int32)
-    columns, on = [], np.ones(starts, bool)
-    for k in range(depth):
-        c = np.where(on, ids[k : k + starts], np.int32(0))
-        on = c > 0
-        columns.append(c)
-    keep = columns[1] > 0
-    columns, n = counted([c[keep] for c in columns], np.ones(int(keep.sum()), np.int64), len(labels))
-    if not len(n):
-        return
-    range_of = np.searchsorted(bounds, range_key(*[labels[c] for c in columns[:2]], labels[columns[2]] if depth > 2 else np.zeros(len(n), np.uint64)), side="right")
-    order = np.argsort(range_of, kind="stable")
-    range_of, columns, n = range_of[order], [c[order] for c in columns], n[order]
-    edges = np.flatnonzero(np.concatenate([[True], range_of[1:] != range_of[:-1], [True]]))
-    for a, b in zip(edges, edges[1:], strict=False):
-        yield int(range_of[a]), write_trie([c[a:b] for c in columns], n[a:b], labels)
+    ids = np.empty(len(order), np.int32)
+    ids[order] = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(firsts, append=len(order)))
+    pieces: dict[int, list] = defaultdict(list)
+    # Sequences are sorted and counted by their first words, some of these at a time, so that few are held as columns.
+    edges = np.append(firsts[1:], len(order))  # from the first word that is no break
+    while len(edges) > 1:
+        last = max(1, int(np.searchsorted(edges, edges[0] + CHUNK, side="right")) - 1)
+        at = order[edges[0] : edges[last]]
+        edges = edges[last:]
+        at = at[at < starts]
+        at = at[ids[at + 1] > 0]
+        columns, on = [], np.ones(len(at), bool)
+        for k in range(depth):
+            c = np.where(on, ids[at + k], np.int32(0))
+            on = c > 0
+            columns.append(c)
+        columns, n = counted(columns, np.ones(len(at), np.int32), len(labels))
+        if not len(n):
+            continue
+        range_of = np.searchsorted(bounds, range_key(*[labels[c] for c in columns[:2]], labels[columns[2]] if depth > 2 else np.zeros(len(n), np.uint64)), side="right")
+        for r in np.unique(range_of).tolist():
+            own = range_of == r
+            pieces[r].append(([c[own] for c in columns], n[own]))
+    del ids, order
+    for r in sorted(pieces):
+        found = pieces.pop(r)
+        yield r, write_trie([np.concatenate([c[k] for c, _ in found]) for k in range(depth)], np.concatenate([n for _, n in found]), labels)
 
 
 _BLOCKS = "range int, lang string, block binary"
@@ -304,7 +323,7 @@ def nodes(columns: list[np.ndarray], n: np.ndarray, labels: np.ndarray, bounds:
 
 def _merge(bounds, depth: int, least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, key, pieces, rows = bounds.value, None, [], 0
+        cuts, key, pieces, rows, limit = bounds.value, None, [], 0, most
 
         def given() -> Iterator[pa.RecordBatch]:
             for found, f in nodes(*merged(pieces), cuts, least):
@@ -316,12 +335,12 @@ def _merge(bounds, depth: int, least: int, most: int):
                 if key != (range_, lang):
                     if pieces:
                         yield from given()
-                    key, pieces, rows = (range_, lang), [], 0
+                    key, pieces, rows, limit = (range_, lang), [], 0, most
                 pieces.append(read_trie(block.as_py(), depth))
                 rows += len(pieces[-1][1])
-                if rows > most and len(pieces) > 1:
+                if rows > limit and len(pieces) > 1:
                     pieces = [merged(pieces)]
-                    rows = len(pieces[0][1]) // 2  # what was merged counts half, so that merging stays rare
+                    rows, limit = 0, max(most // 2, len(pieces[0][1]) // 2)  # grows with what was merged, so that merging stays rare
         if pieces:
             yield from given()
 

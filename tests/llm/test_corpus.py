@@ -294,3 +294,24 @@ def test_no_documents_have_no_personal_data(nothing):
 
 def test_awkward_rows_keep_their_number(awkward):
     assert pii.report(awkward).count() == awkward.count()
+
+
+def test_a_shard_holds_few_sequences_at_a_time(monkeypatch):
+    """Sorting and counting a shard's sequences needs memory for some of them at a time, and gives the same tries."""
+    import tracemalloc
+
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    tokens = draw.integers(1, 5000, 1 << 19).astype(np.uint64) << np.uint64(50)
+    tokens[::11] = 0
+    whole = dict(phrases.shard_tries(tokens, len(tokens), np.linspace(0, 1 << 52, 9).astype(np.int64)[1:-1]))
+    monkeypatch.setattr(phrases, "CHUNK", 1 << 14)
+    tracemalloc.start()
+    few = dict(phrases.shard_tries(tokens, len(tokens), np.linspace(0, 1 << 52, 9).astype(np.int64)[1:-1]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert few == whole
+    assert peak < 80 * len(tokens)
+    found = [phrases.read_trie(b, 5) for b in few.values()]
+    assert sum(int(n.sum()) for _, n, _ in found) == int(((tokens[:-1] > 0) & (tokens[1:] > 0)).sum())
