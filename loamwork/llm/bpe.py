@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
@@ -94,19 +95,26 @@ def decode_column(ids: Column, rank_file: str, pattern: str) -> Column:
     return decoded(ids)
 
 
+def digested(enc: tiktoken.Encoding, texts: pa.Array) -> pa.Array:
+    """n_tokens, ids_sha256 and decoded_sha256 of each text; one text at a time leaves Arrow's memory."""
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    n, of_ids, of_text = [], [], []
+    for text in texts:
+        ids = encode(enc, text.as_py())
+        n.append(len(ids))
+        of_ids.append(sha(np.asarray(ids, "<u4").tobytes()))
+        of_text.append(sha(enc.decode_bytes(ids)))
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256: digests of the ids and of what they decode to."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(rank_file, pattern)
-        sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for texts in batches:
-            rows = []
-            for text in texts:
-                ids = encode(enc, text)
-                rows.append((len(ids), sha(np.asarray(ids, "<u4").tobytes()), sha(enc.decode_bytes(ids))))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield digested(enc, texts)
 
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
     return docs.select(*map(col, kept), digests(col(text_col)).alias("__digests")).select(*map(col, kept), "__digests.*")

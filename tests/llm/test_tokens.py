@@ -193,3 +193,18 @@ def test_likeness_orders_edits():
     mark = lambda t: fingerprint.digest(t.encode())
     assert fingerprint.likeness(mark(a), mark(a)) == 1
     assert fingerprint.likeness(mark(a), mark(small)) > fingerprint.likeness(mark(a), mark(b))
+
+
+def test_digests_hold_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"{i} some words " * 400 for i in range(400)] + [None, ""])
+    enc = bpe.encoder(RANKS, P.PATTERN)
+    tracemalloc.start()
+    found = bpe.digested(enc, texts).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < texts.nbytes // 2
+    assert [x["n_tokens"] for x in found[-2:]] == [0, 0] and found[0]["n_tokens"] == len(enc.encode_ordinary(texts[0].as_py()))
