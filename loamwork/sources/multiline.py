@@ -50,6 +50,20 @@ class Quotes:
                 return False
         return self.opens.match(line, at) is not None
 
+    def hold(self, line: bytes, inside: bool, what: bytes) -> bool:
+        """Whether ``what`` stands within quotes."""
+        quoted = inside or line.startswith(b'"')
+        at = int(quoted and not inside)
+        while True:
+            end = self.inside.match(line, at).end() if quoted else at
+            if line.find(what, at, end) >= 0:
+                return True
+            at = line.find(self.delimiter, end + quoted) + 1
+            if not at:
+                return False
+            quoted = line.startswith(b'"', at)
+            at += quoted
+
 
 def lines(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
     """file (a hash of its path), start and length of the split, and the line's bytes; a task has a split's lines in order."""
@@ -72,9 +86,10 @@ _SPLIT = "file long, start long, length long, outside boolean, inside boolean, b
 def splits(spark: SparkSession, path: str, delimiter: str = ",", separator: str = "\n") -> dict[tuple[int, int], tuple[int, bool]] | None:
     """(file, start) -> (length, whether the split begins inside quotes); None where no cell spans lines.
 
+    Spark's own reader ends lines at carriage returns too, so a cell that has one spans lines even between line feeds, and the other way round.
     One row a split reaches the driver.
     """
-    quotes = Quotes(delimiter)
+    quotes, other = Quotes(delimiter), b"\n" if separator == "\r" else b"\r"
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, out, back, breaks = None, False, True, False
@@ -87,6 +102,7 @@ def splits(spark: SparkSession, path: str, delimiter: str = ",", separator: str
                     key, out, back, breaks = tuple(at), False, True, False
                 for line in rows.column(3).drop_null():
                     line = line.as_py()
+                    breaks = breaks or (other in line and quotes.hold(line, out, other))
                     out, back = (quotes.after(line, out), quotes.after(line, back)) if out != back else (x := quotes.after(line, out), x)
                     breaks |= out
         if key is not None:

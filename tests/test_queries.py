@@ -37,3 +37,12 @@ def test_entry_module(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("texts", [["", None, "a\rb"], ["", None, "a\nb", "a\0\nb"]])
+def test_odd_texts_as_delimited_text(spark, tmp_path, texts):
+    rows = [(i, t, s) for i, (t, s) in enumerate((t, s) for t in texts for s in ("web", "", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    sql = queries.oracle_sql()["csv_multiline_split"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.queries()["csv_multiline_split"](spark, f"file://{tmp_path}").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(duckdb.sql(sql).fetchall(), key=repr)

@@ -4,6 +4,7 @@ import csv
 import io
 import json
 import random
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,21 @@ def test_short_long_and_empty_records(spark, tmp_path):
     assert delimited.read(spark, f"file://{tmp_path}/empty.csv", ["a"], ",", True).collect() == []
 
 
+@pytest.mark.parametrize("more", ["plain", "two\nlines"])
+def test_cells_that_spark_wrote_come_back(spark, tmp_path, more):
+    cells = ["", None, "x\ry", "\r", "nul\0", 'nul\0, "quoted"', more]
+    rows = [(str(i), a, b) for i, (a, b) in enumerate(product(cells, repeat=2))]
+    keep = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    spark.createDataFrame(rows, "id string, a string, b string").write.options(**keep).csv(f"file://{tmp_path}/csv")
+    assert sorted(map(tuple, delimited.read(spark, f"file://{tmp_path}/csv", delimiter=",").collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_what_stands_within_quotes():
+    q = multiline.Quotes()
+    assert [q.hold(x, False, b"\r") for x in (b'"a\r"', b'a\r,"b"', b'a,"b""\r",c', b'"a","b"\r', b'"a"\r,"\r', b"\r", b'a"\r"')] == [True, False, True, False, True, False, False]
+    assert [q.hold(x, True, b"\r") for x in (b"\r", b'a"\r', b'a","\r"', b'""\r"')] == [True, False, True, True]
+
+
 def test_a_quote_that_never_closes(spark, tmp_path, small_splits):
     (tmp_path / "open.csv").write_text('a,b\n1,"never\n' + "".join(f"{i},x\n" for i in range(3000)))
     path = f"file://{tmp_path}/open.csv"
