@@ -26,6 +26,7 @@ from loamwork.plans.scratch import materialise
 
 #: Bytes that one record may have: beyond, its quote was never meant to open a cell.
 LONGEST = 64 << 20
+END = "\uffff".encode()
 WHOLE, TAIL, THROUGH, HEAD = 0, 1, 2, 3
 
 
@@ -84,10 +85,10 @@ _SPLIT = "file long, start long, length long, outside boolean, inside boolean, b
 
 
 def splits(spark: SparkSession, path: str, delimiter: str = ",", separator: str = "\n") -> dict[tuple[int, int], tuple[int, bool]] | None:
-    """(file, start) -> (length, whether the split begins inside quotes); None where no cell spans lines.
+    """(file, start) -> (length, whether the split begins inside quotes); None where Spark's own reader gives the records, as no cell spans lines.
 
-    Spark's own reader ends lines at carriage returns too, so a cell that has one spans lines even between line feeds, and the other way round.
-    One row a split reaches the driver.
+    That reader ends lines at carriage returns too, so a cell that has one spans lines even between line feeds, and the other way round; and records
+    at U+FFFF. One row a split reaches the driver.
     """
     quotes, other = Quotes(delimiter), b"\n" if separator == "\r" else b"\r"
 
@@ -102,14 +103,14 @@ def splits(spark: SparkSession, path: str, delimiter: str = ",", separator: str
                     key, out, back, breaks = tuple(at), False, True, False
                 for line in rows.column(3).drop_null():
                     line = line.as_py()
-                    breaks = breaks or (other in line and quotes.hold(line, out, other))
+                    breaks = breaks or END in line or (other in line and quotes.hold(line, out, other))
                     out, back = (quotes.after(line, out), quotes.after(line, back)) if out != back else (x := quotes.after(line, out), x)
                     breaks |= out
         if key is not None:
             yield give()
 
     # Lines without a quote change nothing: they go to the function as nulls.
-    quoted = F.when(F.contains(F.col("line"), F.lit(b'"')), F.col("line")).alias("line")
+    quoted = F.when(F.contains(F.col("line"), F.lit(b'"')) | F.contains(F.col("line"), F.lit(END)), F.col("line")).alias("line")
     found = lines(spark, path, separator).select("file", "start", "length", quoted).mapInArrow(function, _SPLIT).collect()
     begins, inside, last, any_ = {}, False, None, False
     for r in sorted(found, key=lambda r: (r.file, r.start)):

@@ -83,9 +83,11 @@ def test_short_long_and_empty_records(spark, tmp_path):
     assert delimited.read(spark, f"file://{tmp_path}/empty.csv", ["a"], ",", True).collect() == []
 
 
-@pytest.mark.parametrize("more", ["plain", "two\nlines"])
-def test_cells_that_spark_wrote_come_back(spark, tmp_path, more):
-    cells = ["", None, "x\ry", "\r", "nul\0", 'nul\0, "quoted"', more]
+ODD = ["", None, "x\ry", "\r", "nul\0", 'nul\0, "quoted"', "end\uffff", "\ufffe1\uffff0\ufffe"]
+
+
+@pytest.mark.parametrize("cells", [["end\uffff", "b"], [*ODD, "plain"], [*ODD, "two\nlines"]])
+def test_cells_that_spark_wrote_come_back(spark, tmp_path, cells):
     rows = [(str(i), a, b) for i, (a, b) in enumerate(product(cells, repeat=2))]
     keep = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     spark.createDataFrame(rows, "id string, a string, b string").write.options(**keep).csv(f"file://{tmp_path}/csv")
